@@ -1,171 +1,126 @@
-"""Matching, the ordered redaction fold, and match positions, as column expressions.
+"""Matching, the ordered redaction fold, and match positions, as SQL expressions.
 
 The fold replaces each accepted value by ``PREFIX_`` plus a *token*: forty letters
-derived from a digest of the normalised value. The token depends on the value alone, so equal values in
-any row, task or retry get equal tokens without any exchange of data, and neither
-events nor shuffles carry raw values. The numbering operators later turn tokens into
-the numbers 1, 2, 3 … of a scan.
+derived from a digest of the normalised value. The token depends on the value alone,
+so equal values in any row, task or retry get equal tokens without any exchange of
+data, and neither events nor shuffles carry raw values. The numbering operators later
+turn tokens into the numbers 1, 2, 3 … of a scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .rules import RULES, PiiRule
-from .text import let, normalise_key
+from .text import let, literal, normalise_key
 
 TOKEN_LENGTH = 40
 TOKEN = f"[a-p]{{{TOKEN_LENGTH}}}"
-EVENT_TYPE = "struct<category:string,prefix:string,token:string,confidence:double>"
-NO_EVENTS = f"array<{EVENT_TYPE}>"
+EVENTS = "array<struct<category:string,prefix:string,token:string,confidence:double>>"
+NO_EVENTS = f"CAST(array() AS {EVENTS})"
 
 
-def token_of(prefix: Column | str, key: Column) -> Column:
-    """Forty letters a-p for one (prefix, normalised value).
+def token_of(prefix: str, key: str) -> str:
+    """Forty letters a-p for one (prefix, normalised value); both are SQL text.
 
     Letters only: a token has no digits or separators, so it can never become part of
     a later digit rule, and it joins an e-mail local part just as a placeholder would.
     """
-    head = F.lit(prefix) if isinstance(prefix, str) else prefix
-    digest = F.substring(F.sha2(F.concat(head, F.lit("::"), key), 256), 1, TOKEN_LENGTH)
-    return F.translate(digest, "0123456789", "ghijklmnop")
+    digest = f"substr(sha2(concat({prefix}, '::', {key}), 256), 1, {TOKEN_LENGTH})"
+    return f"translate({digest}, '0123456789', 'ghijklmnop')"
+
+
+def event(category: str, prefix: str, token: str, confidence: float) -> str:
+    """One event; all but the confidence are SQL text."""
+    return (
+        f"named_struct('category', {category}, 'prefix', {prefix}, 'token', {token}, "
+        f"'confidence', {confidence}D)"
+    )
 
 
-def candidates(text: Column, rule: PiiRule) -> Column:
+def candidates(text: str, rule: PiiRule) -> str:
     """Every pattern match in ``text``, as struct(label, raw), before validation."""
-    def found() -> Column:
-        whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-        if not rule.keeps_label:
-            return F.transform(
-                whole, lambda m: F.struct(F.lit("").alias("label"), m.alias("raw"))
-            )
-        labels = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(1))
-        return F.zip_with(
-            whole,
-            labels,
-            lambda m, l: F.struct(
-                l.alias("label"), F.substr(m, F.length(l) + 1).alias("raw")
-            ),
+    pattern = literal(rule.pattern)
+    whole = f"regexp_extract_all({text}, {pattern}, 0)"
+    if rule.keeps_label:
+        labels = f"regexp_extract_all({text}, {pattern}, 1)"
+        found = (
+            f"zip_with({whole}, {labels}, (m, l) -> "
+            "named_struct('label', l, 'raw', substr(m, length(l) + 1)))"
         )
+    else:
+        found = f"transform({whole}, m -> named_struct('label', '', 'raw', m))"
+    none = "CAST(array() AS array<struct<label:string,raw:string>>)"
+    return f"if({rule.necessary(text)}, {found}, {none})"
 
-    empty = F.array().cast("array<struct<label:string,raw:string>>")
-    return F.when(rule.necessary(text), found()).otherwise(empty)
 
-
-def matches(text: Column, rule: PiiRule) -> Column:
+def matches(text: str, rule: PiiRule) -> str:
     """Accepted raw values of one rule in ``text``, in order."""
-    raws = F.transform(candidates(text, rule), lambda c: c["raw"])
-    return F.filter(raws, rule.validate) if rule.validate else raws
+    raws = f"transform({candidates(text, rule)}, c -> c.raw)"
+    return f"filter({raws}, r -> {rule.validate('r')})" if rule.validate else raws
 
 
-def match_positions(text: Column, rule: PiiRule) -> Column:
+def match_positions(text: str, rule: PiiRule) -> str:
     """Accepted matches of one rule as struct(start, length); start counts from 0."""
-    def located(found: Column) -> Column:
-        pieces = F.split(text, rule.pattern, -1)
-        spans = F.zip_with(
-            pieces, found, lambda p, c: F.struct(F.length(p).alias("gap"), c.alias("hit"))
-        )
-        start = F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<start:int,length:int,ok:boolean>>").alias("out"),
-        )
-
-        def step(acc: Column, span: Column) -> Column:
-            label, raw = span["hit"]["label"], span["hit"]["raw"]
-            begin = acc["at"] + span["gap"] + F.coalesce(F.length(label), F.lit(0))
-            size = F.coalesce(F.length(raw), F.lit(0))
-            ok = rule.validate(raw) if rule.validate else F.lit(True)
-            entry = F.struct(begin.alias("start"), size.alias("length"), ok.alias("ok"))
-            return F.struct(
-                (begin + size).alias("at"),
-                F.when(raw.isNotNull(), F.concat(acc["out"], F.array(entry)))
-                .otherwise(acc["out"])
-                .alias("out"),
-            )
-
-        walked = F.aggregate(spans, start, step, lambda acc: acc["out"])
-        kept = F.filter(walked, lambda e: e["ok"])
-        return F.transform(
-            kept, lambda e: F.struct(e["start"].alias("start"), e["length"].alias("length"))
-        )
-
-    none = F.array().cast("array<struct<start:int,length:int>>")
-    return let(
-        candidates(text, rule),
-        lambda found: F.when(F.size(found) > 0, located(found)).otherwise(none),
+    spans = (
+        f"zip_with(split({text}, {literal(rule.pattern)}, -1), found, (p, c) -> "
+        "named_struct('gap', length(p), 'hit', c))"
+    )
+    out = "array<struct<start:int,length:int,ok:boolean>>"
+    ok = rule.validate("x.hit.raw") if rule.validate else "true"
+    begin = "acc.at + x.gap + coalesce(length(x.hit.label), 0)"
+    size = "coalesce(length(x.hit.raw), 0)"
+    entry = f"array(named_struct('start', {begin}, 'length', {size}, 'ok', {ok}))"
+    walked = (
+        f"aggregate({spans}, named_struct('at', 0, 'out', CAST(array() AS {out})), (acc, x) -> "
+        f"named_struct('at', {begin} + {size}, 'out', "
+        f"if(x.hit IS NULL, acc.out, concat(acc.out, {entry}))), acc -> acc.out)"
+    )
+    located = (
+        f"transform(filter({walked}, e -> e.ok), "
+        "e -> named_struct('start', e.start, 'length', e.length))"
+    )
+    none = "CAST(array() AS array<struct<start:int,length:int>>)"
+    return let("found", candidates(text, rule), f"if(size(found) > 0, {located}, {none})")
+
+
+def _apply_rule(state: str, rule: PiiRule) -> str:
+    """The next state: ``state`` is the name of struct(text, events)."""
+    token = token_of(f"'{rule.prefix}'", normalise_key(rule.category, "c.raw"))
+    if rule.validate:
+        token = f"CASE WHEN {rule.validate('c.raw')} THEN {token} END"
+    hits = (
+        "transform(found, c -> named_struct('label', c.label, 'raw', c.raw, "
+        f"'token', {token}))"
+    )
+    text = (
+        f"array_join(zip_with(split({state}.text, {literal(rule.pattern)}, -1), hits, (p, h) -> "
+        "concat(p, coalesce(concat(h.label, "
+        f"if(h.token IS NOT NULL, concat('{rule.prefix}_', h.token), h.raw)), ''))), '')"
+    )
+    fresh = (
+        "transform(filter(hits, h -> h.token IS NOT NULL), h -> "
+        + event(f"'{rule.category}'", f"'{rule.prefix}'", "h.token", rule.confidence) + ")"
+    )
+    applied = let(
+        "hits", hits,
+        f"named_struct('text', {text}, 'events', concat({state}.events, {fresh}))",
     )
-
-
-def _apply_rule(state: Column, rule: PiiRule) -> Column:
-    text, events = state["text"], state["events"]
-
-    def replaced(hits: Column) -> Column:
-        pieces = F.split(text, rule.pattern, -1)
-        redone = F.zip_with(
-            pieces,
-            hits,
-            lambda p, h: F.concat(
-                p,
-                F.coalesce(
-                    F.concat(
-                        h["label"],
-                        F.when(
-                            h["token"].isNotNull(),
-                            F.concat(F.lit(rule.prefix + "_"), h["token"]),
-                        ).otherwise(h["raw"]),
-                    ),
-                    F.lit(""),
-                ),
-            ),
-        )
-        accepted = F.filter(hits, lambda h: h["token"].isNotNull())
-        fresh = F.transform(
-            accepted,
-            lambda h: F.struct(
-                F.lit(rule.category).alias("category"),
-                F.lit(rule.prefix).alias("prefix"),
-                h["token"].alias("token"),
-                F.lit(rule.confidence).alias("confidence"),
-            ),
-        )
-        return F.struct(
-            F.array_join(redone, "").alias("text"), F.concat(events, fresh).alias("events")
-        )
-
-    def with_token(c: Column) -> Column:
-        token = token_of(rule.prefix, normalise_key(rule.category, c["raw"]))
-        if rule.validate:
-            token = F.when(rule.validate(c["raw"]), token)
-        return F.struct(
-            c["label"].alias("label"), c["raw"].alias("raw"), token.alias("token")
-        )
-
     return let(
-        candidates(text, rule),
-        lambda found: F.when(F.size(found) == 0, state).otherwise(
-            let(F.transform(found, with_token), replaced)
-        ),
+        "found", candidates(f"{state}.text", rule),
+        f"if(size(found) = 0, {state}, {applied})",
     )
 
 
-def redact(text: Column, rules: Sequence[PiiRule] = RULES) -> Column:
+def redact(text: str, rules: Sequence[PiiRule] = RULES) -> str:
     """struct(text, events): ``text`` with tokens in place of personal data.
 
-    Rules run in order, each over the text left by the one before. Rows on which no
+    Rules run in order, each over the text left by the one before. Texts on which no
     rule can fire pass through after a few cheap substring tests.
     """
-    start = F.struct(text.alias("text"), F.array().cast(NO_EVENTS).alias("events"))
-    possible = F.lit(False)
-    tests = {id(r.necessary): r.necessary for r in rules}
-    for test in tests.values():
-        possible = possible | test(text)
-
-    def chain(state: Column, rest: Sequence[PiiRule]) -> Column:
-        if not rest:
-            return state
-        return let(_apply_rule(state, rest[0]), lambda s: chain(s, rest[1:]))
-
-    return F.when(possible, let(start, lambda s: chain(s, rules))).otherwise(start)
+    start = f"named_struct('text', {text}, 'events', {NO_EVENTS})"
+    possible = " OR ".join(dict.fromkeys(r.necessary(text) for r in rules))
+    body = f"s{len(rules)}"
+    for i in reversed(range(len(rules))):
+        body = let(f"s{i + 1}", _apply_rule(f"s{i}", rules[i]), body)
+    return f"if({possible or 'false'}, {let('s0', start, body)}, {start})"

@@ -12,9 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .text import (
     BOUNDARY,
     NOT_AFTER_WORD,
@@ -22,6 +19,7 @@ from .text import (
     PREFIXES,
     WORD,
     WS,
+    literal,
     luhn_valid,
 )
 
@@ -31,14 +29,16 @@ class PiiRule:
     """One detection rule.
 
     ``keeps_label``: group 1 of the pattern is a label that stays in the text; the
-    value is the rest of the match. ``necessary``: true wherever the pattern can match.
+    value is the rest of the match. ``necessary`` and ``validate`` turn SQL text into
+    SQL text: the first is true wherever the pattern can match, the second decides on
+    one raw match.
     """
 
     category: str
     pattern: str
     confidence: float
-    necessary: Callable[[Column], Column]
-    validate: Callable[[Column], Column] | None = None
+    necessary: Callable[[str], str]
+    validate: Callable[[str], str] | None = None
     keeps_label: bool = False
 
     @property
@@ -46,19 +46,16 @@ class PiiRule:
         return PREFIXES.get(self.category, self.category.upper() or "REDACTED")
 
 
-def _long_digit_run(text: Column) -> Column:
-    # nine digits or more, with nothing but separators between them
-    return text.rlike(f"[0-9][0-9{WS}().+-]{{8}}")
+def _like(pattern: str) -> Callable[[str], str]:
+    return lambda text: f"rlike({text}, {literal(pattern)})"
+
 
+def _any_of(*needles: str) -> Callable[[str], str]:
+    return lambda text: "(" + " OR ".join(f"contains({text}, '{n}')" for n in needles) + ")"
 
-def _any_of(*needles: str) -> Callable[[Column], Column]:
-    def test(text: Column) -> Column:
-        found = F.contains(text, F.lit(needles[0]))
-        for needle in needles[1:]:
-            found = found | F.contains(text, F.lit(needle))
-        return found
 
-    return test
+# nine digits or more, with nothing but separators between them
+_long_digit_run = _like(f"[0-9][0-9{WS}().+-]{{8}}")
 
 
 # Patterns, place words, labels and honorifics.
@@ -127,8 +124,7 @@ ADDRESS = _address("")
 STRICT_ADDRESS = _address(BOUNDARY)
 
 
-def _address_possible(text: Column) -> Column:
-    return text.rlike(f"[0-9][{WS}]|(?i:address|residence)")
+_address_possible = _like(f"[0-9][{WS}]|(?i:address|residence)")
 
 
 RULES: tuple[PiiRule, ...] = (
@@ -136,7 +132,7 @@ RULES: tuple[PiiRule, ...] = (
     PiiRule("aadhaar", AADHAAR, 1.0, _long_digit_run),
     PiiRule("phone", PHONE, 1.0, _long_digit_run),
     PiiRule("email", EMAIL, 1.0, _any_of("@")),
-    PiiRule("pan", PAN, 1.0, lambda t: t.rlike("[A-Z]{5}[0-9]{4}[A-Z]")),
+    PiiRule("pan", PAN, 1.0, _like("[A-Z]{5}[0-9]{4}[A-Z]")),
     PiiRule(
         "name", NAME, 0.7,
         _any_of("name", "applicant", "customer", "holder", "Mr.", "Mrs.", "Ms.", "Dr."),

@@ -1,11 +1,11 @@
-"""Small string helpers shared by every operator."""
+"""Small string helpers shared by every operator.
 
-from __future__ import annotations
-
-from collections.abc import Callable
+The functions of this package take and return Spark SQL text. One ``F.expr`` per query
+then builds the whole expression: putting thousands of nested column objects together
+call by call would take longer than many of the queries.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 # The characters that count as white space, and as word characters,
 # in the rules. Java's \s and \b differ from these, so patterns spell them out.
@@ -39,77 +39,88 @@ PLACEHOLDER_PREFIXES = (
 LEGACY_MARK = "[REDACTED:"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` by name.
+
+
+def literal(text: str) -> str:
+    """A raw SQL string literal: patterns go in as they are."""
+    if "'" in text:
+        raise ValueError("quotes are not supported in patterns")
+    return f"r'{text}'"
+
+
+def let(name: str, value: str, body: str) -> str:
+    """Evaluate ``value`` once and use it in ``body`` as ``name``.
 
     Without this, an expression used twice is also planned twice, and a chain of
     rules would double in size at every rule.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def strip(text: Column) -> Column:
+def strip(text: str) -> str:
     """Trim with the wide white-space class (``trim`` removes spaces only)."""
-    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+\\z", "")
+    pattern = literal(f"^[{WS}]+|[{WS}]+\\z")
+    return f"regexp_replace({text}, {pattern}, '')"
 
 
-def collapse(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{WS}]+", " ")
+def collapse(text: str) -> str:
+    pattern = literal(f"[{WS}]+")
+    return f"regexp_replace({text}, {pattern}, ' ')"
 
 
-def is_blank(text: Column) -> Column:
-    return F.coalesce(~text.rlike(f"[^{WS}]"), F.lit(True))
+def is_blank(text: str) -> str:
+    pattern = literal(f"[^{WS}]")
+    return f"(NOT coalesce(rlike({text}, {pattern}), false))"
 
 
-def luhn_valid(text: Column) -> Column:
+def luhn_valid(text: str) -> str:
     """13 to 19 digits, separators ignored, with a correct check digit; null is not valid."""
-    digits = F.regexp_replace(text, "[^0-9]", "")
-    ok = F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
-    return F.coalesce(ok, F.lit(False))
+    digits = f"regexp_replace({text}, '[^0-9]', '')"
+    return f"coalesce(length({digits}) BETWEEN 13 AND 19 AND luhn_check({digits}), false)"
 
 
-def normalise_key(category: Column | str, raw: Column) -> Column:
+def normalise_key(category: str, raw: str) -> str:
     """The form in which two raw values of one category count as the same value."""
-    if isinstance(category, str):
-        return _normalise_one(category.lower(), strip(raw))
-    cat, val = F.lower(category), strip(raw)
-    return (
-        F.when(cat == "email", _normalise_one("email", val))
-        .when(cat.isin("phone", "card", "payment", "aadhaar"), _normalise_one("card", val))
-        .when(cat == "pan", _normalise_one("pan", val))
-        .otherwise(_normalise_one("other", val))
-    )
-
-
-def _normalise_one(category: str, val: Column) -> Column:
+    category, val = category.lower(), strip(raw)
     if category == "email":
-        return F.lower(val)
+        return f"lower({val})"
     if category in ("phone", "card", "payment", "aadhaar"):
-        return F.regexp_replace(val, f"[{WS}.-]", "")
+        separators = literal(f"[{WS}.-]")
+        return f"regexp_replace({val}, {separators}, '')"
     if category == "pan":
-        return F.upper(val)
+        return f"upper({val})"
     return collapse(val)
 
 
-def prefix_of(category: Column) -> Column:
-    cat = F.lower(F.coalesce(category, F.lit("")))
-    known = F.create_map(*[F.lit(x) for pair in PREFIXES.items() for x in pair])
-    return F.coalesce(
-        F.try_element_at(known, cat),
-        F.when(cat != "", F.upper(cat)),
-        F.lit("REDACTED"),
+def normalise_key_of(category: str, raw: str) -> str:
+    """As above, for a category that is itself a column."""
+    return (
+        f"CASE lower({category}) WHEN 'email' THEN {normalise_key('email', raw)} "
+        f"WHEN 'pan' THEN {normalise_key('pan', raw)} "
+        + " ".join(
+            f"WHEN '{c}' THEN {normalise_key(c, raw)}"
+            for c in ("phone", "card", "payment", "aadhaar")
+        )
+        + f" ELSE {normalise_key('', raw)} END"
     )
 
 
-def is_placeholder(value: Column, token_tail: str = "[0-9]+") -> Column:
+def prefix_of(category: str) -> str:
+    arms = " ".join(f"WHEN '{c}' THEN '{p}'" for c, p in PREFIXES.items())
+    other = f"coalesce(nullif(upper({category}), ''), 'REDACTED')"
+    return f"CASE lower({category}) {arms} ELSE {other} END"
+
+
+_NAMES = "|".join(PLACEHOLDER_PREFIXES)
+
+
+def is_placeholder(value: str, tail: str = "[0-9]+") -> str:
     """The whole value is one placeholder, or it holds a legacy mark."""
-    names = "|".join(PLACEHOLDER_PREFIXES)
-    whole = value.rlike(f"(?i)^(?:{names})_(?:{token_tail})\\z")
-    return F.coalesce(whole | F.contains(value, F.lit(LEGACY_MARK)), F.lit(False))
+    whole = literal(f"(?i)^(?:{_NAMES})_(?:{tail})\\z")
+    return f"coalesce(rlike({value}, {whole}) OR contains({value}, '{LEGACY_MARK}'), false)"
 
 
-def holds_placeholder(value: Column) -> Column:
+def holds_placeholder(value: str) -> str:
     """The gate's wider test: a placeholder anywhere in the value is enough."""
-    names = "|".join(PLACEHOLDER_PREFIXES)
-    inside = value.rlike(f"{NOT_AFTER_WORD}(?:{names})_[0-9]+{NOT_BEFORE_WORD}")
-    return is_placeholder(value) | F.coalesce(inside, F.lit(False))
+    inside = literal(f"{NOT_AFTER_WORD}(?:{_NAMES})_[0-9]+{NOT_BEFORE_WORD}")
+    return f"({is_placeholder(value)} OR coalesce(rlike({value}, {inside}), false))"

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.detect import match_positions
 from ..functions.rules import GATE_RULES, PiiRule
 from ..functions.text import holds_placeholder, let
+from .numbering import evaluate_once
 
 VIOLATION = "struct<category:string,elementId:string,index:int,detail:string>"
 GATE_ELEMENT = (
@@ -27,97 +28,76 @@ VISUAL_DETAIL = "Sensitive element whose visual scan failed."
 TEXT_DETAIL = " pattern found in the payload."
 
 
-def payload_elements(payload: Column) -> Column:
+def payload_elements(payload: str) -> str:
     """``context.elements``, else ``elements``, else none, as JSON strings.
 
     An unparsable payload yields no elements; its text is still scanned.
     """
-    parsed = F.from_json(
-        payload, "context struct<elements:array<string>>, elements array<string>"
-    )
+    schema = "context struct<elements:array<string>>, elements array<string>"
     return let(
-        parsed,
-        lambda p: F.coalesce(
-            p["context"]["elements"], p["elements"], F.array().cast("array<string>")
-        ),
+        "doc", f"from_json({payload}, '{schema}')",
+        "coalesce(doc.context.elements, doc.elements, CAST(array() AS array<string>))",
     )
 
 
-def structural_violations(payload: Column) -> Column:
-    """Credentials with a value key, sensitive values left open, failed visual scans."""
-    none = F.array().cast(f"array<{VIOLATION}>")
-    empty = F.lit("")
-
-    def one(raw: Column) -> Column:
-        has_value = F.coalesce(
-            F.array_contains(F.json_object_keys(raw), "value"), F.lit(False)
-        )
-        return let(
-            F.struct(F.from_json(raw, GATE_ELEMENT).alias("e"), has_value.alias("has_value")),
-            lambda s: checks(s["e"], s["has_value"]),
-        )
+def _violation(category: str, element: str, index: str, detail: str) -> str:
+    return (
+        f"named_struct('category', {category}, 'elementId', {element}, "
+        f"'index', {index}, 'detail', {detail})"
+    )
 
-    def checks(e: Column, has_value: Column) -> Column:
-        credential = (
-            (e["type"] == "password") | e["category"].isin("password", "payment")
-        )
-        credential = F.coalesce(credential, F.lit(False))
-        sensitive = F.coalesce(e["sensitive"], F.lit(False))
-        open_value = e["value"].isNotNull() & ~holds_placeholder(e["value"])
-        who = F.coalesce(
-            F.nullif(e["id"], empty), F.nullif(e["selector"], empty), F.lit("unknown")
-        )
-        own = F.nullif(e["category"], empty)
-
-        def entry(category: Column, detail: Column) -> Column:
-            return F.array(
-                F.struct(
-                    category.alias("category"), who.alias("elementId"),
-                    F.lit(None).cast("int").alias("index"), detail.alias("detail"),
-                )
-            )
-
-        kept = F.when(
-            (credential & has_value) | (sensitive & open_value),
-            entry(
-                F.coalesce(own, F.when(credential, F.lit("password")).otherwise(F.lit("sensitive"))),
-                F.when(credential, F.lit(CREDENTIAL_DETAIL)).otherwise(F.lit(SENSITIVE_DETAIL)),
-            ),
-        ).otherwise(none)
-        failed = F.when(
-            F.coalesce(e["visualScanFailed"], F.lit(False)) & sensitive,
-            entry(F.coalesce(own, F.lit("sensitive")), F.lit(VISUAL_DETAIL)),
-        ).otherwise(none)
-        return F.concat(kept, failed)
 
-    return F.flatten(F.transform(payload_elements(payload), one))
+def structural_violations(payload: str) -> str:
+    """Credentials with a value key, sensitive values left open, failed visual scans."""
+    credential = (
+        "coalesce(el.type = 'password' OR el.category IN ('password', 'payment'), false)"
+    )
+    who = "coalesce(nullif(el.id, ''), nullif(el.selector, ''), 'unknown')"
+    own = "nullif(el.category, '')"
+    open_value = f"(el.value IS NOT NULL AND NOT {holds_placeholder('el.value')})"
+    kept = _violation(
+        f"coalesce({own}, if(cred, 'password', 'sensitive'))", who, "CAST(NULL AS INT)",
+        f"if(cred, '{CREDENTIAL_DETAIL}', '{SENSITIVE_DETAIL}')",
+    )
+    failed = _violation(
+        f"coalesce({own}, 'sensitive')", who, "CAST(NULL AS INT)", f"'{VISUAL_DETAIL}'"
+    )
+    none = f"CAST(array() AS array<{VIOLATION}>)"
+    checks = (
+        f"concat(if((cred AND has_value) OR (open AND {open_value}), array({kept}), {none}), "
+        f"if(open AND coalesce(el.visualScanFailed, false), array({failed}), {none}))"
+    )
+    one = let(
+        "el", f"from_json(raw, '{GATE_ELEMENT}')",
+        let(
+            "has_value", "coalesce(array_contains(json_object_keys(raw), 'value'), false)",
+            let("cred", credential, let("open", "coalesce(el.sensitive, false)", checks)),
+        ),
+    )
+    return f"flatten(transform({payload_elements(payload)}, raw -> {one}))"
 
 
-def decoded(payload: Column) -> Column:
+def decoded(payload: str) -> str:
     """JSON text with its escapes undone, so that a value after an escaped line break
     is seen with its real neighbours. Quotes still separate one value from the next."""
-    slash = "\x00"
-    text = F.regexp_replace(payload, r"\\\\", slash)
-    text = F.regexp_replace(text, r"\\[nrtbf]", " ")
-    text = F.regexp_replace(text, r"\\u00[0-9a-fA-F]{2}", " ")
-    return F.replace(F.regexp_replace(text, r'\\(["/])', "$1"), F.lit(slash), F.lit("\\"))
+    text = f"replace({payload}, r'\\\\', chr(0))"
+    text = f"regexp_replace({text}, r'\\\\(?:[nrtbf]|u00[01][0-9a-fA-F])', ' ')"
+    text = f"regexp_replace({text}, r'\\\\([\"/])', '$1')"
+    return f"replace({text}, chr(0), r'\\')"
 
 
-def text_violations(text: Column, rules: Sequence[PiiRule] = GATE_RULES) -> Column:
+def text_violations(text: str, rules: Sequence[PiiRule] = GATE_RULES) -> str:
     """One violation per accepted match of each rule: category and place, never the value."""
     per_rule = [
-        F.transform(
-            match_positions(text, rule),
-            lambda m: F.struct(
-                F.lit(rule.category).alias("category"),
-                F.lit(None).cast("string").alias("elementId"),
-                m["start"].alias("index"),
-                F.lit(rule.category + TEXT_DETAIL).alias("detail"),
-            ),
+        f"transform({match_positions(text, rule)}, m -> "
+        + _violation(
+            f"'{rule.category}'", "CAST(NULL AS STRING)", "m.start",
+            f"'{rule.category}{TEXT_DETAIL}'",
         )
+        + ")"
         for rule in rules
     ]
-    return F.concat(*per_rule)
+    return f"concat({', '.join(per_rule)})"
 
 
 def gate(
@@ -134,17 +114,16 @@ def gate(
     """
     if mode not in ("decoded", "serialized"):
         raise ValueError(f"unknown mode {mode!r}")
-    body = F.col(payload)
-    scanned = decoded(body) if mode == "decoded" else body
-    none = F.array().cast(f"array<{VIOLATION}>")
-    empty = F.coalesce(F.length(body) == 0, F.lit(True))
-    found = F.when(
-        ~empty,
-        F.concat(structural_violations(body), let(scanned, lambda t: text_violations(t, rules))),
-    ).otherwise(none)
-    out = df.withColumn("violations", found.cast(f"array<{VIOLATION}>"))
+    scanned = decoded(payload) if mode == "decoded" else payload
+    none = f"CAST(array() AS array<{VIOLATION}>)"
+    empty = f"coalesce(length({payload}) = 0, true)"
+    found = (
+        f"if({empty}, {none}, concat({structural_violations(payload)}, "
+        f"{let('body', scanned, text_violations('body', rules))}))"
+    )
+    out = evaluate_once(df, violations=found)
     hit = F.size("violations") > 0
-    blocked = hit if compat else (hit | empty)
+    blocked = hit if compat else (hit | F.expr(empty))
     return (
         out.withColumn("blocked", blocked)
         .withColumn("success", ~F.col("blocked"))

@@ -12,108 +12,81 @@ Two forms give the same numbers:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.detect import TOKEN
-from ..functions.text import PREFIXES, let
+from ..functions.text import PREFIXES, let, literal
 
 CHUNK = 1024
+EVENTS_OUT = "array<struct<category:string,confidence:double,placeholder:string>>"
 
 
-def first_seen(tokens: Column) -> Column:
-    return F.array_distinct(tokens)
+def evaluate_once(df: DataFrame, **columns: str) -> DataFrame:
+    """Add columns (SQL text) whose expressions are evaluated once per row.
 
-
-def lists_by_prefix(events: Column, prefixes: tuple[str, ...]) -> Column:
-    """struct with one list of distinct tokens, in order of first sight, per prefix."""
-    def of(prefix: str) -> Column:
-        own = F.filter(events, lambda e: e["prefix"] == prefix)
-        return first_seen(F.transform(own, lambda e: e["token"])).alias(prefix)
-
-    return F.struct(*[of(p) for p in prefixes])
+    A plain projection is copied by the optimizer into every filter above it. The
+    one-element ``inline`` keeps it in place.
+    """
+    fields = ", ".join(f"'{name}', {expr}" for name, expr in columns.items())
+    return df.selectExpr("*", f"inline(array(named_struct({fields})))")
 
 
 def known_prefixes(extra: tuple[str, ...] = ()) -> tuple[str, ...]:
     return tuple(dict.fromkeys([*PREFIXES.values(), *extra]))
 
 
-def number_of(lists: Column, prefix: Column, token: Column, prefixes: tuple[str, ...]) -> Column:
-    """1-based number of ``token`` in the list of its prefix, or null."""
-    found = F.lit(None).cast("bigint")
-    for p in prefixes:
-        found = F.when(prefix == p, F.array_position(lists[p], token)).otherwise(found)
-    return F.when(found > 0, found)
+def token_lists(events: str, prefixes: tuple[str, ...]) -> str:
+    """struct with one list of distinct tokens, in order of first sight, per prefix."""
+    fields = ", ".join(
+        f"'{p}', array_distinct(transform(filter({events}, v -> v.prefix = '{p}'), v -> v.token))"
+        for p in prefixes
+    )
+    return f"named_struct({fields})"
 
 
-def fill_numbers(text: Column, number_for: "callable") -> Column:
-    """Replace every token in ``text`` by the number that ``number_for(token)`` gives.
+def number_in(lists: str, token: str, prefixes: tuple[str, ...], otherwise: str = "NULL") -> str:
+    """1-based number of ``token`` among the tokens of its prefix.
+
+    A token is a digest over prefix and value, so it is in one list only.
+    """
+    found = ", ".join(f"nullif(array_position({lists}.{p}, {token}), 0)" for p in prefixes)
+    return f"coalesce({found}, {otherwise})"
+
+
+def fill_numbers(text: str, number: str) -> str:
+    """Replace every token in ``text`` by ``number``, SQL text over the token ``tok``.
 
     Only the token itself is replaced: the prefix before it is already plain text and
     may have been taken into a later match.
     """
-    def filled(tokens: Column) -> Column:
-        pieces = F.split(text, TOKEN, -1)
-        return F.array_join(
-            F.zip_with(
-                pieces,
-                tokens,
-                lambda p, t: F.concat(
-                    p,
-                    F.when(t.isNull(), F.lit("")).otherwise(
-                        F.coalesce(number_for(t).cast("string"), t)
-                    ),
-                ),
-            ),
-            "",
-        )
-
+    pattern = literal(TOKEN)
+    filled = (
+        f"array_join(zip_with(split({text}, {pattern}, -1), toks, (piece, tok) -> "
+        f"concat(piece, if(tok IS NULL, '', coalesce(CAST({number} AS STRING), tok)))), '')"
+    )
     return let(
-        F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)),
-        lambda tokens: F.when(F.size(tokens) > 0, filled(tokens)).otherwise(text),
+        "toks", f"regexp_extract_all({text}, {pattern}, 0)",
+        f"if(size(toks) > 0, {filled}, {text})",
     )
 
 
-def number_in_row(
-    text: Column, events: Column, prefixes: tuple[str, ...] | None = None
-) -> Column:
-    """struct(text, events) with numbers filled in, for a scan held in one row.
+def numbered_events(events: str, number: str) -> str:
+    """Events without tokens: category, confidence and the final placeholder."""
+    return (
+        f"transform({events}, v -> named_struct('category', v.category, 'confidence', v.confidence, "
+        f"'placeholder', concat(v.prefix, '_', CAST({number} AS STRING))))"
+    )
 
-    Events keep category and confidence and gain ``placeholder``; tokens are gone.
-    """
-    prefixes = prefixes or known_prefixes()
-
-    def numbered(lists: Column) -> Column:
-        def any_number(token: Column) -> Column:
-            return F.coalesce(*[
-                F.nullif(F.array_position(lists[p], token), F.lit(0).cast("bigint"))
-                for p in prefixes
-            ])
-
-        return F.struct(
-            fill_numbers(text, any_number).alias("text"),
-            F.transform(
-                events,
-                lambda e: F.struct(
-                    e["category"].alias("category"),
-                    e["confidence"].alias("confidence"),
-                    F.concat(
-                        e["prefix"], F.lit("_"),
-                        number_of(lists, e["prefix"], e["token"], prefixes),
-                    ).alias("placeholder"),
-                ),
-            ).alias("events"),
-        )
 
-    plain = F.struct(
-        text.alias("text"),
-        F.array().cast(
-            "array<struct<category:string,confidence:double,placeholder:string>>"
-        ).alias("events"),
-    )
-    return F.when(F.size(events) == 0, plain).otherwise(
-        let(lists_by_prefix(events, prefixes), numbered)
+def number_in_row(text: str, events: str, prefixes: tuple[str, ...]) -> str:
+    """struct(text, events) with numbers filled in, for a scan held in one row."""
+    done = (
+        f"named_struct('text', {fill_numbers(text, number_in('lists', 'tok', prefixes))}, "
+        f"'events', {numbered_events(events, number_in('lists', 'v.token', prefixes))})"
     )
+    plain = f"named_struct('text', {text}, 'events', CAST(array() AS {EVENTS_OUT}))"
+    return f"if(size({events}) = 0, {plain}, {let('lists', token_lists(events, prefixes), done)})"
 
 
 def rank_by_chunks(

@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions.detect import redact
 from ..functions.rules import RULES, PiiRule
-from .numbering import CHUNK, fill_numbers, known_prefixes, number_in_row, number_tokens
+from ..functions.text import let
+from .numbering import (
+    CHUNK,
+    EVENTS_OUT,
+    evaluate_once,
+    fill_numbers,
+    known_prefixes,
+    number_in_row,
+    number_tokens,
+    numbered_events,
+)
 
 
 def redact_rows(
@@ -18,14 +28,10 @@ def redact_rows(
     """Every row is a scan of its own. ``text`` is redacted in place and ``events``
     (category, confidence, placeholder) is added. One narrow stage: no shuffle."""
     prefixes = known_prefixes(tuple(r.prefix for r in rules))
-    return (
-        df.withColumn("_fold", redact(F.col(text), rules))
-        .withColumn(
-            "_done", number_in_row(F.col("_fold.text"), F.col("_fold.events"), prefixes)
-        )
-        .withColumn(text, F.col("_done.text"))
-        .withColumn("events", F.col("_done.events"))
-        .drop("_fold", "_done")
+    done = let("fold", redact(text, rules), number_in_row("fold.text", "fold.events", prefixes))
+    others = [c for c in df.columns if c != text]
+    return evaluate_once(df, _done=done).select(
+        *others, F.col("_done.text").alias(text), F.col("_done.events").alias("events")
     )
 
 
@@ -43,7 +49,7 @@ def redact_scans(
     shuffled is the distinct tokens and, per chunk of rows, the tokens that occur in
     it. Rows without events skip the substitution join entirely.
     """
-    folded = df.withColumn("_fold", redact(F.col(text), rules)).withColumn(
+    folded = evaluate_once(df, _fold=redact(text, rules)).withColumn(
         "_chunk", F.floor(F.col(position) / chunk)
     )
     events = folded.where(F.size("_fold.events") > 0).select(
@@ -61,24 +67,13 @@ def redact_scans(
         .agg(F.map_from_entries(F.collect_list(F.struct("token", "n"))).alias("_numbers"))
     )
     clean = folded.where(F.size("_fold.events") == 0).select(
-        *df.columns,
-        F.array().cast(
-            "array<struct<category:string,confidence:double,placeholder:string>>"
-        ).alias("events"),
+        *df.columns, F.expr(f"CAST(array() AS {EVENTS_OUT})").alias("events")
     )
     hit = folded.where(F.size("_fold.events") > 0).join(by_chunk, [*scan, "_chunk"])
-    number_for = lambda token: F.try_element_at(F.col("_numbers"), token)
-    hit = hit.withColumn(text, fill_numbers(F.col("_fold.text"), number_for)).withColumn(
-        "events",
-        F.transform(
-            "_fold.events",
-            lambda e: F.struct(
-                e["category"].alias("category"),
-                e["confidence"].alias("confidence"),
-                F.concat(
-                    e["prefix"], F.lit("_"), number_for(e["token"]).cast("string")
-                ).alias("placeholder"),
-            ),
-        ),
+    final = fill_numbers("_fold.text", "try_element_at(_numbers, tok)")
+    events_out = numbered_events("_fold.events", "try_element_at(_numbers, v.token)")
+    others = [c for c in df.columns if c != text]
+    hit = hit.select(
+        *others, F.expr(final).alias(text), F.expr(events_out).alias("events")
     )
-    return clean.unionByName(hit.select(*df.columns, "events"))
+    return clean.unionByName(hit)

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.detect import NO_EVENTS, TOKEN, redact, token_of
+from ..functions.detect import NO_EVENTS, TOKEN, event, redact, token_of
 from ..functions.rules import RULES, PiiRule
 from ..functions.text import (
     NOT_AFTER_WORD,
@@ -21,11 +21,12 @@ from ..functions.text import (
     is_blank,
     is_placeholder,
     let,
+    literal,
     normalise_key,
     prefix_of,
     strip,
 )
-from .numbering import fill_numbers, known_prefixes, lists_by_prefix
+from .numbering import evaluate_once, fill_numbers, known_prefixes, number_in, token_lists
 
 ELEMENT = (
     "struct<id:string,tag:string,type:string,label:string,text:string,name:string,"
@@ -45,206 +46,135 @@ ADDRESS_FIELD = f"(?i){NOT_AFTER_WORD}(?:address|residence|street){NOT_BEFORE_WO
 PERSON_VALUE = f"^[A-Z][a-z]+(?:[{WS}]+[A-Z][a-z]+){{1,3}}\\z"
 
 
-def target_of(e: Column) -> Column:
-    """id, else selector, else ``unknown``."""
-    empty = F.lit("")
-    return F.coalesce(F.nullif(e["id"], empty), F.nullif(e["selector"], empty), F.lit("unknown"))
+def target_of(e: str = "") -> str:
+    """id, else selector, else ``unknown``; ``e`` is the element's name and a dot."""
+    return f"coalesce(nullif({e}id, ''), nullif({e}selector, ''), 'unknown')"
 
 
-def _event(category: str, prefix: str, token: Column, confidence: float) -> Column:
-    return F.array(
-        F.struct(
-            F.lit(category).alias("category"), F.lit(prefix).alias("prefix"),
-            token.alias("token"), F.lit(confidence).alias("confidence"),
-        )
-    )
-
-
-def _heuristics(e: Column, value: Column) -> Column:
+def _heuristics(value: str) -> str:
     """Name and address fields: struct(value, events) for a form value after the fold."""
-    meta = F.concat_ws(
-        " ", *[F.coalesce(e[f], F.lit("")) for f in ("label", "name", "selector")]
-    )
-    tail = f"[0-9]+|{TOKEN}"
-    open_value = lambda v: ~is_blank(v) & ~is_placeholder(v, tail)
-    person = open_value(value) & meta.rlike(NAME_FIELD) & strip(value).rlike(PERSON_VALUE)
-
-    def after_name(named: Column) -> Column:
-        v = named["value"]
-        place = open_value(v) & meta.rlike(ADDRESS_FIELD) & ~meta.rlike("(?i)email")
-        token = token_of("ADDRESS", normalise_key("address", v))
-        return F.when(
-            place,
-            F.struct(
-                F.concat(F.lit("ADDRESS_"), token).alias("value"),
-                F.concat(named["events"], _event("address", "ADDRESS", token, 0.7)).alias("events"),
-            ),
-        ).otherwise(named)
-
-    token = token_of("PERSON", normalise_key("name", value))
-    named = F.when(
-        person,
-        F.struct(
-            F.concat(F.lit("PERSON_"), token).alias("value"),
-            _event("name", "PERSON", token, 0.7).alias("events"),
-        ),
-    ).otherwise(
-        F.struct(value.alias("value"), F.array().cast(NO_EVENTS).alias("events"))
-    )
-    return let(named, after_name)
+    meta = "concat_ws(' ', coalesce(e.label, ''), coalesce(e.name, ''), coalesce(e.selector, ''))"
 
+    def still_open(v: str) -> str:
+        return f"NOT {is_blank(v)} AND NOT {is_placeholder(v, f'[0-9]+|{TOKEN}')}"
 
-def _fold_element(e: Column, index: Column, rules: Sequence[PiiRule]) -> Column:
-    """struct(text, value, events, purged): one element before numbering."""
-    none = F.array().cast(NO_EVENTS)
-    purged = F.coalesce(e["sensitive"], F.lit(False))
-    is_form = F.coalesce(e["tag"].isin(*FORM_TAGS), F.lit(False))
+    def taken(prefix: str, category: str, v: str, before: str) -> str:
+        replaced = (
+            f"named_struct('value', concat('{prefix}_', tk), 'events', concat({before}, "
+            f"array({event(repr(category), repr(prefix), 'tk', 0.7)})))"
+        )
+        return let("tk", token_of(repr(prefix), normalise_key(category, v)), replaced)
 
-    category = F.coalesce(
-        F.nullif(e["category"], F.lit("")),
-        F.when(e["type"] == "password", F.lit("password")).otherwise(F.lit("sensitive")),
+    person = (
+        f"{still_open(value)} AND rlike(meta, {literal(NAME_FIELD)}) "
+        f"AND rlike({strip(value)}, {literal(PERSON_VALUE)})"
     )
+    place = (
+        f"{still_open('named.value')} AND rlike(meta, {literal(ADDRESS_FIELD)}) "
+        "AND NOT contains(lower(meta), 'email')"
+    )
+    plain = f"named_struct('value', {value}, 'events', {NO_EVENTS})"
+    named = f"if({person}, {taken('PERSON', 'name', value, NO_EVENTS)}, {plain})"
+    address = taken("ADDRESS", "address", "named.value", "named.events")
+    return let("meta", meta, let("named", named, f"if({place}, {address}, named)"))
 
-    def purge(prefix: Column) -> Column:
-        # numbered per instance: the key is the element's place, not a value
-        key = F.concat(F.lit("\x01"), index.cast("string"))
-        token = token_of(prefix, key)
-        return F.struct(
-            F.when(e["text"].isNotNull(), F.concat(prefix, F.lit("_"), token)).alias("text"),
-            F.lit(None).cast("string").alias("value"),
-            F.array(
-                F.struct(
-                    category.alias("category"), prefix.alias("prefix"),
-                    token.alias("token"), F.lit(1.0).alias("confidence"),
-                )
-            ).alias("events"),
-            F.lit(True).alias("purged"),
-        )
-
-    def scan(parts: Column) -> Column:
-        text_part, value_part = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-        plain = F.struct(value_part["text"].alias("value"), none.alias("events"))
-        return let(
-            F.when(
-                is_form & (F.length(e["value"]) > 0), _heuristics(e, value_part["text"])
-            ).otherwise(plain),
-            lambda h: F.struct(
-                text_part["text"].alias("text"),
-                h["value"].alias("value"),
-                F.concat(text_part["events"], value_part["events"], h["events"]).alias("events"),
-                F.lit(False).alias("purged"),
-            ),
-        )
 
-    # Form controls: the value only; anything else: the text, then a stray value.
-    both = F.array(
-        F.struct(e["text"].alias("text"), (~is_form).alias("on")),
-        F.struct(e["value"].alias("text"), F.lit(True).alias("on")),
+def _fold_element(rules: Sequence[PiiRule]) -> str:
+    """struct(text, value, events, purged) of element ``e`` at index ``i``, unnumbered."""
+    form = f"coalesce(e.tag IN {FORM_TAGS}, false)"
+    category = (
+        "coalesce(nullif(e.category, ''), if(e.type <=> 'password', 'password', 'sensitive'))"
     )
-    parts = F.transform(
-        both,
-        lambda p: F.when(p["on"] & ~is_blank(p["text"]), redact(p["text"], rules)).otherwise(
-            F.struct(p["text"].alias("text"), none.alias("events"))
+    # numbered per instance: the key is the element's place, not a value
+    instance = "concat(chr(1), CAST(i AS STRING))"
+    purge = let(
+        "px", prefix_of(category),
+        let(
+            "tk", token_of("px", instance),
+            "named_struct('text', if(e.text IS NULL, NULL, concat(px, '_', tk)), "
+            "'value', CAST(NULL AS STRING), "
+            f"'events', array({event(category, 'px', 'tk', 1.0)}), 'purged', true)",
         ),
     )
-    return F.when(purged, let(prefix_of(category), purge)).otherwise(let(parts, scan))
+    # form controls: the value only; anything else: the text, then a stray value
+    parts = (
+        f"transform(array(named_struct('t', e.text, 'on', NOT {form}), "
+        "named_struct('t', e.value, 'on', true)), part -> "
+        f"if(part.on AND NOT {is_blank('part.t')}, {redact('part.t', rules)}, "
+        f"named_struct('text', part.t, 'events', {NO_EVENTS})))"
+    )
+    no_field = f"named_struct('value', folded[1].text, 'events', {NO_EVENTS})"
+    scanned = let(
+        "folded", parts,
+        let(
+            "field",
+            f"if({form} AND coalesce(length(e.value) > 0, false), "
+            f"{_heuristics('folded[1].text')}, {no_field})",
+            "named_struct('text', folded[0].text, 'value', field.value, "
+            "'events', concat(folded[0].events, folded[1].events, field.events), 'purged', false)",
+        ),
+    )
+    return f"if(coalesce(e.sensitive, false), {purge}, {scanned})"
 
 
 def sanitize_scans(
-    df: DataFrame,
-    elements: str = "elements",
-    rules: Sequence[PiiRule] = RULES,
-    placeholders_in_text: tuple[str, ...] = (),
+    df: DataFrame, elements: str = "elements", rules: Sequence[PiiRule] = RULES
 ) -> DataFrame:
     """Replace ``elements`` by their sanitised form and add ``redactions``.
 
     ``redactions`` is the value-free log: the first entry per (target, category).
     A missing element list counts as empty. ``totalElements`` is recomputed.
     """
-    prefixes = known_prefixes((*placeholders_in_text, *(r.prefix for r in rules)))
-    source = F.coalesce(F.col(elements), F.array().cast(f"array<{ELEMENT}>"))
-    folded = F.transform(
-        source,
-        lambda e, i: F.struct(e.alias("e"), _fold_element(e, i, rules).alias("f")),
+    prefixes = known_prefixes(tuple(r.prefix for r in rules))
+    source = f"coalesce({elements}, CAST(array() AS array<{ELEMENT}>))"
+    folded = evaluate_once(
+        df,
+        _els=f"transform({source}, (e, i) -> named_struct('e', e, 'f', {_fold_element(rules)}))",
     )
-    out = (
-        df.withColumn("_els", folded)
-        .withColumn(
-            "_events",
-            F.flatten(
-                F.transform(
-                    "_els",
-                    lambda x: F.transform(
-                        x["f"]["events"],
-                        lambda v: F.struct(
-                            target_of(x["e"]).alias("target"),
-                            x["e"]["selector"].alias("selector"),
-                            v["category"].alias("category"),
-                            v["prefix"].alias("prefix"),
-                            v["token"].alias("token"),
-                            v["confidence"].alias("confidence"),
-                        ),
-                    ),
-                )
-            ),
-        )
-        .withColumn("_lists", lists_by_prefix(F.col("_events"), prefixes))
+    events = (
+        "flatten(transform(_els, x -> transform(x.f.events, v -> named_struct("
+        f"'target', {target_of('x.e.')}, 'selector', x.e.selector, 'category', v.category, "
+        "'prefix', v.prefix, 'token', v.token, 'confidence', v.confidence))))"
+    )
+    listed = evaluate_once(
+        evaluate_once(folded, _events=events), _lists=token_lists("_events", prefixes)
     )
 
-    def number(token: Column) -> Column:
-        zero = F.lit(0).cast("bigint")
-        known = [F.nullif(F.array_position(F.col(f"_lists.{p}"), token), zero) for p in prefixes]
-        return F.coalesce(*known, other_number(token))
-
-    def other_number(token: Column) -> Column:
-        # a prefix made from an element's own category
-        own = F.filter("_events", lambda v: ~v["prefix"].isin(*prefixes))
-        mine = F.get(F.filter(own, lambda v: v["token"] == token), F.lit(0))["prefix"]
-        same = F.filter(own, lambda v: v["prefix"] == mine)
-        at = F.array_position(
-            F.array_distinct(F.transform(same, lambda v: v["token"])), token
+    def number(token: str) -> str:
+        # the last resort is for prefixes made from an element's own category
+        mine = f"filter(_events, o -> o.token = {token})[0].prefix"
+        own = (
+            f"nullif(array_position(array_distinct(transform(filter(_events, o -> "
+            f"o.prefix = {mine}), o -> o.token)), {token}), 0)"
         )
-        return F.nullif(at, F.lit(0).cast("bigint"))
-
-    def finished(x: Column) -> Column:
-        e, f = x["e"], x["f"]
-        new = {
-            "text": fill_numbers(f["text"], number),
-            "value": fill_numbers(f["value"], number),
-            "has_value": F.coalesce(e["has_value"], F.lit(False)) & ~f["purged"],
-            "sensitive": F.coalesce(e["sensitive"], F.lit(False)) | (F.size(f["events"]) > 0),
-        }
-        return F.struct(*[
-            new.get(name, e[name]).alias(name) for name in ELEMENT_FIELDS
-        ])
-
-    log = F.transform(
-        "_events",
-        lambda v: F.struct(
-            v["target"].alias("id"),
-            v["category"].alias("category"),
-            v["confidence"].alias("confidence"),
-            F.lit("dom").alias("source"),
-            F.concat(v["prefix"], F.lit("_"), number(v["token"]).cast("string")).alias("placeholder"),
-            v["selector"].alias("selector"),
+        return number_in("_lists", token, prefixes, own)
+
+    new = {
+        "text": fill_numbers("x.f.text", number("tok")),
+        "value": fill_numbers("x.f.value", number("tok")),
+        "has_value": "coalesce(x.e.has_value, false) AND NOT x.f.purged",
+        "sensitive": "coalesce(x.e.sensitive, false) OR size(x.f.events) > 0",
+    }
+    fields = ", ".join(f"'{n}', {new.get(n, 'x.e.' + n)}" for n in ELEMENT_FIELDS)
+    log = (
+        "transform(_events, v -> named_struct('id', v.target, 'category', v.category, "
+        "'confidence', v.confidence, 'source', 'dom', 'placeholder', "
+        f"concat(v.prefix, '_', CAST({number('v.token')} AS STRING)), 'selector', v.selector))"
+    )
+    first = let(
+        "log", log,
+        let(
+            "keys", "transform(log, r -> concat_ws('::', r.id, r.category))",
+            "filter(log, (r, i) -> array_position(keys, keys[i]) = i + 1)",
         ),
     )
-
-    def first_per_target(entries: Column) -> Column:
-        keys = F.transform(entries, lambda r: F.concat_ws("::", r["id"], r["category"]))
-        return let(
-            keys,
-            lambda ks: F.filter(
-                entries, lambda r, i: F.array_position(ks, F.get(ks, i)) == i + 1
-            ),
-        )
-
-    return (
-        out.withColumn("_log", log)
-        .withColumn("redactions", first_per_target(F.col("_log")))
-        .withColumn(elements, F.transform("_els", finished))
-        .withColumn("totalElements", F.size(elements))
-        .drop("_els", "_events", "_lists", "_log")
+    done = evaluate_once(
+        listed, _done=f"transform(_els, x -> named_struct({fields}))", redactions=first
+    )
+    others = [c for c in df.columns if c not in (elements, "redactions", "totalElements")]
+    return done.select(
+        *others, F.col("_done").alias(elements), "redactions",
+        F.size("_done").alias("totalElements"),
     )
 
 

@@ -24,13 +24,12 @@ def redact_documents(spark: SparkSession, folder: str) -> DataFrame:
 def _rule_query(category: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         rule = BY_CATEGORY[category]
-        text = F.col("text")
         return (
             documents(spark, folder)
             .select(
                 "doc_id",
-                F.size(candidates(text, rule)).alias("n_candidates"),
-                F.size(matches(text, rule)).alias("n_matches"),
+                F.expr(f"size({candidates('text', rule)})").alias("n_candidates"),
+                F.expr(f"size({matches('text', rule)})").alias("n_matches"),
             )
             .where("n_candidates > 0")
         )
@@ -58,9 +57,8 @@ def document_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def match_position_rows(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.col("text")
     found = F.concat(*[
-        F.transform(match_positions(text, BY_CATEGORY[c]), _with_category(c))
+        F.transform(F.expr(match_positions("text", BY_CATEGORY[c])), _with_category(c))
         for c in GATE_CATEGORIES
     ])
     return documents(spark, folder).select("doc_id", F.explode(found).alias("m")).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import NOT_AFTER_WORD, is_placeholder, luhn_valid, normalise_key, prefix_of
+from ..functions.text import is_placeholder, luhn_valid, normalise_key_of, prefix_of
 from ..operators.gate import gate, split_gate, violation_rows, violations_by_category
 from ..operators.sanitize import log_counts, redaction_log, sanitize_scans, target_of
 from . import oracle as o
@@ -49,8 +49,8 @@ def log_count_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def target_refs(spark: SparkSession, folder: str) -> DataFrame:
-    rows = form_elements(spark, folder).withColumn("e", F.struct("id", "selector"))
-    return rows.groupBy(target_of(F.col("e")).alias("target")).agg(
+    rows = form_elements(spark, folder)
+    return rows.groupBy(F.expr(target_of()).alias("target")).agg(
         F.count(F.lit(1)).alias("elements")
     )
 
@@ -63,14 +63,12 @@ def normalise_keys(spark: SparkSession, folder: str) -> DataFrame:
     ).when(F.col("name") == "pan", "pan").when(
         F.col("name").isin("aadhaar", "cardField"), "card"
     ).when(F.col("name") == "fullName", "name").otherwise("note")
-    return rows.select(
+    return rows.withColumn("cat", category).selectExpr(
         "scan_id", "ord",
-        normalise_key(category, F.col("value")).alias("key"),
-        prefix_of(category).alias("prefix"),
-        luhn_valid(F.col("value")).alias("luhn"),
-        is_placeholder(F.concat(F.upper(category), F.lit("_"), F.col("ord").cast("string"))).alias(
-            "placeholder_like"
-        ),
+        f"{normalise_key_of('cat', 'value')} AS key",
+        f"{prefix_of('cat')} AS prefix",
+        f"{luhn_valid('value')} AS luhn",
+        f"{is_placeholder('concat(upper(cat), chr(95), ord)')} AS placeholder_like",
     )
 
 
