@@ -142,7 +142,7 @@ def sanitize_scans(
 
     def number(token: str) -> str:
         # the last resort is for prefixes made from an element's own category
-        mine = f"filter(_events, o -> o.token = {token})[0].prefix"
+        mine = f"get(filter(_events, o -> o.token = {token}), 0).prefix"
         own = (
             f"nullif(array_position(array_distinct(transform(filter(_events, o -> "
             f"o.prefix = {mine}), o -> o.token)), {token}), 0)"

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, elements
+from . import actions, documents, elements, pages
 
-MODULES = (documents, elements)
+MODULES = (documents, elements, pages, actions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
