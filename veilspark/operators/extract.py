@@ -175,6 +175,25 @@ def extract_pages(pages: DataFrame, markup: str = "html") -> DataFrame:
     )
 
 
+def visual_candidates(pages: DataFrame, key: str, markup: str = "html") -> DataFrame:
+    """Elements to recognise, with their pixels where the markup holds them. Pixels
+    occur in this table only; no element list carries them."""
+    src = "d.n.attrs['src']"
+    seen = trigger(
+        "d.n.tag", "CAST(NULL AS STRING)", alt="d.n.attrs['alt']", text="d.t",
+        name="d.n.attrs['name']", is_form="is_form",
+    )
+    rows = (
+        f"filter(transform(kept, (d, i) -> named_struct('element_id', format_string('el_%03d', i + 1), "
+        f"'on', d.n.tag IN {VISUAL_TAGS} AND {seen}.trigger, "
+        f"'pixels', if(startswith({src}, 'data:image'), {src}, NULL))), x -> x.on)"
+    )
+    found = evaluate_once(page_candidates(pages, markup), visual=rows)
+    return found.select(key, F.explode("visual").alias("x")).select(
+        key, "x.element_id", F.col("x.pixels").alias("visualDataUrl")
+    )
+
+
 def element_rows(scans: DataFrame, keys: list[str]) -> DataFrame:
     return scans.select(*keys, F.posexplode("elements").alias("p", "e")).select(
         *keys, (F.col("p") + 1).alias("ord"), "e.*"

@@ -118,12 +118,17 @@ def _fold_element(rules: Sequence[PiiRule]) -> str:
 
 
 def sanitize_scans(
-    df: DataFrame, elements: str = "elements", rules: Sequence[PiiRule] = RULES
+    df: DataFrame,
+    elements: str = "elements",
+    rules: Sequence[PiiRule] = RULES,
+    keep_registry: bool = False,
 ) -> DataFrame:
     """Replace ``elements`` by their sanitised form and add ``redactions``.
 
     ``redactions`` is the value-free log: the first entry per (target, category).
     A missing element list counts as empty. ``totalElements`` is recomputed.
+    ``keep_registry`` adds the scan's tokens per prefix, in number order, for a vision
+    stage that goes on counting; it holds digests only and is dropped by that stage.
     """
     prefixes = known_prefixes(tuple(r.prefix for r in rules))
     source = f"coalesce({elements}, CAST(array() AS array<{ELEMENT}>))"
@@ -172,9 +177,10 @@ def sanitize_scans(
         listed, _done=f"transform(_els, x -> named_struct({fields}))", redactions=first
     )
     others = [c for c in df.columns if c not in (elements, "redactions", "totalElements")]
+    private = [F.col("_lists").alias("registry")] if keep_registry else []
     return done.select(
         *others, F.col("_done").alias(elements), "redactions",
-        F.size("_done").alias("totalElements"),
+        F.size("_done").alias("totalElements"), *private,
     )
 
 

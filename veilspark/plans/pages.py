@@ -107,7 +107,11 @@ def form_page_elements(spark: SparkSession, folder: str) -> DataFrame:
 
 def _elements_sql() -> str:
     """The given pages have one shape: a nav list, then a headline and paragraphs."""
-    unescape = "replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+    # an entity cut off at the end of a page still counts without its semicolon
+    unescape = (
+        "regexp_replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), "
+        "'&quot;', '\"'), '&#x27;', ''''), '&amp;?', '&', 'g')"
+    )
     p_text = o.strip_sql(o.collapse_sql(unescape.format(
         x="regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')"
     )))

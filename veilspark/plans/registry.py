@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import actions, documents, elements, pages
+from . import actions, audits, documents, elements, pages, vision
 
-MODULES = (documents, elements, pages, actions)
+MODULES = (documents, elements, pages, audits, vision, actions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
