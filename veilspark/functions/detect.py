@@ -112,6 +112,12 @@ def _apply_rule(state: str, rule: PiiRule) -> str:
     )
 
 
+def can_match(text: str, rules: Sequence[PiiRule] = RULES) -> str:
+    """False only where no rule can fire: substring tests and short patterns."""
+    tests = " OR ".join(dict.fromkeys(r.necessary(text) for r in rules))
+    return f"coalesce({tests or 'false'}, false)"
+
+
 def redact(text: str, rules: Sequence[PiiRule] = RULES) -> str:
     """struct(text, events): ``text`` with tokens in place of personal data.
 
@@ -119,8 +125,7 @@ def redact(text: str, rules: Sequence[PiiRule] = RULES) -> str:
     rule can fire pass through after a few cheap substring tests.
     """
     start = f"named_struct('text', {text}, 'events', {NO_EVENTS})"
-    possible = " OR ".join(dict.fromkeys(r.necessary(text) for r in rules))
     body = f"s{len(rules)}"
     for i in reversed(range(len(rules))):
         body = let(f"s{i + 1}", _apply_rule(f"s{i}", rules[i]), body)
-    return f"if({possible or 'false'}, {let('s0', start, body)}, {start})"
+    return f"if({can_match(text, rules)}, {let('s0', start, body)}, {start})"

@@ -52,9 +52,10 @@ def let(name: str, value: str, body: str) -> str:
     """Evaluate ``value`` once and use it in ``body`` as ``name``.
 
     Without this, an expression used twice is also planned twice, and a chain of
-    rules would double in size at every rule.
+    rules would double in size at every rule. The aggregate has nothing to add up: its
+    start value is bound to the name that the final step uses.
     """
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
+    return f"aggregate(array(), {value}, (acc, x) -> acc, {name} -> {body})"
 
 
 def strip(text: str) -> str:

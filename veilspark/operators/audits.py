@@ -32,21 +32,12 @@ def secret_audit(
     anchored = wanted.withColumn("_gram", F.substring("_s", 1, GRAM))
     # at most GRAM distinct lengths, whatever the number of secrets
     lengths = sorted(r[0] for r in anchored.select(F.length("_gram")).distinct().collect())
-    grams = F.array_distinct(
-        F.flatten(
-            F.array(*[
-                F.expr(
-                    f"transform(sequence(1, greatest(1, length({payload}) - {n - 1})), "
-                    f"i -> substr({payload}, i, {n}))"
-                )
-                for n in lengths
-            ])
-        )
-    )
+    # every substring of those lengths, in one pass: a look-ahead moves on by one character
+    grams = ", ".join(f"regexp_extract_all({payload}, r'(?s)(?=(.{{{n}}}))', 1)" for n in lengths)
     # only the key and the grams travel; texts are joined back for the few that met
     met = (
-        payloads.select(key, F.explode(grams).alias("_gram"))
-        .join(anchored, "_gram").select(key, "_s")
+        payloads.select(key, F.explode(F.expr(f"flatten(array({grams}))")).alias("_gram"))
+        .join(anchored, "_gram").select(key, "_s").distinct()
     )
     return (
         met.join(payloads.select(key, payload), key)

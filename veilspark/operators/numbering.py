@@ -145,17 +145,15 @@ def rank_by_chunks(
 
 
 def number_tokens(
-    events: DataFrame, scan: list[str], position: str, sequence: str, chunk: int = CHUNK
+    seen: DataFrame, scan: list[str], position: str, sequence: str, chunk: int = CHUNK
 ) -> DataFrame:
     """One row per distinct (scan, prefix, token) with its number ``n``.
 
-    ``events`` has one row per event: scan columns, ``prefix``, ``token``, the row's
-    ``position`` in the scan and the event's ``sequence`` in the row. Repeats of a value
-    are folded on the map side before anything is shuffled.
+    ``seen`` has the scan columns, ``prefix``, ``token`` and ``_first``, the
+    struct(position, sequence) of a sighting; repeats are folded on the map side.
     """
     first = (
-        events.groupBy(*scan, "prefix", "token")
-        .agg(F.min(F.struct(F.col(position), F.col(sequence))).alias("_first"))
+        seen.groupBy(*scan, "prefix", "token").agg(F.min("_first").alias("_first"))
         .select(
             *scan, "prefix", "token",
             F.col(f"_first.{position}").alias(position),

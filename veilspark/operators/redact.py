@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.detect import redact
+from ..functions.detect import can_match, redact
 from ..functions.rules import RULES, PiiRule
 from ..functions.text import let
 from .numbering import (
@@ -45,11 +45,12 @@ def redact_scans(
 ) -> DataFrame:
     """A scan is many rows, ordered by the integer column ``position``.
 
-    Texts are read once for the events and once for the final substitution; what is
-    shuffled is the distinct tokens and, per chunk of rows, the tokens that occur in
-    it. Rows without events skip the substitution join entirely.
+    Rows on which no rule can fire pass by untouched. The others are folded once for
+    their events and once for the substitution; what is shuffled is the distinct tokens
+    and those rows, by chunk.
     """
-    folded = evaluate_once(df, _fold=redact(text, rules)).withColumn(
+    possible = F.expr(can_match(text, rules))
+    folded = evaluate_once(df.where(possible), _fold=redact(text, rules)).withColumn(
         "_chunk", F.floor(F.col(position) / chunk)
     )
     events = folded.where(F.size("_fold.events") > 0).select(
@@ -58,18 +59,24 @@ def redact_scans(
         *scan, position, "_chunk", "_seq",
         F.col("_e.prefix").alias("prefix"), F.col("_e.token").alias("token"),
     )
-    numbers = number_tokens(events, scan, position, "_seq", chunk)
-    # A value repeated all over a scan is folded to one row per chunk before the join.
+    # A value repeated all over a scan is folded to one row per chunk, before anything
+    # else: numbering and substitution both start from this one shuffle.
+    seen = events.groupBy(*scan, "_chunk", "prefix", "token").agg(
+        F.min(F.struct(F.col(position), F.col("_seq"))).alias("_first")
+    )
+    numbers = number_tokens(seen, scan, position, "_seq", chunk)
     by_chunk = (
-        events.select(*scan, "_chunk", "prefix", "token").distinct()
-        .join(numbers.select(*scan, "prefix", "token", "n"), [*scan, "prefix", "token"])
+        seen.join(numbers.select(*scan, "prefix", "token", "n"), [*scan, "prefix", "token"])
         .groupBy(*scan, "_chunk")
-        .agg(F.map_from_entries(F.collect_list(F.struct("token", "n"))).alias("_numbers"))
+        .agg(F.sort_array(F.collect_list(F.struct("_first", "token", "n"))).alias("_list"))
+        .select(*scan, "_chunk", F.expr(
+            "map_from_entries(transform(_list, x -> struct(x.token, x.n)))"
+        ).alias("_numbers"))
     )
-    clean = folded.where(F.size("_fold.events") == 0).select(
+    clean = df.where(~possible).select(
         *df.columns, F.expr(f"CAST(array() AS {EVENTS_OUT})").alias("events")
     )
-    hit = folded.where(F.size("_fold.events") > 0).join(by_chunk, [*scan, "_chunk"])
+    hit = folded.join(by_chunk, [*scan, "_chunk"], "left")
     final = fill_numbers("_fold.text", "try_element_at(_numbers, tok)")
     events_out = numbered_events("_fold.events", "try_element_at(_numbers, v.token)")
     others = [c for c in df.columns if c != text]
