@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import actions, audits, documents, elements, pages, vision
+from . import actions, audits, documents, elements, pages, streams, vision
 
-MODULES = (documents, elements, pages, audits, vision, actions)
+MODULES = (documents, elements, pages, audits, vision, actions, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
