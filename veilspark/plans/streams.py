@@ -43,7 +43,10 @@ def stream_registry(spark: SparkSession, folder: str) -> DataFrame:
     events = evaluate_once(turns, _fold=redact("text")).select(
         F.col("conv_id").alias("scan_id"), F.col("turn").alias("position"),
         F.posexplode("_fold.events").alias("seq", "e"),
-    ).select("scan_id", "position", "seq", "e.prefix", "e.token")
+    ).select(
+        "scan_id", "position", "seq", "e.prefix", "e.token",
+        F.timestamp_seconds(F.col("position") * 60).alias("ts"),
+    )
     numbers = run_to_table(token_registry(events), "registry")
     return numbers.groupBy("scan_id", "prefix").agg(
         F.count(F.lit(1)).alias("numbers"), F.max("n").alias("highest"),

@@ -86,30 +86,36 @@ REGISTRY_SCHEMA = T.StructType([
 
 class Registry(StatefulProcessor):
     """token -> number for one (scan, prefix). Numbers once given never change; a value
-    that turns up later gets the next one. The entry expires when the scan has been quiet."""
+    that turns up later gets the next one. When event time has passed the scan's last
+    event by ``quiet_ms``, the entry is cleared: a later scan of that key starts at 1."""
 
     def __init__(self, quiet_ms: int) -> None:
         self.quiet_ms = quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.numbers = handle.getMapState(
             "numbers", T.StructType([T.StructField("token", T.StringType())]),
-            T.StructType([T.StructField("n", T.LongType())]), self.quiet_ms,
+            T.StructType([T.StructField("n", T.LongType())]),
         )
         self.count = handle.getValueState(
-            "count", T.StructType([T.StructField("n", T.LongType())]), self.quiet_ms
+            "count", T.StructType([
+                T.StructField("n", T.LongType()), T.StructField("ends", T.LongType()),
+            ]),
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):  # noqa: N802, N803
         first: dict[str, tuple] = {}
+        latest = 0
         for batch in rows:
+            latest = max(latest, int(batch["at_ms"].max()))
             for token, position, seq in zip(
                 batch["token"], batch["position"], batch["seq"], strict=True
             ):
                 place = (position, seq)
                 if token not in first or place < first[token]:
                     first[token] = place
-        n = self.count.get()[0] if self.count.exists() else 0
+        n, ends = self.count.get() if self.count.exists() else (0, 0)
         out = []
         for token in sorted(first, key=first.get):
             if self.numbers.containsKey((token,)):
@@ -117,20 +123,34 @@ class Registry(StatefulProcessor):
             n += 1
             self.numbers.updateValue((token,), (n,))
             out.append((int(key[0]), key[1], token, n))
-        self.count.update((n,))
+        if latest + self.quiet_ms > ends:
+            if ends:
+                self.handle.deleteTimer(ends)
+            ends = latest + self.quiet_ms
+            self.handle.registerTimer(ends)
+        self.count.update((n, ends))
         yield pd.DataFrame(out, columns=REGISTRY_SCHEMA.names)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self.numbers.clear()
+        self.count.clear()
+        yield pd.DataFrame([], columns=REGISTRY_SCHEMA.names)
+
     def close(self) -> None:
         pass
 
 
-def token_registry(events: DataFrame, quiet_minutes: int = 24 * 60) -> DataFrame:
+def token_registry(
+    events: DataFrame, event_time: str = "ts", delay: str = "1 hour", quiet_minutes: int = 24 * 60
+) -> DataFrame:
     """Streaming form of the numbering: new (scan, prefix, token, n) as they are given out.
 
-    ``events``: scan_id, prefix, token, position, seq - digests, never raw values.
+    ``events``: scan_id, prefix, token, position, seq and the event time - digests, never
+    raw values. State is bounded by the watermark: a quiet scan is forgotten.
     """
     keyed_state(events.sparkSession)
-    return events.groupBy("scan_id", "prefix").transformWithStateInPandas(
+    timed = events.withWatermark(event_time, delay).withColumn("at_ms", F.unix_millis(event_time))
+    return timed.groupBy("scan_id", "prefix").transformWithStateInPandas(
         statefulProcessor=Registry(quiet_minutes * 60_000), outputStructType=REGISTRY_SCHEMA,
-        outputMode="Append", timeMode="ProcessingTime",
+        outputMode="Append", timeMode="EventTime",
     )
