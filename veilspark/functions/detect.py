@@ -17,6 +17,7 @@ from .text import let, literal, normalise_key
 TOKEN_LENGTH = 40
 TOKEN = f"[a-p]{{{TOKEN_LENGTH}}}"
 EVENTS = "array<struct<category:string,prefix:string,token:string,confidence:double>>"
+MARK = "chr(1)"
 NO_EVENTS = f"CAST(array() AS {EVENTS})"
 
 
@@ -60,10 +61,22 @@ def matches(text: str, rule: PiiRule) -> str:
     return f"filter({raws}, r -> {rule.validate('r')})" if rule.validate else raws
 
 
+def pieces(text: str, rule: PiiRule) -> str:
+    """The parts of ``text`` between matches: one more than there are matches.
+
+    ``split`` compiles its pattern anew for every row; ``regexp_replace`` keeps it, and a
+    split at a single character needs none. Texts that hold the character already are
+    split by the pattern.
+    """
+    pattern = literal(rule.pattern)
+    marked = f"split(regexp_replace({text}, {pattern}, {MARK}), {MARK}, -1)"
+    return f"if(contains({text}, {MARK}), split({text}, {pattern}, -1), {marked})"
+
+
 def match_positions(text: str, rule: PiiRule) -> str:
     """Accepted matches of one rule as struct(start, length); start counts from 0."""
     spans = (
-        f"zip_with(split({text}, {literal(rule.pattern)}, -1), found, (p, c) -> "
+        f"zip_with({pieces(text, rule)}, found, (p, c) -> "
         "named_struct('gap', length(p), 'hit', c))"
     )
     out = "array<struct<start:int,length:int,ok:boolean>>"
@@ -94,7 +107,7 @@ def _apply_rule(state: str, rule: PiiRule) -> str:
         f"'token', {token}))"
     )
     text = (
-        f"array_join(zip_with(split({state}.text, {literal(rule.pattern)}, -1), hits, (p, h) -> "
+        f"array_join(zip_with({pieces(state + '.text', rule)}, hits, (p, h) -> "
         "concat(p, coalesce(concat(h.label, "
         f"if(h.token IS NOT NULL, concat('{rule.prefix}_', h.token), h.raw)), ''))), '')"
     )

@@ -114,7 +114,7 @@ SELECT *, value IS NOT NULL AS has_value FROM cells"""
 
 def form_elements(spark: SparkSession, folder: str) -> DataFrame:
     """Element rows, one scan per customer."""
-    customer = spread(table(spark, folder, "customer").select("c_custkey"))
+    customer = spread(table(spark, folder, "customer").select("c_custkey"), "c_custkey")
     return spark.sql(form_elements_sql("spark", "{customer}"), customer=customer)
 
 

@@ -10,16 +10,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give each core work when the input is a file or two.
 
     A large table already has many more splits than there are cores and is returned
-    unchanged: no shuffle is added at scale.
+    unchanged: no shuffle is added at scale. With ``keys``, a later grouping by them
+    needs no second shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores)
+    return df.repartition(cores, *keys)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
