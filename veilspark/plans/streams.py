@@ -21,8 +21,8 @@ def stream_redact(spark: SparkSession, folder: str) -> DataFrame:
     stream = stream_table(spark, folder, "documents").select("doc_id", "text")
     out = run_folder(spark, "redact")
     start_gated_sinks(stream, out).awaitTermination()
-    passed = spark.read.schema("doc_id bigint, text string").parquet(f"{out}/passed/batch=0")
-    held = spark.read.schema("doc_id bigint").parquet(f"{out}/quarantine/batch=0")
+    passed = spark.read.schema("doc_id bigint, text string, batch bigint").parquet(f"{out}/passed")
+    held = spark.read.schema("doc_id bigint, batch bigint").parquet(f"{out}/quarantine")
     return passed.select("doc_id", "text", F.lit("passed").alias("sink")).unionByName(
         held.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit("quarantine").alias("sink"))
     )
