@@ -2,8 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import compare, duck
+from veilspark.plans.registry import oracle_sql, queries
 
 FOLDER = "/root/testdata/sf0.001"
 
