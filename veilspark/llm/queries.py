@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, repeats, suffixes
+from . import bpe, exact, packing, repeats, suffixes, toxicity
 from .tables import read
 
 VOCABULARY = os.environ.get("VEILSPARK_VOCABULARY", public_tokenizers.path("byte_bpe_50k.json"))
+TOXIC_FROM = 0.3  # score from which a text counts as toxic
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,6 +30,26 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def held_out(doc_id) -> Column:
+    """Rows that nothing is learnt from: crc32 of the id as text leaves 2 modulo 4."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+
+
+def toxicity_model(spark: SparkSession, folder: str) -> toxicity.Model:
+    labels = read(spark, folder, "labels").where(~held_out(F.col("doc_id")))
+    return toxicity.fit(read(spark, folder, "documents"), labels)
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity_model(spark, folder)).select(
+        "doc_id",
+        F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
+
+
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     return repeats.remove_repeats(docs).select(
@@ -36,6 +57,21 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.equal_groups(read(spark, folder, "documents"), digests=True)
+
+
+OP9_SQL = r"""
+WITH t AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+
 def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.repeated_passages(read(spark, folder, "documents").select("doc_id", "text"))
 
@@ -43,7 +79,9 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
+    "op3_toxicity": op3_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
+    "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
