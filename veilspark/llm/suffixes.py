@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .exchange import NO_ID, SENT, Distinct, ids_of, shards, shared
 from .tables import private, text_column
-from .words import inside, split, window_hashes
+from .words import inside, mix, split, window_hashes
 
 GRAM = 8
 BLOCKS = 3
@@ -50,11 +50,12 @@ def _minimisers(words, length: int):
 def _suffix_keys(words, at: np.ndarray) -> np.ndarray:
     """The first three 8-word blocks of each suffix, folded to one sortable key.
 
-    The top bits are the first block's, so suffixes sort by it first."""
+    The top bits are the first block's, so suffixes sort by it first; mixed again, as a
+    minimiser's hash is small and small keys would all lie in one bucket."""
     gram = window_hashes(words.hash, GRAM)
     rest = window_hashes(words.hash, GRAM * (BLOCKS - 1))
     top = np.uint64(0xFFFFFFFF00000000)
-    return (gram[at] & top) | (rest[at + GRAM] >> np.uint64(32))
+    return (mix(gram[at]) & top) | (rest[at + GRAM] >> np.uint64(32))
 
 
 def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
