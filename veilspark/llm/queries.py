@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, packing, repeats, suffixes, toxicity
+from . import bpe, exact, packing, quality, repeats, suffixes, toxicity
 from .tables import read
 
 VOCABULARY = os.environ.get("VEILSPARK_VOCABULARY", public_tokenizers.path("byte_bpe_50k.json"))
@@ -57,6 +57,12 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(read(spark, folder, "documents")).select(
+        "doc_id", *quality.MEASURES, "base_failed", "kept", "quality"
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.equal_groups(read(spark, folder, "documents"), digests=True)
 
@@ -81,6 +87,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
