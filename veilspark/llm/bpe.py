@@ -193,7 +193,7 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, text_col: str = "text")
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
     text = private(docs, "text")
-    rows = docs.withColumn(text, text_column(docs, text_col))
+    rows = docs.withColumn(text, text_column(text_col))
     schema = with_columns(docs, ids="binary", n_tokens="long")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

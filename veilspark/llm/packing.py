@@ -100,7 +100,7 @@ def pack(
     if length & (length - 1):
         raise ValueError("the length of a sequence is a power of two")
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_column(docs, text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_column(text_col).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value, _word_encoder(vocabulary.value))

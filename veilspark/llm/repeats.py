@@ -77,7 +77,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     """
     if window < PERIOD + 1:
         raise ValueError(f"a window needs more than {PERIOD} words")
-    docs = docs.withColumn(text_col, text_column(docs, text_col))
+    docs = docs.withColumn(text_col, text_column(text_col))
     shard = private(docs, "shard")
     out_schema = with_columns(docs, n_words="long", n_removed="long")
     rows, bits = shards(docs, text_col, id_col, shard)

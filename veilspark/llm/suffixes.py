@@ -70,7 +70,7 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     """
     if length < (BLOCKS + 1) * GRAM:
         raise ValueError(f"a passage needs {(BLOCKS + 1) * GRAM} words or more")
-    docs = docs.select(F.col(id_col).cast("long").alias("_id"), text_column(docs, text_col).alias("_text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("_id"), text_column(text_col).alias("_text"))
     rows, bits = shards(docs, "_text", "_id", "_shard")
     sent_schema = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("keys", pa.binary())])
 

@@ -58,6 +58,6 @@ def slices(batch, column: str) -> Iterator[tuple[int, int]]:
         yield start, len(sizes) - start
 
 
-def text_column(df: DataFrame, name: str = "text"):
+def text_column(name: str = "text"):
     """The text with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     SAMPLE_BYTES bytes each, taken in the order of a hash of the text. Class sizes are
     counted over all rows. Null labels are left out."""
     labels = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    known = labels.join(docs.select(F.col(id_col).alias("id"), text_column(docs, text_col).alias("text")), "id").where(F.octet_length("text") <= SAMPLE_BYTES)
+    known = labels.join(docs.select(F.col(id_col).alias("id"), text_column(text_col).alias("text")), "id").where(F.octet_length("text") <= SAMPLE_BYTES)
     sizes = {bool(r["label"]): r["count"] for r in labels.groupBy("label").count().collect()}
     sample = {
         yes: [r["text"] for r in known.where(F.col("label").cast("boolean") == F.lit(yes)).orderBy(F.xxhash64("text")).limit(n).select("text").collect()]
@@ -197,4 +197,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 made = {"hits": pa.array(hits, pa.int64()), "score": pa.array([model.score[min(h, MOST_HITS)] for h in hits], pa.float64())}
                 yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c) for c in schema.names], names=schema.names)
 
-    return docs.withColumn(text, text_column(docs, text_col)).mapInArrow(run, schema)
+    return docs.withColumn(text, text_column(text_col)).mapInArrow(run, schema)
