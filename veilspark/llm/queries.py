@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, packing, quality, repeats, suffixes, toxicity
+from . import bpe, exact, jaccard, packing, quality, repeats, sitestyle, suffixes, toxicity, urls
 from .tables import read
 
 VOCABULARY = os.environ.get("VEILSPARK_VOCABULARY", public_tokenizers.path("byte_bpe_50k.json"))
@@ -50,6 +50,23 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    urls.Rule("org/", True),
+    urls.Rule("example.org/es/", False),
+    urls.Rule("example.org/en/1", False),
+    urls.Rule("com/fr/", True),
+    urls.Rule("com/de/", False),
+]
+
+
+def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(read(spark, folder, "pages").select("page_id", "url"), URL_RULES)
+
+
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return sitestyle.main_text(read(spark, folder, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     return repeats.remove_repeats(docs).select(
@@ -63,6 +80,10 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_groups(read(spark, folder, "documents")).drop("row_key", "keep_key")
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.equal_groups(read(spark, folder, "documents"), digests=True)
 
@@ -86,8 +107,11 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
+    "op4_url_filters": op4_url_filters,
+    "op5_html_extraction": op5_html_extraction,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import BACK, NO_ID, SENT, Distinct, ids_of, shards, shared
+from .exchange import SENT, Distinct, ids_of, shards, shared
 from .tables import private, text_column, with_columns
 from .words import inside, split, window_hashes
 
@@ -65,12 +65,15 @@ def covered(n: int, start: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", layout: bool = False
+) -> DataFrame:
     """Remove each word covered by a window of ``window`` words whose word sequence also
     starts in a text with a smaller id.
 
     Returns all rows and columns; ``text_col`` holds the kept words joined by one space, and
     the longs ``n_words`` and ``n_removed`` are added (they replace columns so named).
+    With ``layout`` a text that loses nothing is given back as it was, white space included.
     Windows are judged on the input. Null text: no words, empty result. A null id is after
     all others. Rows that repeat an id count as one text: they do not remove from each
     other. Texts shorter than a window stay. An empty table gives an empty one.
@@ -111,10 +114,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         text, removed = [], np.zeros(len(table), np.int64)
         np.add.at(removed, words.doc, gone)
         for i, value in enumerate(table.column(text_col).cast(pa.large_binary()).to_pylist()):
-            listed = value.split()
             if removed[i]:
-                listed = itertools.compress(listed, ~gone[words.first[i] : words.first[i + 1]])
-            text.append(b" ".join(listed))
+                stays = ~gone[words.first[i] : words.first[i + 1]]
+                text.append(b" ".join(itertools.compress(value.split(), stays)))
+            else:
+                text.append(value if layout else b" ".join(value.split()))
         made = {
             text_col: pa.array(text, pa.binary()).cast(pa.string()),
             "n_words": pa.array(np.diff(words.first), pa.int64()),
