@@ -8,7 +8,8 @@ same everywhere has entropy 0. A branch whose nodes all stay below ``noise`` is
 each page, as are branches marked as no article by tag, role or class.
 
 The tree is a table of (host, node) with grouped counts, so a host with a third of all pages
-is no task's work; a page meets only its own nodes.
+is no task's work. Pages are read twice, for the tree and for the text, and meet only the
+list of their own host's dead branches.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
 
 from .tables import slices, staged
 from .urls import host_and_path
@@ -113,32 +113,46 @@ class _Page(HTMLParser):
         self.text.append(data)
 
 
-def parsed(html: str):
-    """(blocks, nodes): blocks as (text, hashes of the nodes above it), without what is marked
-    and, if the page has an article, without what is outside; nodes as (hash, presentation,
-    content, parent) of nodes that may still be judged."""
+def _read(html: str) -> tuple[_Page, bool]:
     page = _Page()
     page.feed(html)
     page.close()
     page.flush()
-    has_article = any(a for _, _, m, a in page.blocks if not m)
-    blocks, judged = [], set()
-    for text, above, marked, article in page.blocks:
-        if marked or has_article and not article:
-            continue
-        # an article's own branches are not judged by their host's other pages
-        free = [] if article else [p for p in above if p not in ("/html", "/html/body")]
-        judged.update(free)
-        blocks.append((text, [_hash(p) for p in free]))
-    nodes = [
-        (_hash(p), _hash(" ".join(page.children.get(p, ()))), _hash("\n".join(page.content.get(p, ()))), _hash(page.parent.get(p, "")))
-        for p in sorted(judged)
+    return page, any(a for _, _, m, a in page.blocks if not m)
+
+
+def style_nodes(html: str) -> list[tuple[int, int, int, int, bool]]:
+    """(node, presentation, content, parent, safe) of each node that is not marked; the tops
+    of the page and all within an article are safe."""
+    page, _ = _read(html)
+    seen: dict[str, bool] = {}
+    for _, above, marked, article in page.blocks:
+        if not marked:
+            inside = False
+            for p in above:
+                inside = inside or p.rpartition("/")[2].partition(".")[0] in ARTICLE
+                seen[p] = seen.get(p, False) or inside or p in ("/html", "/html/body")
+    return [
+        (
+            _hash(p), _hash(" ".join(page.children.get(p, ()))), _hash("\n".join(page.content.get(p, ()))),
+            _hash(page.parent.get(p, "")), safe,
+        )
+        for p, safe in seen.items()
     ]
-    return blocks, nodes
 
 
-NODE = "struct<node: long, look: long, content: long, parent: long>"
-BLOCK = "struct<text: string, above: array<long>>"
+def text_of(html: str, dead: set[int]) -> str:
+    """Blocks in page order, without what is marked, under a dead node or, if the page has an
+    article, outside it."""
+    page, has_article = _read(html)
+    return "\n".join(
+        text
+        for text, above, marked, article in page.blocks
+        if not marked and (article or not has_article) and not (dead and any(_hash(p) in dead for p in above))
+    )
+
+
+NODES = "host long, page long, node long, look long, content long, parent long, safe boolean"
 
 
 def _entropy(counts: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -159,60 +173,60 @@ def main_text(pages: DataFrame, noise: float = NOISE, id_col: str = "page_id", u
     are extracted each for itself. An empty table gives no rows; other columns are not
     carried.
     """
-    host = host_and_path(F.col(url_col))[0]
-    rows = pages.select(
-        F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(host).alias("host"),
-        F.xxhash64(html_col).alias("page"), F.coalesce(F.col(html_col), F.lit("")).alias("html"),
-    )
-    schema = rows.drop("html").schema
-    for name, kind in (("blocks", BLOCK), ("nodes", NODE)):
-        schema = schema.add(name, DataType.fromDDL(f"array<{kind}>"))
-    block_type = pa.list_(pa.struct([("text", pa.string()), ("above", pa.list_(pa.int64()))]))
-    node_type = pa.list_(pa.struct([(n, pa.int64()) for n in ("node", "look", "content", "parent")]))
+    host = F.xxhash64(host_and_path(F.col(url_col))[0])
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), html.alias("html"))
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 4 + [pa.bool_()]
         for batch in batches:
             for start, n in slices(batch, "html"):
                 part = batch.slice(start, n)
-                made = [parsed(h) for h in part.column("html").to_pylist()]
-                blocks = [[{"text": t, "above": a} for t, a in b] for b, _ in made]
-                nodes = [[dict(zip(("node", "look", "content", "parent"), x)) for x in ns] for _, ns in made]
+                found = [style_nodes(h) for h in part.column("html").to_pylist()]
+                at = pa.array(np.repeat(np.arange(n), [len(f) for f in found]))
+                columns = list(zip(*(x for f in found for x in f))) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in ("id", "url", "host", "page")] + [pa.array(blocks, block_type), pa.array(nodes, node_type)],
-                    names=schema.names,
+                    [part.column("host").take(at), part.column("page").take(at), *map(pa.array, columns, kinds)],
+                    names=["host", "page", "node", "look", "content", "parent", "safe"],
                 )
 
-    pages_read = staged(rows.mapInArrow(parse, schema).withColumn("row", F.monotonically_increasing_id()), "style-pages")
-
-    nodes = pages_read.select("host", "page", F.explode("nodes").alias("x")).select("host", "page", "x.*").distinct()
+    # copies of a page are one page of the tree
+    seen = rows.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(nodes, NODES).distinct()
     by = ["host", "node", "parent"]
-    look = _entropy(nodes.groupBy(*by, "look").agg(F.count("*").alias("n")), by, "look")
-    content = _entropy(nodes.groupBy(*by, "content").agg(F.count("*").alias("n")), by, "content").drop("pages")
-    tree = look.join(content, by)
-    own = F.greatest("look", "content")
-    dead = staged(
-        tree.withColumn("dead", (own < noise) & (F.col("pages") >= ENOUGH_PAGES)).select(*by, "dead"), "style-tree"
-    )
+    look = _entropy(seen.groupBy(*by, "look").agg(F.count("*").alias("n")), by, "look")
+    content = _entropy(seen.groupBy(*by, "content").agg(F.count("*").alias("n")), by, "content").drop("pages")
+    safe = seen.groupBy(*by).agg(F.max("safe").alias("safe"))
+    quiet = (F.greatest("look", "content") < noise) & (F.col("pages") >= ENOUGH_PAGES) & ~F.col("safe")
+    tree = staged(look.join(content, by).join(safe, by).select(*by, quiet.alias("dead")), "style-tree")
     # a branch goes only as a whole: what has a living child lives
     while True:
-        living = dead.where(~F.col("dead")).select("host", F.col("parent").alias("node")).distinct()
-        raised = dead.where("dead").join(living, ["host", "node"], "left_semi").select("host", "node")
+        living = tree.where(~F.col("dead")).select("host", F.col("parent").alias("node")).distinct()
+        raised = tree.where("dead").join(living, ["host", "node"], "left_semi").select("host", "node").distinct()
         if raised.isEmpty():
             break
         raised = raised.withColumn("up", F.lit(True))
-        dead = staged(
-            dead.join(raised, ["host", "node"], "left").select(*by, (F.col("dead") & F.col("up").isNull()).alias("dead")),
+        tree = staged(
+            tree.join(raised, ["host", "node"], "left").select(*by, (F.col("dead") & F.col("up").isNull()).alias("dead")),
             "style-tree",
         )
-    gone = (
-        pages_read.select("row", "host", F.explode("nodes.node").alias("node"))
-        .join(dead.where("dead").select("host", "node"), ["host", "node"], "left_semi")
-        .groupBy("row").agg(F.collect_set("node").alias("gone"))  # at most the nodes of one page
-    )
-    kept = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["above"], F.col("gone")))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return (
-        pages_read.select("row", "id", "url", "blocks").join(gone, "row", "left")
-        .select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"))
-        .withColumn("n_chars", F.length("text").cast("long"))
+    # of a dead branch the top is enough; a host's list is written, so its size is known to
+    # the join, which broadcasts a small table and splits a large host otherwise
+    dead = tree.where("dead")
+    tops = dead.join(dead.select("host", F.col("node").alias("parent")).distinct(), ["host", "parent"], "left_anti")
+    lists = staged(tops.groupBy("host").agg(F.collect_set("node").alias("dead")), "style-dead")
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, n in slices(batch, "html"):
+                part = batch.slice(start, n)
+                gone = [frozenset(d or ()) for d in part.column("dead").to_pylist()]
+                texts = [text_of(h, d) for h, d in zip(part.column("html").to_pylist(), gone)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"]
+                )
+
+    met = rows.join(lists, "host", "left").select("id", "url", "html", "dead")
+    schema = met.select("id", "url").schema.add("text", "string")
+    return met.mapInArrow(extract, schema).select(
+        F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars")
     )
