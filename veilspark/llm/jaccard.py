@@ -107,7 +107,7 @@ def _surviving(signature: np.ndarray, left: np.ndarray, right: np.ndarray, band:
             cut = slice(step * STEP, (step + 1) * STEP)
             equal = signature[a, cut] == signature[b, cut]
             agreed += equal.sum(1)
-            same[:, cut.start // BAND : cut.stop // BAND] = equal.reshape(len(a), -1, BAND).all(2)
+            same[:, cut.start // BAND : cut.stop // BAND] = equal.reshape(len(a), STEP // BAND, BAND).all(2)
             go = agreed >= least
             a, b, k, at, agreed, same = a[go], b[go], k[go], at[go], agreed[go], same[go]
         kept.append(at[same.argmax(1) == k] if len(at) else at)
