@@ -155,3 +155,9 @@ def test_nothing_left_on_documents(spark, category):
     again = redact_rows(redact_rows(docs).drop("events"))
     left = again.select(F.explode("events.category").alias("c")).where(F.col("c") == category)
     assert left.count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 40, 41, 500])
+def test_address_label_with_any_number_of_separators(spark, n):
+    text = "address" + ":" * n + " Bar Street"
+    assert redacted(spark, [text])[0][0] == "address" + ":" * n + "ADDRESS_1"

@@ -62,6 +62,23 @@ def test_escapes(spark):
     assert verdicts(spark, page(text="x\n9876543210"), mode="serialized")[0].violationsCount == 0
 
 
+@pytest.mark.parametrize("text,category", [
+    (r"john\u0040gmail.com", "email"), (r"98765432\u0031\u0030", "phone"), (r"x\u00a09876543210", "phone"),
+    (r"x\u20039876543210", "phone"), (r"4111\u00201111\u20071111\u00091111", "card"),
+    (r"\u0032345 6789 0123", "aadhaar"), (r"\u0041BCDE1234\u0046", "pan"), (r"\ud83d\ude00a@b.co", "email"),
+    (r"\ud83da@b.co", "email"), (r"\\u0040 a@b.co", "email"),
+])
+def test_unicode_escapes(spark, text, category):
+    whole = '{"elements":[{"text":"' + text + '"}]}'
+    for payload in (whole, whole[:-3]):  # parsable or not
+        (v,) = verdicts(spark, payload)
+        assert v.blocked and category in [x.category for x in v.violations]
+
+
+def test_escaped_backslash_is_no_escape(spark):
+    assert not verdicts(spark, r'{"text":"john\\u0040gmail.com"}')[0].blocked
+
+
 def test_sinks(spark, tmp_path):
     rows = [(1, json.dumps(page(text="fine"))), (2, json.dumps(page(text="a@b.co")))]
     gated = gate(spark.createDataFrame(rows, "scan_id int, payload string"))
@@ -83,6 +100,15 @@ def test_presence_of_value(spark):
     assert row.url == "u" and [e.has_value for e in row.elements] == [True, False]
 
 
+def test_secrets_with_a_common_start(spark):
+    """Secrets that share thirty letters are anchored where they differ."""
+    head = "x" * 30
+    secrets = spark.range(500).selectExpr(f"concat('{head}', lpad(id, 6, '0')) AS secret")
+    rows = [(i, f"a {head}{i:06d} b") for i in range(0, 1000, 50)]
+    hits = secret_audit(spark.createDataFrame(rows, "i int, payload string"), secrets, "i").collect()
+    assert sorted(r.i for r in hits) == list(range(0, 500, 50))
+
+
 def test_secret_audit_small_and_large(spark):
     payloads = spark.createDataFrame(
         [(1, "xx top secret phrase yy ab"), (2, "nothing"), (3, "SECRET-000599 and SECRET-0005999")], "i int, payload string"

@@ -1,4 +1,5 @@
 from veilspark.operators.extract import element_keys, element_rows, extract_pages, visual_candidates
+from veilspark.operators.sanitize import sanitize_scans
 from veilspark.sources.html import parse_page
 
 FORM = """<!doctype html><html><head><title>A &amp; B</title></head><body><form id="f">
@@ -52,8 +53,18 @@ def test_selectors_and_pixels(spark):
 
 def test_cap_and_wide_ids(spark):
     html = "<body>" + "".join(f"<p>row {i}</p>" for i in range(250)) + "<button>b</button></body>"
-    rows = element_rows(extract_pages(scan(spark, html)), ["page_id"]).orderBy("ord").collect()
+    page = scan(spark, html)
+    rows = element_rows(extract_pages(page, max_elements=200), ["page_id"]).orderBy("ord").collect()
     assert len(rows) == 200 and rows[0].tag == "button" and rows[-1].text == "row 198"
+    assert extract_pages(page, max_elements=200).first().leftOut == 51
+    assert extract_pages(page).first().totalElements == 251
+
+
+def test_no_text_is_cut_unasked(spark):
+    far = "x " * 2500 + "write to far.away@example.com"
+    page = scan(spark, f"<body><p>{far}</p></body>")
+    assert "@" not in str(sanitize_scans(extract_pages(page)).first().elements)
+    assert len(extract_pages(page, max_text=140).first().elements[0].text) == 140
 
 
 def test_broken_markup():

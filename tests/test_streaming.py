@@ -1,5 +1,8 @@
 """Several micro-batches give what one batch gives."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from veilspark.operators.redact import redact_rows
@@ -47,3 +50,35 @@ def test_gated_sinks(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
     want = redact_rows(docs).select("doc_id", "text")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_table_of_several_files(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs.limit(5).write.parquet(f"{tmp_path}/documents_old.parquet")
+    stream = stream_table(spark, str(tmp_path), "documents", files_per_batch=1)
+    got = run_to_table(stream, "test-files")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        stream_table(spark, str(tmp_path), "document")
+
+
+def test_numbers_are_not_reissued_after_a_quiet_time(spark, tmp_path):
+    schema = "scan_id string, prefix string, token string, position long, seq int, ts timestamp"
+
+    def part(scan, token, minute):
+        df = spark.createDataFrame([(scan, "EMAIL", token, 0, 0, minute)], "scan_id string, prefix string, token string, position long, seq int, m long")
+        df.select("scan_id", "prefix", "token", "position", "seq", F.timestamp_seconds(F.col("m") * 60).alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for file in tmp_path.glob("in/part-*"):  # files are taken by age
+            if file.name not in seen:
+                seen.append(file.name)
+                os.utime(file, (1e9 + len(seen) * 10,) * 2)
+
+    seen: list[str] = []
+    for scan, token, minute in (("s", "a", 5), ("t", "x", 10_000), ("t", "y", 20_000), ("s", "b", 30_000)):
+        part(scan, token, minute)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = run_to_table(token_registry(stream, quiet_minutes=60), "test-quiet")
+    assert sorted(map(tuple, got.collect())) == [
+        ("s", "EMAIL", "a", 1), ("s", "EMAIL", "b", 2), ("t", "EMAIL", "x", 1), ("t", "EMAIL", "y", 2),
+    ]

@@ -10,7 +10,7 @@ boundaries are spelled out for ASCII.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from .text import (
     BOUNDARY,
@@ -58,7 +58,7 @@ def _any_of(*needles: str) -> Callable[[str], str]:
 _long_digit_run = _like(f"[0-9][0-9{WS}().+-]{{8}}")
 
 
-# Patterns, place words, labels and honorifics.
+# Patterns, labels and honorifics.
 CARD = (
     f"(?=[0-9]){NOT_AFTER_WORD}"
     f"(?:(?:[0-9]{{4}}[{WS}-]+){{3}}|(?:[0-9]{{4}}[{WS}-]?){{3}})[0-9]{{4}}{NOT_BEFORE_WORD}"
@@ -90,22 +90,21 @@ NAME = (
     f"|{NOT_AFTER_WORD}(?:{'|'.join(HONORIFICS)})[{WS}]+{_FULL_NAME}"
 )
 
-STREET_WORDS = (
+# Place words; the last two count after a label only.
+PLACE_WORDS = (
     "Street", "St", "Avenue", "Ave", "Road", "Rd", "Block", "Sector", "Park", "Nagar",
-    "Lane", "Drive", "Dr", "Floor", "Apt", "Suite", "Building",
+    "Lane", "Drive", "Dr", "Floor", "Apt", "Suite", "Building", "Delhi", "Mumbai",
+    "Bangalore", "Bengaluru", "Kolkata", "Chennai", "Hyderabad", "Pune", "India",
 )
-CITY_WORDS = (
-    "Delhi", "Mumbai", "Bangalore", "Bengaluru", "Kolkata", "Chennai", "Hyderabad",
-    "Pune", "India",
-)
-COUNTRY_WORDS = ("USA", "UK")  # after a label only
-_PLACE = "|".join(STREET_WORDS + CITY_WORDS)
-_PLACE_AFTER_LABEL = "|".join(STREET_WORDS + CITY_WORDS + COUNTRY_WORDS)
+LABELLED_PLACE_WORDS = ("USA", "UK")
+_PLACE = "|".join(PLACE_WORDS)
+_PLACE_AFTER_LABEL = "|".join(PLACE_WORDS + LABELLED_PLACE_WORDS)
 _RUN = f"[A-Za-z0-9{WS},.-]"
-# The label may already lie inside an earlier match, so it is looked at, not consumed.
-# Java wants a bounded look-behind: up to 40 separators between label and value.
+# The label is kept group 1, with any number of separators. Where an earlier match has
+# swallowed it, it can only be looked back at, and Java bounds that: by 40 separators.
+_ADDRESS_LABEL = f"{NOT_AFTER_WORD}(?:address|residence){_LABEL_SEP}"
 _AFTER_ADDRESS_LABEL = (
-    f"(?<={_LABEL_SEP})(?<={NOT_AFTER_WORD}(?:address|residence){_LABEL_SEP}{{1,40}})"
+    f"(?:({_ADDRESS_LABEL}+?)|(?<={_LABEL_SEP})(?<={_ADDRESS_LABEL}{{1,40}}))"
 )
 
 
@@ -138,7 +137,7 @@ RULES: tuple[PiiRule, ...] = (
         _any_of("name", "applicant", "customer", "holder", "Mr.", "Mrs.", "Ms.", "Dr."),
         keeps_label=True,
     ),
-    PiiRule("address", ADDRESS, 0.7, _address_possible),
+    PiiRule("address", ADDRESS, 0.7, _address_possible, keeps_label=True),
 )
 
 # The gate looks for the five checkable categories only, in its own order.
@@ -154,7 +153,7 @@ def rules_with(strict_address: bool = False) -> tuple[PiiRule, ...]:
     if not strict_address:
         return RULES
     return tuple(
-        PiiRule("address", STRICT_ADDRESS, r.confidence, r.necessary)
+        replace(r, pattern=STRICT_ADDRESS)
         if r.category == "address" else r
         for r in RULES
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .text import NOT_AFTER_WORD, NOT_BEFORE_WORD, WS, let, literal
 
 # Keywords, decorative tokens.
@@ -15,8 +17,7 @@ DECORATIVE_TOKENS = ("logo", "icon", "banner", "avatar", "placeholder", "badge",
 _ANY_SEPARATOR = f"[{WS}_-]+"
 KEYWORD_PATTERN = (
     f"(?i){NOT_AFTER_WORD}(?:"
-    + "|".join(k.replace(" ", _ANY_SEPARATOR).replace("id_card", f"id{_ANY_SEPARATOR}card")
-               .replace("pan_card", f"pan{_ANY_SEPARATOR}card") for k in IMAGE_KEYWORDS)
+    + "|".join(_ANY_SEPARATOR.join(re.split("[ _]", k)) for k in IMAGE_KEYWORDS)
     + f"){NOT_BEFORE_WORD}"
 )
 

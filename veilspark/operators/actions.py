@@ -22,14 +22,18 @@ def validate_actions(
 ) -> DataFrame:
     """Add ``valid`` and ``reason``: the first check that fails decides.
 
-    ``actions``: scan, action, target, value, current_url. ``states``: scan, id, tag,
+    ``actions``: scan, action, target, value, current_url and, from ``planned_actions``,
+    is_object. ``states``: scan, id, tag,
     role, input_type, disabled, visible; ids are unique in a scan. Only actions that need
     an element are joined; the rest pass by, and adaptive execution splits a scan that
     dominates the log.
     """
     checked = evaluate_once(
         actions,
-        _schema=schema_reason("action", "target", "value"),
+        _schema=schema_reason(
+            "action", "target", "value",
+            "coalesce(is_object, false)" if "is_object" in actions.columns else "true",
+        ),
         _navigate=f"CASE WHEN upper(action) = 'NAVIGATE' AND coalesce(value, '') <> '' "
                   f"THEN {navigate_reason('value', 'current_url', compat)} END",
     )

@@ -1,9 +1,10 @@
 """Pages to element scans.
 
-A page stays one row: its nodes are an array, and the element list made from it has at
-most 200 entries. The steps below are array expressions in one narrow stage. Only the
-selector lookup, which compares nodes with each other, goes through a shuffle, and that
-of short selector strings.
+A page stays one row: its nodes are an array, and so is the element list made from it.
+The steps below are array expressions in one narrow stage. ``max_elements`` and
+``max_text`` cut the list and the texts for a consumer that wants that (200 and 140 are
+usual); without them a page is taken whole, so that redaction and gate see all of it.
+Only the selector lookup, which compares nodes with each other, goes through a shuffle.
 """
 
 from __future__ import annotations
@@ -17,9 +18,7 @@ from ..sources.html import parse_pages
 from .numbering import evaluate_once
 from .sanitize import ELEMENT, FORM_TAGS
 
-# The element cap, text length, bands, input types and payment words.
-MAX_ELEMENTS = 200
-MAX_TEXT = 140
+# Bands, input types and payment words.
 INTERACTIVE_TAGS = ("button", "input", "select", "textarea")
 INTERACTIVE_ROLES = ("button", "link", "checkbox", "radio", "tab", "menuitem")
 HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -59,9 +58,12 @@ def hides(n: str) -> str:
     )
 
 
-def visible_text(n: str) -> str:
+def visible_text(n: str, max_text: int | None = None) -> str:
     """First non-empty of: label for the id, enclosing label, aria-label, title,
-    placeholder, a button's value, the text itself cut to 140."""
+    placeholder, a button's value, the text itself, cut to ``max_text`` if given."""
+    own = strip(collapse(f"{n}.text"))
+    own = f"left({own}, {max_text})" if max_text else own
+
     def attr(name: str) -> str:
         return f"nullif({strip(f'{n}.attrs[{name!r}]')}, '')"
 
@@ -77,7 +79,7 @@ CASE WHEN size(labels) > 0 AND size({around}) > 0 THEN {label_text(nearest)} END
 {attr('aria-label')}, {attr('title')}, {attr('placeholder')},
 CASE WHEN {n}.tag = 'input' AND lower(coalesce({n}.attrs['type'], '')) IN ('submit', 'button', 'reset')
   THEN {attr('value')} END,
-CASE WHEN {n}.tag <> 'textarea' THEN left({strip(collapse(f'{n}.text'))}, {MAX_TEXT}) END, '')"""
+CASE WHEN {n}.tag <> 'textarea' THEN {own} END, '')"""
 
 
 def sensitivity(n: str) -> str:
@@ -140,8 +142,11 @@ def _element() -> str:
     return let("cat", sensitivity(n), let("control", control, let("seen", vision, body)))
 
 
-def page_candidates(pages: DataFrame, markup: str = "html") -> DataFrame:
-    """``kept``: the candidates in priority order after visibility, noise and cap."""
+def page_candidates(
+    pages: DataFrame, markup: str = "html", max_elements: int | None = None, max_text: int | None = None
+) -> DataFrame:
+    """``kept``: the candidates in priority order after visibility and noise, ``max_elements``
+    at most if that is given; ``left_out``: how many that cut off."""
     parsed = evaluate_once(
         parse_pages(pages, markup),
         labels="filter(nodes, n -> n.tag = 'label')",
@@ -155,23 +160,31 @@ def page_candidates(pages: DataFrame, markup: str = "html") -> DataFrame:
     )
     one = let(
         "n", "nodes[k.ord]",
-        f"named_struct('n', n, 'band', k.band, 't', {visible_text('n')})",
+        f"named_struct('n', n, 'band', k.band, 't', {visible_text('n', max_text)})",
     )
     described = f"transform(order, k -> {one})"
-    kept = (
-        f"slice(filter({described}, d -> NOT (d.n.tag IN {SHORT_TEXT_TAGS} AND length(d.t) < 2)), "
-        f"1, {MAX_ELEMENTS})"
+    kept = f"filter({described}, d -> NOT (d.n.tag IN {SHORT_TEXT_TAGS} AND length(d.t) < 2))"
+    found = evaluate_once(evaluate_once(parsed, order=order), kept=kept)
+    if max_elements is None:
+        return found.withColumn("left_out", F.lit(0))
+    return found.withColumn("left_out", F.greatest(F.size("kept") - max_elements, F.lit(0))).withColumn(
+        "kept", F.slice("kept", 1, max_elements)
     )
-    return evaluate_once(evaluate_once(parsed, order=order), kept=kept)
 
 
-def extract_pages(pages: DataFrame, markup: str = "html") -> DataFrame:
-    """One scan per page: the page's own columns, title, elements, totalElements."""
+def extract_pages(
+    pages: DataFrame, markup: str = "html", max_elements: int | None = None, max_text: int | None = None
+) -> DataFrame:
+    """One scan per page: the page's own columns, title, elements, totalElements; with
+    ``max_elements`` also leftOut, the number of elements beyond it."""
     keep = [c for c in pages.columns if c != markup]
     elements = f"CAST(transform(kept, (d, i) -> {_element()}) AS array<{ELEMENT}>)"
     return (
-        evaluate_once(page_candidates(pages, markup), elements=elements)
-        .select(*keep, "title", "elements", F.size("elements").alias("totalElements"))
+        evaluate_once(page_candidates(pages, markup, max_elements, max_text), elements=elements)
+        .select(
+            *keep, "title", "elements", F.size("elements").alias("totalElements"),
+            *[F.col("left_out").alias("leftOut")] * (max_elements is not None),
+        )
     )
 
 

@@ -78,11 +78,26 @@ def structural_violations(payload: str) -> str:
 
 
 def decoded(payload: str) -> str:
-    """JSON text with its escapes undone, so that a value after an escaped line break
-    is seen with its real neighbours. Quotes still separate one value from the next."""
+    """JSON text with its escapes undone, so that a value is seen as its receiver will see
+    it, with its real neighbours. Quotes still separate one value from the next.
+
+    Works on the text, parsable or not. ``\\uXXXX`` may stand for any letter, digit or
+    separator; surrogates are joined in pairs, and one without its other half is a blank.
+    """
     text = f"replace({payload}, r'\\\\', chr(0))"
     text = f"regexp_replace({text}, r'\\\\(?:[nrtbf]|u00[01][0-9a-fA-F])', ' ')"
     text = f"regexp_replace({text}, r'\\\\([\"/])', '$1')"
+    unit = r"\\u(?:[0-9a-cA-CefEF][0-9a-fA-F]{3}|[dD][0-7][0-9a-fA-F]{2})"
+    pair = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+    run = f"(?:{pair}|{unit})+"
+    letters = f"decode(unhex(replace(u, r'\\u', '')), 'UTF-16BE')"
+    joined = let(
+        "t", text,
+        f"array_join(zip_with(split(t, r'{run}', -1), regexp_extract_all(t, r'{run}', 0), "
+        f"(p, u) -> concat(p, coalesce({letters}, ''))), '')",
+    )
+    text = f"if(contains({payload}, r'\\u'), {joined}, {text})"
+    text = f"regexp_replace({text}, r'\\\\u[dD][89a-fA-F][0-9a-fA-F]{{2}}', ' ')"
     return f"replace({text}, chr(0), r'\\')"
 
 

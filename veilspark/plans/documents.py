@@ -100,7 +100,7 @@ def redact_conversations(spark: SparkSession, folder: str) -> DataFrame:
 SPLICED = """
 SELECT conv_id, turn, text FROM {conversations}
 UNION ALL
-SELECT c_custkey % 200 AS conv_id, 100 + CAST(floor(c_custkey / 200) AS BIGINT) AS turn,
+SELECT c_custkey % 200 AS conv_id, 1000000 + CAST(floor(c_custkey / 200) AS BIGINT) AS turn,
   'Mail user' || CAST(c_custkey % 40 AS STRING) || '@example.com or call +91 98765 '
   || lpad(CAST(c_custkey % 60 AS STRING), 5, '0') || ', tax id ABCDE'
   || lpad(CAST(c_custkey % 30 AS STRING), 4, '0') || 'F, customer: Jane Doe' AS text
@@ -124,6 +124,15 @@ def gate_documents(spark: SparkSession, folder: str) -> DataFrame:
     return gate(payloads).select("doc_id", "blocked", "reason", "violationsCount")
 
 
+def gate_escaped_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """The same payloads from a producer that escapes digits, ``@`` and blanks."""
+    plain = F.to_json(F.struct(F.array(F.struct("text")).alias("elements")))
+    escaped = F.regexp_replace(plain, "([0-9])", r"\\\\u003$1")
+    escaped = F.replace(F.replace(escaped, F.lit("@"), F.lit("\\u0040")), F.lit(" "), F.lit("\\u0020"))
+    payloads = documents(spark, folder).select("doc_id", escaped.alias("payload"))
+    return gate(payloads).select("doc_id", "blocked", "reason", "violationsCount")
+
+
 def gate_redacted_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Redacted documents through the same gate, split into the two sinks."""
     payloads = redact_rows(documents(spark, folder)).select(
@@ -182,6 +191,11 @@ SELECT conv_id, unnest(turns) AS turn, unnest(texts) AS text FROM {conv_last}"""
 SELECT doc_id, n IS NOT NULL AS blocked,
   CASE WHEN n IS NOT NULL THEN 'privacy_violation' END AS reason,
   CAST(coalesce(n, 0) AS INT) AS "violationsCount"
+FROM documents LEFT JOIN ({per_doc}) USING (doc_id)""",
+        "gate_escaped_payloads": f"""
+SELECT doc_id, n IS NOT NULL AS blocked,
+  CASE WHEN n IS NOT NULL THEN 'privacy_violation' END AS reason,
+  CAST(coalesce(n, 0) AS INT) AS "violationsCount"
 FROM documents LEFT JOIN ({per_doc}) USING (doc_id)""",
         "gate_redacted_documents": f"""
 {with_}, bad AS (SELECT DISTINCT doc_id FROM ({left_over}))
@@ -200,6 +214,7 @@ QUERIES = {
     "match_positions": match_position_rows,
     "redact_conversations": redact_conversations,
     "gate_documents": gate_documents,
+    "gate_escaped_payloads": gate_escaped_payloads,
     "gate_redacted_documents": gate_redacted_documents,
     "document_violations": document_violations,
     **{f"{c}_matches": _rule_query(c) for c in o.PATTERNS},

@@ -26,6 +26,17 @@ def page_elements(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+CAP, CUT = 20, 140  # of the one query that shows the limits
+
+
+def page_elements_capped(spark: SparkSession, folder: str) -> DataFrame:
+    """Extraction for a consumer that takes so many elements and letters, and no more."""
+    scans = extract_pages(pages(spark, folder), max_elements=CAP, max_text=CUT)
+    return scans.select("page_id", F.col("leftOut").alias("left_out"), F.posexplode("elements").alias("p", "e")).select(
+        "page_id", "left_out", "e.id", "e.tag", "e.text"
+    )
+
+
 def page_scan_summary(spark: SparkSession, folder: str) -> DataFrame:
     return extract_pages(pages(spark, folder)).select(
         "page_id", "url", "title", F.col("totalElements").alias("total_elements")
@@ -130,11 +141,11 @@ UNION ALL SELECT page_id, 3, i, 'li', 'text block', {flat('links[i]')}, NULL
   FROM raw, unnest(range(1, len(links) + 1)) AS u(i)
 UNION ALL SELECT page_id, 4, i, 'p', 'text block', {p_text}, NULL FROM (
   SELECT page_id, i, split_part(ps[i], '</p>', 1) AS x FROM raw, unnest(range(1, len(ps) + 1)) AS u(i))),
-cut AS (SELECT page_id, band, nth, tag, type, href, substr(text, 1, 140) AS text FROM cells),
+cut AS (SELECT page_id, band, nth, tag, type, href, text FROM cells),
 kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY band, nth) AS ord FROM cut
   WHERE NOT (tag IN ('p', 'li') AND length(text) < 2)),
 elements AS MATERIALIZED (SELECT *, format('el_{{:03d}}', ord) AS id
-  FROM kept WHERE ord <= 200)"""
+  FROM kept)"""
 
 
 def _sql() -> dict[str, str]:
@@ -181,6 +192,9 @@ WITH {elements}, grouped AS (SELECT page_id, list(ord ORDER BY ord) AS ords,
         for i, r in enumerate(rows)
     )
     return {
+        "page_elements_capped": f"""WITH {elements}
+SELECT page_id, CAST(greatest(n - {CAP}, 0) AS INT) AS left_out, id, tag, substr(text, 1, {CUT}) AS text
+FROM elements JOIN (SELECT page_id, count(*) AS n FROM elements GROUP BY 1) USING (page_id) WHERE ord <= {CAP}""",
         "page_elements": f"WITH {elements} SELECT page_id, ord, id, tag, type, text, FALSE AS sensitive FROM elements",
         "page_scan_summary": f"""
 WITH {elements} SELECT page_id, url, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title,
@@ -208,6 +222,7 @@ SELECT * EXCLUDE (k), 'el_' || lpad(CAST(ord AS VARCHAR), 3, '0') AS id FROM (
 
 QUERIES = {
     "page_elements": page_elements,
+    "page_elements_capped": page_elements_capped,
     "page_scan_summary": page_scan_summary,
     "page_type_counts": page_type_counts,
     "page_selectors": page_selectors,

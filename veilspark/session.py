@@ -25,6 +25,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.veilspark.spread", str(shuffle_partitions))
     )
     for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)

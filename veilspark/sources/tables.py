@@ -6,21 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SPREAD = "spark.veilspark.spread"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give each core work when the input is a file or two.
+    """Deal out the rows of a file or two to ``spark.veilspark.spread`` partitions.
 
-    A large table already has many more splits than there are cores and is returned
-    unchanged: no shuffle is added at scale. With ``keys``, a later grouping by them
-    needs no second shuffle.
+    Only sessions over small files set that (``local_session`` does); without it, and so
+    on a cluster, no shuffle is added. With ``keys``, a later grouping by them needs no
+    second shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    parts = int(df.sparkSession.conf.get(SPREAD, "0"))
+    return df.repartition(parts, *keys) if parts else df
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

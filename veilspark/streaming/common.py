@@ -15,12 +15,26 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def stream_table(
     spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None
 ) -> DataFrame:
-    """``name`` as a file stream; new files of the folder become new micro-batches."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    """``name`` as a file stream; new files of the table become new micro-batches.
+
+    A table is a folder ``name.parquet`` of files or one file of that name. If there is
+    neither, reading its schema fails, so nothing is taken for an empty stream.
+    """
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    exact = "".join(f"[{c}]" if c in "*?[]{}" else c for c in f"{name}.parquet")
+    return reader.option("pathGlobFilter", exact).parquet(folder)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """By the file system of the path, whichever that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.getFileStatus(where).isDirectory()
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -33,17 +47,32 @@ def keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def write_parquet(stream: DataFrame, folder: str) -> StreamingQuery:
-    """Append to ``folder``/data, exactly once, until the present input is used up."""
+UNTIL_USED_UP = {"availableNow": True}
+
+
+def write_parquet(stream: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append to ``folder``/data, exactly once. ``trigger`` is what ``writeStream.trigger``
+    takes, such as ``{"processingTime": "1 minute"}`` for a stream that lasts; by default
+    it runs until the present input is used up."""
     return (
         stream.writeStream.format("parquet").outputMode("append")
         .option("path", f"{folder}/data")
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or UNTIL_USED_UP))
         .start()
     )
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed them and so were left out, over the
+    progress reports that are still held."""
+    return sum(
+        int(state["numRowsDroppedByWatermark"])
+        for report in query.recentProgress
+        for state in report["stateOperators"]
+    )
+
+
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all present input and read back what it wrote."""
     spark = stream.sparkSession

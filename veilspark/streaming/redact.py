@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.gate import gate, split_gate
 from ..operators.redact import redact_rows
+from .common import UNTIL_USED_UP
 
 
 def redact_and_gate(records: DataFrame, text: str = "text") -> DataFrame:
@@ -17,7 +18,7 @@ def redact_and_gate(records: DataFrame, text: str = "text") -> DataFrame:
 
 
 def start_gated_sinks(
-    records: DataFrame, folder: str, text: str = "text"
+    records: DataFrame, folder: str, text: str = "text", trigger: dict | None = None
 ) -> StreamingQuery:
     """Two sinks from one pass: ``passed`` with the redacted text, ``quarantine`` with the
     verdict only. A batch that is run again after a failure overwrites its own output."""
@@ -25,19 +26,21 @@ def start_gated_sinks(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        passed, held = split_gate(batch)
-        passed.drop("payload", "violations").write.mode("overwrite").parquet(
-            f"{folder}/passed/batch={batch_id}"
-        )
-        held.drop(text, "events").write.mode("overwrite").parquet(
-            f"{folder}/quarantine/batch={batch_id}"
-        )
-        batch.unpersist()
+        try:
+            passed, held = split_gate(batch)
+            passed.drop("payload", "violations").write.mode("overwrite").parquet(
+                f"{folder}/passed/batch={batch_id}"
+            )
+            held.drop(text, "events").write.mode("overwrite").parquet(
+                f"{folder}/quarantine/batch={batch_id}"
+            )
+        finally:
+            batch.unpersist()
 
     return (
         gated.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or UNTIL_USED_UP))
         .start()
     )
 

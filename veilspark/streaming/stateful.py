@@ -18,13 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.sessions import MAX_STEPS, stage_status
 from .common import keyed_state
 
-STEP_SCHEMA = T.StructType([
-    T.StructField("session_id", T.LongType()),
-    T.StructField("record_id", T.LongType()),
-    T.StructField("step", T.IntegerType()),
-    T.StructField("stage", T.StringType()),
-    T.StructField("status", T.StringType()),
-])
+STEPS = ("session_id", "record_id", "step", "stage", "status")
 _STAGES = {"blocked": "privacy_firewall", "error": "planner", "completed": "loop_action",
            "idle": "loop_action"}
 
@@ -57,9 +51,9 @@ class SessionLoop(StatefulProcessor):
             if kind == "step" and step >= MAX_STEPS:
                 status = "max_steps_reached"
             ended = status != "success"
-            out.append((int(key[0]), int(record), step, _STAGES.get(kind, "action_execution"), status))
+            out.append((key[0], record, step, _STAGES.get(kind, "action_execution"), status))
         self.state.update((step, ended))
-        yield pd.DataFrame(out, columns=STEP_SCHEMA.names)
+        yield pd.DataFrame(out, columns=list(STEPS))
 
     def close(self) -> None:
         pass
@@ -71,23 +65,23 @@ def session_loop(records: DataFrame) -> DataFrame:
     keyed_state(records.sparkSession)
     slim = records.select("session_id", "record_id", "ts", F.expr(stage_status()).alias("kind"))
     return slim.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=SessionLoop(), outputStructType=STEP_SCHEMA,
+        statefulProcessor=SessionLoop(),
+        outputStructType=T.StructType([
+            slim.schema["session_id"], slim.schema["record_id"], T.StructField("step", T.IntegerType()),
+            T.StructField("stage", T.StringType()), T.StructField("status", T.StringType()),
+        ]),
         outputMode="Append", timeMode="None",
     )
 
 
-REGISTRY_SCHEMA = T.StructType([
-    T.StructField("scan_id", T.LongType()),
-    T.StructField("prefix", T.StringType()),
-    T.StructField("token", T.StringType()),
-    T.StructField("n", T.LongType()),
-])
+REGISTRY = ("scan_id", "prefix", "token", "n")
 
 
 class Registry(StatefulProcessor):
     """token -> number for one (scan, prefix). Numbers once given never change; a value
     that turns up later gets the next one. When event time has passed the scan's last
-    event by ``quiet_ms``, the entry is cleared: a later scan of that key starts at 1."""
+    event by ``quiet_ms``, its tokens are forgotten but the last number is kept: no number
+    is ever given to two values, and a value that comes back gets a new one."""
 
     def __init__(self, quiet_ms: int) -> None:
         self.quiet_ms = quiet_ms
@@ -122,19 +116,20 @@ class Registry(StatefulProcessor):
                 continue
             n += 1
             self.numbers.updateValue((token,), (n,))
-            out.append((int(key[0]), key[1], token, n))
+            out.append((key[0], key[1], token, n))
         if latest + self.quiet_ms > ends:
             if ends:
                 self.handle.deleteTimer(ends)
             ends = latest + self.quiet_ms
             self.handle.registerTimer(ends)
         self.count.update((n, ends))
-        yield pd.DataFrame(out, columns=REGISTRY_SCHEMA.names)
+        yield pd.DataFrame(out, columns=list(REGISTRY))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        n, _ = self.count.get()
         self.numbers.clear()
-        self.count.clear()
-        yield pd.DataFrame([], columns=REGISTRY_SCHEMA.names)
+        self.count.update((n, 0))
+        yield pd.DataFrame([], columns=list(REGISTRY))
 
     def close(self) -> None:
         pass
@@ -146,11 +141,16 @@ def token_registry(
     """Streaming form of the numbering: new (scan, prefix, token, n) as they are given out.
 
     ``events``: scan_id, prefix, token, position, seq and the event time - digests, never
-    raw values. State is bounded by the watermark: a quiet scan is forgotten.
+    raw values. State is bounded by the watermark: of a quiet scan a number is left. Rows
+    behind the watermark get no number; ``common.late_rows`` counts them.
     """
     keyed_state(events.sparkSession)
     timed = events.withWatermark(event_time, delay).withColumn("at_ms", F.unix_millis(event_time))
     return timed.groupBy("scan_id", "prefix").transformWithStateInPandas(
-        statefulProcessor=Registry(quiet_minutes * 60_000), outputStructType=REGISTRY_SCHEMA,
+        statefulProcessor=Registry(quiet_minutes * 60_000),
+        outputStructType=T.StructType([
+            timed.schema["scan_id"], timed.schema["prefix"], timed.schema["token"],
+            T.StructField("n", T.LongType()),
+        ]),
         outputMode="Append", timeMode="EventTime",
     )
