@@ -39,6 +39,9 @@ NOISE = 0.05
 ENOUGH_PAGES = 5  # different pages of a host from which its entropies are believed
 
 
+_CUT_TAG = re.compile(r"<[/!?A-Za-z][^<>]*\Z")  # a tag that the page ends in is no text
+
+
 def _hash(text: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(text)).view(np.int64))
 
@@ -115,7 +118,7 @@ class _Page(HTMLParser):
 
 def _read(html: str) -> tuple[_Page, bool]:
     page = _Page()
-    page.feed(html)
+    page.feed(_CUT_TAG.sub("", html))
     page.close()
     page.flush()
     return page, any(a for _, _, m, a in page.blocks if not m)
