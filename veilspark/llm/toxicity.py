@@ -167,16 +167,28 @@ def train(toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on labelled rows, at most SAMPLE_TOXIC and SAMPLE_ORDINARY texts of at most
-    SAMPLE_BYTES bytes each, taken in the order of a hash of the text. Class sizes are
-    counted over all rows. Null labels are left out."""
-    labels = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    known = labels.join(docs.select(F.col(id_col).alias("id"), text_column(text_col).alias("text")), "id").where(F.octet_length("text") <= SAMPLE_BYTES)
-    sizes = {bool(r["label"]): r["count"] for r in labels.groupBy("label").count().collect()}
-    sample = {
-        yes: [r["text"] for r in known.where(F.col("label").cast("boolean") == F.lit(yes)).orderBy(F.xxhash64("text")).limit(n).select("text").collect()]
+    """Fit on labelled rows: at most SAMPLE_TOXIC and SAMPLE_ORDINARY ids, taken in the order
+    of a hash, of which texts of at most SAMPLE_BYTES bytes are read, one an id. The list of
+    ids is bounded by that, so it is broadcast and no text is shuffled but the sample's.
+    Class sizes are counted over all labelled rows. Null labels and ids are left out."""
+    known = (
+        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+        .groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).alias("label"))
+    )
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    ids = [
+        known.where(F.col("label") == F.lit(yes)).orderBy(F.xxhash64("id"), "id").limit(n)
         for yes, n in ((True, SAMPLE_TOXIC), (False, SAMPLE_ORDINARY))
-    }
+    ]
+    texts = docs.select(F.col(id_col).alias("id"), text_column(text_col).alias("text"))
+    found = (
+        texts.where(F.octet_length("text") <= SAMPLE_BYTES)
+        .join(F.broadcast(ids[0].unionByName(ids[1])), "id")
+        .groupBy("id", "label").agg(F.min("text").alias("text"))
+    )
+    sample: dict[bool, list[str]] = {True: [], False: []}
+    for r in found.select("label", "text").collect():
+        sample[r["label"]].append(r["text"])
     return train(sample[True], sample[False], sizes.get(True, 0), sizes.get(False, 0))
 
 
