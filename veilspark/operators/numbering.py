@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.detect import TOKEN
 from ..functions.text import PREFIXES, let, literal
+from ..session import staged
 
 CHUNK = 1024
 EVENTS_OUT = "array<struct<category:string,confidence:double,placeholder:string>>"
@@ -152,12 +153,13 @@ def number_tokens(
     ``seen`` has the scan columns, ``prefix``, ``token`` and ``_first``, the
     struct(position, sequence) of a sighting; repeats are folded on the map side.
     """
-    first = (
+    first = staged(
         seen.groupBy(*scan, "prefix", "token").agg(F.min("_first").alias("_first"))
         .select(
             *scan, "prefix", "token",
             F.col(f"_first.{position}").alias(position),
             F.col(f"_first.{sequence}").alias(sequence),
-        )
+        ),
+        "first-seen",
     )
     return rank_by_chunks(first, [*scan, "prefix"], position, [sequence], "n", chunk)

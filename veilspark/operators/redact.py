@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.detect import can_match, redact
+from ..functions.detect import redact
 from ..functions.rules import RULES, PiiRule
 from ..functions.text import let
+from ..session import staged
 from .numbering import (
     CHUNK,
     EVENTS_OUT,
@@ -45,13 +46,16 @@ def redact_scans(
 ) -> DataFrame:
     """A scan is many rows, ordered by the integer column ``position``.
 
-    Rows on which no rule can fire pass by untouched. The others are folded once for
-    their events and once for the substitution; what is shuffled is the distinct tokens
-    and those rows, by chunk.
+    The table is read and folded once, and the folded rows, whose tokens carry no raw
+    value, are written to the shared folder; numbering and substitution start from there.
+    What is shuffled is the distinct tokens and the rows with events, by chunk.
     """
-    possible = F.expr(can_match(text, rules))
-    folded = evaluate_once(df.where(possible), _fold=redact(text, rules)).withColumn(
-        "_chunk", F.floor(F.col(position) / chunk)
+    others = [c for c in df.columns if c != text]
+    folded = staged(
+        evaluate_once(df, _fold=redact(text, rules)).select(
+            *others, "_fold", F.floor(F.col(position) / chunk).alias("_chunk")
+        ),
+        "folded",
     )
     events = folded.where(F.size("_fold.events") > 0).select(
         *scan, position, "_chunk", F.posexplode("_fold.events").alias("_seq", "_e")
@@ -61,8 +65,11 @@ def redact_scans(
     )
     # A value repeated all over a scan is folded to one row per chunk, before anything
     # else: numbering and substitution both start from this one shuffle.
-    seen = events.groupBy(*scan, "_chunk", "prefix", "token").agg(
-        F.min(F.struct(F.col(position), F.col("_seq"))).alias("_first")
+    seen = staged(
+        events.groupBy(*scan, "_chunk", "prefix", "token").agg(
+            F.min(F.struct(F.col(position), F.col("_seq"))).alias("_first")
+        ),
+        "tokens",
     )
     numbers = number_tokens(seen, scan, position, "_seq", chunk)
     by_chunk = (
@@ -73,13 +80,12 @@ def redact_scans(
             "map_from_entries(transform(_list, x -> struct(x.token, x.n)))"
         ).alias("_numbers"))
     )
-    clean = df.where(~possible).select(
-        *df.columns, F.expr(f"CAST(array() AS {EVENTS_OUT})").alias("events")
+    clean = folded.where(F.size("_fold.events") == 0).select(
+        *others, F.col("_fold.text").alias(text), F.expr(f"CAST(array() AS {EVENTS_OUT})").alias("events")
     )
-    hit = folded.join(by_chunk, [*scan, "_chunk"], "left")
+    hit = folded.where(F.size("_fold.events") > 0).join(by_chunk, [*scan, "_chunk"], "left")
     final = fill_numbers("_fold.text", "try_element_at(_numbers, tok)")
     events_out = numbered_events("_fold.events", "try_element_at(_numbers, v.token)")
-    others = [c for c in df.columns if c != text]
     hit = hit.select(
         *others, F.expr(final).alias(text), F.expr(events_out).alias("events")
     )
