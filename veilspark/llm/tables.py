@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from veilspark.session import checkpoint_dir
+from veilspark.session import staged
+
+__all__ = ["private", "read", "slices", "staged", "text_column", "with_columns"]
 
 # Arrow batches of texts are worked through in slices of about this many bytes, so that a
 # Python worker's memory follows the longest text and not the batch length.
@@ -21,14 +22,6 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lost executor costs a reread only."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def private(df: DataFrame, stem: str) -> str:
     """A column name starting with ``stem`` that ``df`` does not have."""
     taken, name = {c.lower() for c in df.columns}, f"_{stem}"
