@@ -13,7 +13,9 @@ compresses one that it cannot shorten as a whole.
 
 from __future__ import annotations
 
+import heapq
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -28,7 +30,7 @@ from .tables import private, slices, text_column, with_columns
 FRAME = b"\n|=~:{[(<0123456789>)]}:~=|\n+-_;"
 GAP = b"\x01\x02"  # between segments and frame, so that no word runs into the frame
 LEVEL = 6
-SHORTEST, LONGEST = 5, 13  # bytes of a segment, blanks included
+SHORTEST, SHORT, LONGEST = 5, 8, 13  # bytes of a segment, blanks included
 SHARE, LIFT = 0.02, 8.0  # of toxic texts that hold a segment; times as many as ordinary ones
 TOXIC_BYTES, ORDINARY_BYTES = 1024, 8192
 FOLDS = 3
@@ -36,7 +38,7 @@ MOST_HITS = 4  # as many or more hits count alike
 KEEP_WORDS = 400_000  # windows remembered by a worker
 
 # Bounds of the sample that is fitted on: texts of each class, bytes of a text.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1500, 3000, 65_536
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1000, 2000, 16_384
 
 
 def _counts(texts: Iterable[str]) -> Counter:
@@ -48,10 +50,12 @@ def _counts(texts: Iterable[str]) -> Counter:
 
 
 def _segments(words: Counter) -> Counter:
+    """In how many texts each beginning of a word occurs, up to words counted twice. Of words
+    in fewer than three texts the first letters are taken, which others may share."""
     out: Counter = Counter()
     for word, n in words.items():
         framed = b" " + word[: LONGEST + 1] + b" "
-        for size in range(SHORTEST, min(len(framed), LONGEST) + 1):
+        for size in range(SHORTEST, min(len(framed), LONGEST if n > 2 else SHORT) + 1):
             out[framed[:size]] += n
     return out
 
@@ -114,6 +118,21 @@ class Model:
     score: tuple[float, ...]  # by number of hits, the last for MOST_HITS or more
 
 
+def apart(texts: Iterable[str]) -> list[str]:
+    """Texts without near copies of earlier ones, whose chance words would look typical of
+    their class: two of the four least hashes of word triples in common make a near copy."""
+    seen: set[int] = set()
+    out = []
+    for text in sorted(set(texts)):
+        words = text.encode().split()
+        triples = {zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))}
+        least = heapq.nsmallest(4, triples)
+        if sum(h in seen for h in least) < min(2, len(least)):
+            out.append(text)
+        seen.update(least)
+    return out
+
+
 def _fold(texts: list[str]) -> list[list[str]]:
     return [texts[i::FOLDS] for i in range(FOLDS)]
 
@@ -134,7 +153,7 @@ def train(toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int)
     Without texts of both classes every score is the share of toxic texts (0 if none).
     """
     prior = n_toxic / (n_toxic + n_ordinary) if n_toxic + n_ordinary else 0.0
-    toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
+    toxic, ordinary = apart(toxic), apart(ordinary)
     if not toxic or not ordinary:
         return Model(b"", b"", 1, (prior,) * (MOST_HITS + 1))
     folds = _fold(toxic), _fold(ordinary)
