@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 SAMPLE = 20_000  # labelled URLs that the trees are grown on, at most
 TREES, DEPTH, SEED = 20, 4, 7
+CELLS = 4096  # hash cells that suffixes are counted in, so their table has a known bound
 SMOOTH = 20.0  # labelled URLs that a suffix needs before its own rate counts half
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy",
@@ -98,7 +99,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
         verdict = F.when(r.fits, "allow" if r.allow else "block").otherwise(verdict)
     rows = rows.select(
         "id", "host", "path", rule.alias("rule"), verdict.alias("ruled"),
-        F.regexp_extract("host", r"([^.]*)$", 1).alias("suffix"), F.xxhash64("url").alias("order"),
+        F.pmod(F.xxhash64(F.regexp_extract("host", r"([^.]*)$", 1)), F.lit(CELLS)).alias("suffix"), F.xxhash64("url").alias("order"),
         *[c.cast("double").alias(n) for n, c in _lexical(F.col("url")).items()],
     )
     labelled = rows.where(F.col("ruled").isNotNull()).withColumn("label", (F.col("ruled") == "block").cast("double"))
@@ -114,10 +115,10 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
         "suffix",
         ((F.col("blocked") + SMOOTH * rate) / (F.col("n") + SMOOTH)).alias("suffix_rate"),
         F.log1p("n").alias("suffix_log_count"),
-    )
+    )  # CELLS rows at most
 
     def full(df: DataFrame) -> DataFrame:
-        joined = df.join(suffixes, "suffix", "left").fillna({"suffix_rate": rate, "suffix_log_count": 0.0})
+        joined = df.join(F.broadcast(suffixes), "suffix", "left").fillna({"suffix_rate": rate, "suffix_log_count": 0.0})
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(joined)
 
     sample = full(labelled.orderBy("order").limit(SAMPLE)).select("features", "label")
