@@ -31,7 +31,7 @@ from .tables import private, slices, staged, text_column
 from .words import mix, split, window_hashes
 
 VALUES, BAND, STEP = 128, 4, 16
-BLOCK = 128  # members of a band that a task meets at once, twice
+BLOCK = 256  # members of a band that a task meets at once, twice
 PAIRS = 1 << 15  # pairs compared at once
 _U64 = np.uint64
 _factors = mix(np.arange(1, VALUES + 1, dtype=_U64)) | _U64(1)
@@ -303,7 +303,7 @@ def near_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
         F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)) for i in range(VALUES // BAND)])).alias("band", "key"),
     )
     full = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    met = bands.join(full, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
+    met = bands.join(full, "key").join(values, "k").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
     own = F.pmod(F.xxhash64("k"), F.col("blocks"))
     dealt = (
         met.withColumn("own", own)
@@ -313,20 +313,21 @@ def near_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
             F.col("band").cast("long").alias("band"),
             (F.col("own") != F.col("other")).alias("cross"),
             (F.col("own") > F.col("other")).cast("long").alias("side"),
-            "k",
+            "k", "signature",
         )
     )
     jobs = staged(
-        dealt.join(values, "k")
-        .select("job", "band", "cross", "side", "k", "signature")
-        .repartition("job")
+        dealt.repartition("job")
         .sortWithinPartitions("job")
         .mapInArrow(_compare(fewest(threshold, tolerance)), "job long, keys array<long>, pairs binary"),
         "jaccard-jobs",
     )
 
     asked = jobs.select("job", F.explode("keys").alias("k"))
-    wanted = rows.select("k", "text").join(asked.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+    # a merge join at every size: the list of keys grows with the table, so it is never sent
+    # to every task, and the plan does not change on the way up
+    keys = asked.select("k").distinct().hint("merge")
+    wanted = rows.select("k", "text").join(keys, "k", "left_semi").dropDuplicates(["k"])
     work = (
         asked.join(wanted, "k")
         .select("job", "k", "text", F.lit(None).cast("array<long>").alias("keys"), F.lit(None).cast("binary").alias("pairs"))
