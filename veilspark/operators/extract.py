@@ -4,7 +4,6 @@ A page stays one row: its nodes are an array, and so is the element list made fr
 The steps below are array expressions in one narrow stage. ``max_elements`` and
 ``max_text`` cut the list and the texts for a consumer that wants that (200 and 140 are
 usual); without them a page is taken whole, so that redaction and gate see all of it.
-Only the selector lookup, which compares nodes with each other, goes through a shuffle.
 """
 
 from __future__ import annotations
@@ -217,7 +216,7 @@ def element_keys(pages: DataFrame, key: str, markup: str = "html") -> DataFrame:
     """Private lookup table: (key, id) to node and stable selector. Never sent out.
 
     Of the selectors a node could be named by, the first that no other node of the page
-    shares is taken, else its path. Uniqueness is a count per (page, selector).
+    shares is taken, else its path. A page is read once and stays one row throughout.
     """
     found = page_candidates(pages, markup).select(
         key, "nodes",
@@ -246,33 +245,31 @@ def element_keys(pages: DataFrame, key: str, markup: str = "html") -> DataFrame:
         f"THEN concat('a[href=', {quoted(href)}) END",
     ]
     each = ", ".join(names)
-    # every node offers its selectors; counting them tells which are unique
+    # every node offers its selectors; sorted, a selector's nodes are neighbours
     offered = evaluate_once(
         found,
-        offers=f"flatten(transform(nodes, n -> transform(array({each}), (s, r) -> "
-               "named_struct('ord', n.ord, 'rank', r, 'selector', s))))",
+        offers=f"array_sort(filter(flatten(transform(nodes, n -> transform(array({each}), (s, r) -> "
+               "named_struct('selector', s, 'ord', n.ord, 'rank', r)))), o -> o.selector IS NOT NULL))",
     )
-    rows = offered.select(key, F.explode("offers").alias("o")).where("o.selector IS NOT NULL").select(
-        key, "o.ord", "o.rank", "o.selector"
+    once = evaluate_once(
+        offered,
+        once="filter(offers, (o, i) -> i = 0 OR NOT (offers[i - 1].selector = o.selector AND offers[i - 1].ord = o.ord))",
     )
-    single = (
-        rows.groupBy(key, "selector")
-        .agg(F.count_distinct("ord").alias("n"), F.min("ord").alias("ord"), F.min("rank").alias("rank"))
-        .where("n = 1")
+    single = evaluate_once(
+        once,
+        single="filter(once, (o, i) -> (i = 0 OR once[i - 1].selector <> o.selector) AND "
+               "(i = size(once) - 1 OR once[i + 1].selector <> o.selector))",
     )
-    best = single.groupBy(key, "ord").agg(
-        F.min_by("selector", "rank").alias("unique_selector"),
-        F.max(F.when(F.col("rank") == 0, F.col("selector"))).alias("unique_id"),
+    ranked = evaluate_once(
+        single,
+        ranked="array_sort(transform(single, o -> named_struct('ord', o.ord, 'rank', o.rank, 'selector', o.selector)))",
     )
-    by_page = best.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("ord", "unique_selector"))).alias("selectors"),
-        F.map_from_entries(
-            F.filter(
-                F.collect_list(F.struct("ord", "unique_id")), lambda x: x["unique_id"].isNotNull()
-            )
-        ).alias("unique_ids"),
+    joined = evaluate_once(
+        ranked,
+        selectors="map_from_entries(transform(filter(ranked, (o, i) -> i = 0 OR ranked[i - 1].ord <> o.ord), "
+                  "o -> struct(o.ord, o.selector)))",
+        unique_ids="map_from_entries(transform(filter(single, o -> o.rank = 0), o -> struct(o.ord, o.selector)))",
     )
-    joined = found.join(by_page, key, "left")
     step = "concat(a.tag, if(a.nth > 1, concat(':nth-of-type(', a.nth, ')'), ''))"
     # the path starts after the last ancestor with an id of its own, else below html
     path = let(
@@ -289,10 +286,7 @@ def element_keys(pages: DataFrame, key: str, markup: str = "html") -> DataFrame:
         "transform(ids, x -> named_struct('id', x.id, 'ord', x.ord, 'tag', nodes[x.ord].tag, "
         f"'selector', coalesce(selectors[x.ord], {path})))"
     )
-    filled = joined.withColumn(
-        "selectors", F.coalesce("selectors", F.expr("CAST(map() AS map<int,string>)"))
-    ).withColumn("unique_ids", F.coalesce("unique_ids", F.expr("CAST(map() AS map<int,string>)")))
-    return evaluate_once(filled, named=named).select(key, F.explode("named").alias("x")).select(
+    return evaluate_once(joined, named=named).select(key, F.explode("named").alias("x")).select(
         key, "x.id", F.col("x.ord").alias("node"), "x.tag", "x.selector"
     )
 
@@ -302,5 +296,7 @@ def lookup_elements(wanted: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return wanted.join(keys, [key, "id"], "left")
 
 
-def map_sizes(keys: DataFrame, key: str) -> DataFrame:
-    return keys.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+def map_sizes(pages: DataFrame, key: str, markup: str = "html") -> DataFrame:
+    """How many elements a page's lookup table has, for pages with any."""
+    kept = page_candidates(pages, markup).select(key, F.size("kept").cast("long").alias("size"))
+    return kept.where("size > 0")

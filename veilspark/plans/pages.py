@@ -70,7 +70,7 @@ def element_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def element_map_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return map_sizes(element_keys(pages(spark, folder), "page_id"), "page_id")
+    return map_sizes(pages(spark, folder), "page_id")
 
 
 def sanitize_pages(spark: SparkSession, folder: str) -> DataFrame:
