@@ -1,4 +1,5 @@
-from veilspark.operators.extract import element_keys, element_rows, extract_pages, visual_candidates
+from veilspark.operators.actions import validate_actions
+from veilspark.operators.extract import element_keys, element_states, element_rows, extract_pages, visual_candidates
 from veilspark.operators.sanitize import sanitize_scans
 from veilspark.sources.html import parse_page
 
@@ -73,3 +74,32 @@ def test_broken_markup():
     assert [n[2] for n in nodes if n[2] in ("p", "li")] == ["p", "p", "li", "li"]
     assert [n[5] for n in nodes if n[2] == "li"] == ["c", "d"]
     assert parse_page(None) == ("", []) and parse_page("plain") == ("", [])
+
+
+def test_states_from_markup(spark):
+    html = """<body><button>Go</button><input type=text placeholder=a><input type=checkbox aria-label=b><select aria-label=c>
+<option>1</select><fieldset disabled><input aria-label=d></fieldset><button disabled>Off</button><div role=button aria-disabled=true>x</div>
+<button hidden>no</button><p>words</p></body>"""
+    page = scan(spark, html)
+    states = {r.id: (r.tag, r.role, r.input_type, r.disabled) for r in element_states(page, "page_id").collect()}
+    assert list(states.values()) == [
+        ("button", None, None, False), ("input", None, "text", False), ("input", None, "checkbox", False),
+        ("select", None, None, False), ("input", None, "text", True), ("button", None, None, True),
+        ("div", "button", None, True), ("p", None, None, False),
+    ]
+    cases = [
+        ("CLICK", "el_001", None, True), ("TYPE", "el_002", "x", True), ("CHECK", "el_003", None, True),
+        ("SELECT", "el_004", "1", True), ("TYPE", "el_005", "x", False), ("CLICK", "el_006", None, False),
+        ("CLICK", "el_007", None, False), ("CLICK", "el_008", None, False), ("CLICK", "el_009", None, False),
+        ("TYPE", "el_001", "x", False), ("SELECT", "el_002", "x", False), ("CHECK", "el_002", None, False),
+    ]
+    actions = spark.createDataFrame([(1, *c, None) for c in cases], "page_id int, action string, target string, value string, want boolean, current_url string")
+    got = validate_actions(actions, element_states(page, "page_id"), scan="page_id")
+    assert got.where("valid <> want").count() == 0 and got.count() == len(cases)
+
+
+def test_a_response_that_is_no_object(spark):
+    actions = spark.createDataFrame([(1, "DONE", None, None, None, False)], "scan_id int, action string, target string, value string, current_url string, is_object boolean")
+    states = spark.createDataFrame([], "scan_id int, id string, tag string, role string, input_type string, disabled boolean, visible boolean")
+    row = validate_actions(actions, states).first()
+    assert not row.valid and "not an object" in row.reason

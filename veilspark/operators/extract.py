@@ -206,6 +206,27 @@ def visual_candidates(pages: DataFrame, key: str, markup: str = "html") -> DataF
     )
 
 
+def element_states(pages: DataFrame, key: str, markup: str = "html") -> DataFrame:
+    """What an action log is checked against: (key, id, tag, role, input_type, disabled,
+    visible) of each element, from the markup alone.
+
+    A control is disabled by itself, by ``aria-disabled`` or by a disabled fieldset around
+    it. Elements that the markup hides have no id, so an action on one has an unknown target.
+    """
+    off = "(n.tag IN ('button', 'input', 'select', 'textarea', 'option') AND map_contains_key(n.attrs, 'disabled'))"
+    around = "exists(n.path, p -> nodes[p].tag = 'fieldset' AND map_contains_key(nodes[p].attrs, 'disabled'))"
+    one = let(
+        "n", "d.n",
+        "named_struct('id', format_string('el_%03d', i + 1), 'tag', n.tag, "
+        "'role', lower(n.attrs['role']), 'input_type', if(n.tag = 'input', "
+        "lower(coalesce(nullif(n.attrs['type'], ''), 'text')), CAST(NULL AS STRING)), "
+        f"'disabled', coalesce({off} OR lower(n.attrs['aria-disabled']) = 'true' "
+        f"OR (n.tag IN {FORM_TAGS + ('button',)} AND {around}), false), 'visible', true)",
+    )
+    found = evaluate_once(page_candidates(pages, markup), states=f"transform(kept, (d, i) -> {one})")
+    return found.select(key, F.explode("states").alias("s")).select(key, "s.*")
+
+
 def element_rows(scans: DataFrame, keys: list[str]) -> DataFrame:
     return scans.select(*keys, F.posexplode("elements").alias("p", "e")).select(
         *keys, (F.col("p") + 1).alias("ord"), "e.*"

@@ -127,7 +127,7 @@ def gate_documents(spark: SparkSession, folder: str) -> DataFrame:
 def gate_escaped_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """The same payloads from a producer that escapes digits, ``@`` and blanks."""
     plain = F.to_json(F.struct(F.array(F.struct("text")).alias("elements")))
-    escaped = F.regexp_replace(plain, "([0-9])", r"\\\\u003$1")
+    escaped = F.regexp_replace(plain, "([0-9])", r"\\u003$1")
     escaped = F.replace(F.replace(escaped, F.lit("@"), F.lit("\\u0040")), F.lit(" "), F.lit("\\u0020"))
     payloads = documents(spark, folder).select("doc_id", escaped.alias("payload"))
     return gate(payloads).select("doc_id", "blocked", "reason", "violationsCount")

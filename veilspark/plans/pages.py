@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..operators.extract import (
     element_keys,
     element_rows,
+    element_states,
     extract_pages,
     lookup_elements,
     map_sizes,
 )
+from ..operators.actions import validate_actions
 from ..operators.gate import gate
 from ..operators.sanitize import sanitize_scans
 from ..sources.tables import pages, spread, table
@@ -73,6 +75,19 @@ def element_map_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return map_sizes(pages(spark, folder), "page_id")
 
 
+def page_action_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Nine planned actions a page, checked against the states that its markup gives."""
+    read = pages(spark, folder)
+    actions = read.select(F.col("page_id").alias("scan_id"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k")).select(
+        "scan_id", "k",
+        F.when(F.col("k") % 3 == 2, "TYPE").otherwise("CLICK").alias("action"),
+        F.format_string("el_%03d", (F.col("scan_id") * 7 + F.col("k") * 5) % 40 + 1).alias("target"),
+        F.lit("x").alias("value"), F.lit(None).cast("string").alias("current_url"),
+    )
+    states = element_states(read, "page_id").withColumnRenamed("page_id", "scan_id")
+    return validate_actions(actions, states).select(F.col("scan_id").alias("page_id"), "k", "target", "valid")
+
+
 def sanitize_pages(spark: SparkSession, folder: str) -> DataFrame:
     scans = sanitize_scans(extract_pages(pages(spark, folder)))
     return element_rows(scans, ["page_id"]).select("page_id", "ord", "text", "sensitive")
@@ -206,6 +221,11 @@ FROM elements GROUP BY ALL""",
         "element_lookup": f"""
 WITH {elements}, {keys}, wanted AS ({WANTED.format(orders='orders')})
 SELECT o_orderkey, page_id, id, tag, selector FROM wanted LEFT JOIN keys USING (page_id, id)""",
+        "page_action_audit": f"""WITH {elements},
+actions AS (SELECT page_id, k, k % 3 = 2 AS types, format('el_{{:03d}}', (page_id * 7 + k * 5) % 40 + 1) AS target
+  FROM pages, unnest(range(0, 9)) AS u(k))
+SELECT a.page_id, CAST(k AS INT) AS k, target, coalesce(NOT types AND tag = 'a', FALSE) AS valid
+FROM actions a LEFT JOIN elements e ON e.page_id = a.page_id AND e.id = a.target""",
         "element_map_sizes": f"WITH {elements} SELECT page_id, count(*) AS size FROM elements GROUP BY ALL",
         "sanitize_pages": f"""
 {folded} SELECT page_id, ords[i] AS ord, texts[i] AS text, {any_key} > 0 AS sensitive
@@ -228,6 +248,7 @@ QUERIES = {
     "page_selectors": page_selectors,
     "element_lookup": element_lookup,
     "element_map_sizes": element_map_sizes,
+    "page_action_audit": page_action_audit,
     "sanitize_pages": sanitize_pages,
     "page_verdicts": page_verdicts,
     "form_page_elements": form_page_elements,
