@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from check import compare, duck
 from conftest_llm import FOLDER, WORD
 
 from veilspark.llm import exact, jaccard, queries, repeats, suffixes
@@ -94,7 +95,7 @@ def spans_by_hand(texts, length=50):
 
 
 def test_suffix_query(spark, texts):
-    rows = queries.op10_suffix_array_dedup(spark, FOLDER).collect()
+    rows = suffixes.repeated_passages(spark.read.parquet(f"{FOLDER}/documents.parquet")).collect()
     want = spans_by_hand(texts)
     assert want and {(r["doc_id"], r["start"], r["n_words"]) for r in rows} == want
     for r in rows:
@@ -214,3 +215,9 @@ def test_exact_same_head(spark):
     assert got == {1: (1, 2, True), 2: (2, 1, True), 3: (1, 2, False)}
 
 
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_against_sql(spark, name):
+    ok, note = compare(queries.QUERIES[name](spark, FOLDER), duck(FOLDER), queries.ORACLE[name])
+    assert ok, note

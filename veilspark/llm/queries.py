@@ -100,7 +100,30 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffixes.repeated_passages(read(spark, folder, "documents").select("doc_id", "text"))
+    return suffixes.repeated_passages(read(spark, folder, "documents")).drop("text")
+
+
+_WORDS = r"""
+words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + {n} - 1], ' ') AS s
+  FROM words, unnest(range(1, len(w) - {n} + 2)) AS u(i)),
+held AS (SELECT s, min(doc_id) AS low, max(doc_id) AS high FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id))"""
+
+OP6_SQL = f"""
+WITH {_WORDS.format(n=13)},
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM windows JOIN held USING (s), unnest(range(i, i + 13)) AS v(p)
+  WHERE low < doc_id GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, k: NOT coalesce(list_contains(ps, k), FALSE)), ' ')) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id)"""
+
+OP10_SQL = f"""
+WITH {_WORDS.format(n=50)},
+hits AS (SELECT doc_id, i, CASE WHEN low = doc_id THEN high ELSE low END AS other,
+  coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, TRUE) AS new FROM windows JOIN held USING (s)),
+runs AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits)
+SELECT doc_id, min(i) - 1 AS start, max(i) + 50 - min(i) AS n_words, arg_min(other, i) AS other_id
+FROM runs GROUP BY doc_id, run"""
 
 
 QUERIES = {
@@ -115,4 +138,8 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
-ORACLE: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
+ORACLE: dict[str, str] = {
+    "op6_substring_dedup": OP6_SQL,
+    "op9_exact_dedup": OP9_SQL,
+    "op10_suffix_array_dedup": OP10_SQL,
+}

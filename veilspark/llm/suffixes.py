@@ -62,8 +62,9 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     """Maximal spans of words that are covered by windows of ``length`` words which also
     occur in a text with another id.
 
-    One row a span: ``id_col``, ``start`` (word index), ``n_words``, ``other_id`` (the least
-    id of another text that has the span's first window) and ``text`` (the words). Null text:
+    One row a span: ``id_col``, ``start`` (word index), ``n_words``, ``other_id`` (another
+    text with the span's first window: the one of the least id, or of the greatest if the
+    least is its own) and ``text`` (the words). Null text:
     no words. A null id counts as one text, after all others, and is given back as null; as
     ``other_id`` it is null too. Rows that repeat an id count as one text. Texts under
     ``length`` words give no rows; other columns are not carried, so none can clash.
