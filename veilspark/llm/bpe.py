@@ -112,7 +112,7 @@ class _Runs(dict):
             raise ValueError
         ids = self.encoder.words(" " + run)
         if len(run) <= KEEP_BYTES:
-            if len(self) >= KEEP_WORDS:
+            if len(self) >= self.encoder.keep:
                 self.clear()
             self[run] = ids
         return ids
@@ -124,8 +124,8 @@ class Encoder:
     ``encode_word`` gives the ids of one word; without it words are merged here by rank.
     """
 
-    def __init__(self, vocabulary: Vocabulary, encode_word: Callable[[str], list[int]] | None = None):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, encode_word: Callable[[str], list[int]] | None = None, keep: int = KEEP_WORDS):
+        self.vocabulary, self.keep = vocabulary, keep
         self.pattern = regex.compile(PATTERN)
         names = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
@@ -139,7 +139,7 @@ class Encoder:
         parts = (scan_merge if len(raw) <= SCAN_BYTES else heap_merge)(raw, v.rank)
         ids = packed([v.id[p] for p in parts])
         if len(raw) <= KEEP_BYTES:
-            if len(self.merged) >= KEEP_WORDS:
+            if len(self.merged) >= self.keep:
                 self.merged.clear()
             self.merged[word] = ids
         return ids

@@ -29,6 +29,7 @@ from .words import mix, split
 
 DIMENSIONS = 3
 BITS = 16  # of each coordinate
+KEEP_RUNS = 150_000  # runs of letters that a worker remembers
 SPREAD = 4.0  # coordinates beyond this many standard deviations share the outermost cell
 
 
@@ -103,7 +104,7 @@ def pack(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_column(text_col).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value, _word_encoder(vocabulary.value))
+        encoder = Encoder(vocabulary.value, _word_encoder(vocabulary.value), KEEP_RUNS)
         packer = zstandard.ZstdCompressor(level=1)
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:

@@ -49,6 +49,7 @@ def slices(batch, column: str) -> Iterator[tuple[int, int]]:
         total += size
     if start < len(sizes):
         yield start, len(sizes) - start
+    pa.default_memory_pool().release_unused()  # workers live on from stage to stage
 
 
 def text_column(name: str = "text"):

@@ -35,7 +35,7 @@ SHARE, LIFT = 0.02, 8.0  # of toxic texts that hold a segment; times as many as
 TOXIC_BYTES, ORDINARY_BYTES = 1024, 8192
 FOLDS = 3
 MOST_HITS = 4  # as many or more hits count alike
-KEEP_WORDS = 400_000  # windows remembered by a worker
+KEEP_WORDS = 200_000  # windows remembered by a worker
 
 # Bounds of the sample that is fitted on: texts of each class, bytes of a text.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1000, 2000, 16_384
