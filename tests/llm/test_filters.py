@@ -140,6 +140,23 @@ def test_style_tree(spark):
     assert got[100] == "Welcome to the site\nTitle 7\nBody & text 7\nsecond block 7"
 
 
+BOXED = """<html><body><article class=teaser><p>Read next {0}</p></article><div class=box>Our new app</div><div id=text><p>Long text {0}</p></div></body></html>"""
+NOTED = """<html><body><main><div class=box><p>Our new app</p></div><h1>Title {0}</h1><p>Text {0}</p></main></body></html>"""
+SAME = """<html><body><i>{0}</i><main><p>Text of all</p></main></body></html>"""
+
+
+@pytest.mark.parametrize("page,text", [
+    (NOTED, "Title {0}\nText {0}"), (BOXED, "Read next {0}\nLong text {0}"), (SAME, "{0}\nText of all"),
+])
+def test_style_tree_judges_pages_with_an_article(spark, page, text):
+    """A notice inside main that all pages repeat goes, text outside an article that varies
+    stays, and an article is not cut as a whole; on a small host all stays."""
+    rows = [(i, "http://big.example/x", page.format(i)) for i in range(12)] + [(100, "http://small.example/", page.format(7))]
+    got = {r["page_id"]: r["text"] for r in sitestyle.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(12)] == [text.format(i) for i in range(12)]
+    assert sorted(got[100].split("\n")) == sorted(text.format(7).split("\n") + ["Our new app"] * ("app" in page))
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<ul><li>a<ul><li>b</ul><li>c</ul>", "a\nb\nc"),
     ("<article><h1>x&nbsp;y</h1><p>a &lt;b&gt; &#65;&am</p></article>", "x y\na <b> A&am"), ("<p>a<br>b</p>", "a b"),

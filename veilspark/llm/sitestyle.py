@@ -5,7 +5,9 @@ classes. A node's presentation is the sequence of its children, its content the
 under it. Over the pages of the host, the entropy of each (scaled to 0 .. 1 by the number of
 different pages) says whether the node is alive: a menu or notice that looks and reads the
 same everywhere has entropy 0. A branch whose nodes all stay below ``noise`` is taken out of
-each page, as are branches marked as no article by tag, role or class.
+each page, as are branches marked as no article by tag, role or class. An article or main
+element is a prior only: its parts are judged like all others, but where nothing in it is
+alive there is nothing to tell its parts from, and it stays whole.
 
 The tree is a table of (host, node) with grouped counts, so a host with a third of all pages
 is no task's work. Pages are read twice, for the tree and for the text, and meet only the
@@ -124,38 +126,41 @@ def _read(html: str) -> tuple[_Page, bool]:
     return page, any(a for _, _, m, a in page.blocks if not m)
 
 
-def style_nodes(html: str) -> list[tuple[int, int, int, int, bool]]:
-    """(node, presentation, content, parent, safe) of each node that is not marked; the tops
-    of the page and all within an article are safe."""
+def style_nodes(html: str) -> list[tuple[int, int, int, int, int | None]]:
+    """(node, presentation, content, parent, article) of each node that is not marked;
+    ``article`` is the outermost article or main element around it or itself, if any."""
     page, _ = _read(html)
-    seen: dict[str, bool] = {}
-    for _, above, marked, article in page.blocks:
+    seen: dict[str, str | None] = {}
+    for _, above, marked, _ in page.blocks:
         if not marked:
-            inside = False
+            article = None
             for p in above:
-                inside = inside or p.rpartition("/")[2].partition(".")[0] in ARTICLE
-                seen[p] = seen.get(p, False) or inside or p in ("/html", "/html/body")
+                if article is None and p.rpartition("/")[2].partition(".")[0] in ARTICLE:
+                    article = p
+                seen[p] = article
     return [
         (
             _hash(p), _hash(" ".join(page.children.get(p, ()))), _hash("\n".join(page.content.get(p, ()))),
-            _hash(page.parent.get(p, "")), safe,
+            _hash(page.parent.get(p, "")), None if article is None else _hash(article),
         )
-        for p, safe in seen.items()
+        for p, article in seen.items()
     ]
 
 
-def text_of(html: str, dead: set[int]) -> str:
-    """Blocks in page order, without what is marked, under a dead node or, if the page has an
-    article, outside it."""
+def text_of(html: str, dead: set[int], alone: bool = True) -> str:
+    """Blocks in page order, without what is marked or under a dead node. Of a page read
+    ``alone``, without a tree of its host, an article is taken for all of the main text."""
     page, has_article = _read(html)
+    only = alone and has_article
     return "\n".join(
         text
         for text, above, marked, article in page.blocks
-        if not marked and (article or not has_article) and not (dead and any(_hash(p) in dead for p in above))
+        if not marked and (article or not only) and not (dead and any(_hash(p) in dead for p in above))
     )
 
 
-NODES = "host long, page long, node long, look long, content long, parent long, safe boolean"
+NODES = "host long, page long, node long, look long, content long, parent long, article long"
+TOPS = tuple(_hash(p) for p in ("/html", "/html/body"))
 
 
 def _entropy(counts: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -181,7 +186,7 @@ def main_text(pages: DataFrame, noise: float = NOISE, id_col: str = "page_id", u
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), html.alias("html"))
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 4 + [pa.bool_()]
+        kinds = [pa.int64()] * 5
         for batch in batches:
             for start, n in slices(batch, "html"):
                 part = batch.slice(start, n)
@@ -190,7 +195,7 @@ def main_text(pages: DataFrame, noise: float = NOISE, id_col: str = "page_id", u
                 columns = list(zip(*(x for f in found for x in f))) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
                     [part.column("host").take(at), part.column("page").take(at), *map(pa.array, columns, kinds)],
-                    names=["host", "page", "node", "look", "content", "parent", "safe"],
+                    names=["host", "page", "node", "look", "content", "parent", "article"],
                 )
 
     # copies of a page are one page of the tree
@@ -198,9 +203,15 @@ def main_text(pages: DataFrame, noise: float = NOISE, id_col: str = "page_id", u
     by = ["host", "node", "parent"]
     look = _entropy(seen.groupBy(*by, "look").agg(F.count("*").alias("n")), by, "look")
     content = _entropy(seen.groupBy(*by, "content").agg(F.count("*").alias("n")), by, "content").drop("pages")
-    safe = seen.groupBy(*by).agg(F.max("safe").alias("safe"))
-    quiet = (F.greatest("look", "content") < noise) & (F.col("pages") >= ENOUGH_PAGES) & ~F.col("safe")
-    tree = staged(look.join(content, by).join(safe, by).select(*by, quiet.alias("dead")), "style-tree")
+    article = seen.groupBy(*by).agg(F.max("article").alias("article"))
+    quiet = (F.greatest("look", "content") < noise) & (F.col("pages") >= ENOUGH_PAGES) & ~F.col("node").isin(*TOPS)
+    judged = staged(look.join(content, by).join(article, by).select(*by, "article", quiet.alias("quiet")), "style-nodes")
+    # an article in which nothing lives gives nothing to tell its parts from, and stays
+    still = judged.where("article IS NOT NULL").groupBy("host", "article").agg(F.min("quiet").alias("still"))
+    tree = staged(
+        judged.join(still, ["host", "article"], "left").select(*by, (F.col("quiet") & ~F.coalesce("still", F.lit(False))).alias("dead")),
+        "style-tree",
+    )
     # a branch goes only as a whole: what has a living child lives
     while True:
         living = tree.where(~F.col("dead")).select("host", F.col("parent").alias("node")).distinct()
@@ -223,7 +234,7 @@ def main_text(pages: DataFrame, noise: float = NOISE, id_col: str = "page_id", u
             for start, n in slices(batch, "html"):
                 part = batch.slice(start, n)
                 gone = [frozenset(d or ()) for d in part.column("dead").to_pylist()]
-                texts = [text_of(h, d) for h, d in zip(part.column("html").to_pylist(), gone)]
+                texts = [text_of(h, d, alone=False) for h, d in zip(part.column("html").to_pylist(), gone)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"]
                 )
