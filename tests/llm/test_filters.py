@@ -157,6 +157,27 @@ def test_style_tree_judges_pages_with_an_article(spark, page, text):
     assert sorted(got[100].split("\n")) == sorted(text.format(7).split("\n") + ["Our new app"] * ("app" in page))
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<div class='container has-sidebar no-comments ad-free'><p>a</p></div>", "a"),
+    ("<h1>t</h1><section id=related-work><p>a</p></section><section id=menu><p>b</p></section><h2 id=social>c</h2>", "t\na\nb\nc"),
+    ("<form id=aspnet><article><p>a</p><form>x</form><div class=ad>y</div></article></form>", "a"),
+    ("<a>skip</a><form><p>one two three four five six seven eight nine</p><div class=ad>y</div></form>",
+     "skip\none two three four five six seven eight nine"),
+    ("<div class=sidebar><main><p>a</p></main><p>b</p></div>", "a"),
+    ("<article>a</article><div class=related><article>b</article></div>", "a"),
+    ("<p>some text of its own</p><form>Mail</form><div class='x menu'>c</div><div id=comments>d</div>", "some text of its own"),
+])
+def test_weak_marks(page, text):
+    assert sitestyle.text_of(page, set()) == text
+
+
+def test_form_with_varied_text(spark):
+    page = "<p>Title {0} of many words</p><form><label>Mail</label><p>Question {0}</p></form>"
+    rows = [(i, "http://big.example/x", page.format(i)) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in sitestyle.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i} of many words\nQuestion {i}" for i in range(12)}
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<ul><li>a<ul><li>b</ul><li>c</ul>", "a\nb\nc"),
     ("<article><h1>x&nbsp;y</h1><p>a &lt;b&gt; &#65;&am</p></article>", "x y\na <b> A&am"), ("<p>a<br>b</p>", "a b"),

@@ -9,6 +9,10 @@ each page, as are branches marked as no article by tag, role or class. An articl
 element is a prior only: its parts are judged like all others, but where nothing in it is
 alive there is nothing to tell its parts from, and it stays whole.
 
+Names and forms are weak marks. They are overruled by an article below them on a page that has
+no other, and on a page without any by holding most of the page's words; a form also by text
+below it that varies from page to page.
+
 The tree is a table of (host, node) with grouped counts, so a host with a third of all pages
 is no task's work. Pages are read twice, for the tree and for the text, and meet only the
 list of their own host's dead branches.
@@ -17,6 +21,7 @@ list of their own host's dead branches.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,9 +36,14 @@ from .urls import host_and_path
 
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 EMPTY = frozenset("area base col embed hr img input link meta param source track".split())
-NO_TEXT = frozenset("head title script style noscript template nav footer aside form button select textarea iframe svg canvas object menu dialog".split())
-NO_TEXT_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar".split())
+NO_TEXT = frozenset("head title script style noscript template nav footer aside button select textarea iframe svg canvas object menu dialog".split())
+NO_TEXT_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar".split())
 NO_TEXT_NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice notices popup modal sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies disqus newsletter subscribe share sharing social related widget toolbar pagination pager copyright".split())
+# whole names made of two or more words, of which one is in the list above
+NO_TEXT_NAMES |= frozenset("ad-container ad-slot ad-banner ad-box ad-unit ad-wrapper google-ad google-ads adsbygoogle banner-ad top-banner cookie-banner cookie-notice cookie-bar cookie-consent cookies-notice consent-banner gdpr-banner site-notice popup-overlay side-bar left-sidebar right-sidebar sidebar-left sidebar-right sidebar-primary main-menu main-nav main-navigation site-navigation nav-bar nav-menu nav-links navbar-nav top-nav menu-item dropdown-menu breadcrumb-nav site-footer page-footer footer-links footer-nav comments-area comments-section comments-list comment-list comment-form comment-respond post-comments user-comments disqus_thread reply-form newsletter-signup newsletter-form subscribe-form share-buttons share-links social-links social-icons social-share social-media related-posts related-articles related-links related-content widget-area".split())
+# an id of these is made from the heading as a rule
+OWN_IDS = frozenset("section article main h1 h2 h3 h4 h5 h6".split())
+PAGE_WIDE = 0.9  # of a page's words, from which a weak mark is overruled
 ARTICLE = frozenset(("article", "main"))
 CLOSED_BY = {"p": frozenset("p".split()), "li": frozenset("li p".split()), "dd": frozenset("dd dt p".split()), "dt": frozenset("dd dt p".split()), "td": frozenset("td th p".split()), "th": frozenset("td th p".split()), "tr": frozenset("tr td th p".split()), "option": frozenset(("option",))}
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot".split())
@@ -53,20 +63,23 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool, bool]] = []  # tag, path, marked, in an article
+        # tag, path, strongly marked, weak marks above and on it, how many of them are above
+        # the article around it (-1 outside of one)
+        self.stack: list[tuple[str, str, bool, tuple[tuple[int, bool], ...], int]] = []
+        self.marks = 0
         self.children: dict[str, list[str]] = {}
         self.content: dict[str, list[str]] = {}
         self.parent: dict[str, str] = {}
-        self.blocks: list[tuple[str, list[str], bool, bool]] = []
+        self.blocks: list[tuple[str, list[str], bool, tuple[tuple[int, bool], ...], int]] = []
         self.text: list[str] = []
 
     def flush(self):
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            _, path, marked, article = self.stack[-1] if self.stack else ("", "", False, False)
+            _, path, marked, weak, article = self.stack[-1] if self.stack else ("", "", False, (), -1)
             self.content.setdefault(path, []).append(text)
-            self.blocks.append((text, [p for _, p, _, _ in self.stack], marked, article))
+            self.blocks.append((text, [level[1] for level in self.stack], marked, weak, article))
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -83,22 +96,25 @@ class _Page(HTMLParser):
         elif self.stack and self.stack[-1][0] == "p" and tag not in EMPTY:
             self.stack.pop()
         named = dict(attrs)
-        names = f"{named.get('class') or ''} {named.get('id') or ''}".lower()
-        _, above, marked, article = self.stack[-1] if self.stack else ("", "", False, False)
-        style = tag + "".join("." + n for n in sorted((named.get("class") or "").lower().split()))
+        _, above, marked, weak, article = self.stack[-1] if self.stack else ("", "", False, (), -1)
+        names = (named.get("class") or "").lower().split()
+        style = tag + "".join("." + n for n in sorted(names))
         path = f"{above}/{style}"
         self.children.setdefault(above, []).append(style)
         self.parent[path] = above
         if tag in EMPTY:
             return
-        marked = (
-            marked
-            or tag in NO_TEXT
-            or (tag == "header" and not article)
-            or (named.get("role") or "").lower() in NO_TEXT_ROLES
-            or (tag not in ("html", "body") and not NO_TEXT_NAMES.isdisjoint(re.split(r"[\s_-]+", names)))
-        )
-        self.stack.append((tag, path, marked, article or tag in ARTICLE and not marked))
+        role = (named.get("role") or "").lower()
+        marked = marked or tag in NO_TEXT or (tag == "header" and article < 0) or role in NO_TEXT_ROLES
+        if tag in ARTICLE and article < 0 and not marked:
+            article = len(weak)
+        if tag not in OWN_IDS:
+            names.append((named.get("id") or "").strip().lower())
+        form = tag == "form" or role == "form"
+        if form or (tag not in ("html", "body", "main") and not NO_TEXT_NAMES.isdisjoint(names)):
+            self.marks += 1
+            weak += ((self.marks, form and NO_TEXT_NAMES.isdisjoint(names)),)
+        self.stack.append((tag, path, marked, weak, article))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -118,48 +134,72 @@ class _Page(HTMLParser):
         self.text.append(data)
 
 
-def _read(html: str) -> tuple[_Page, bool]:
+def _read(html: str) -> tuple[_Page, list[tuple[str, list[str], bool, bool]], bool]:
+    """The page, its blocks as (text, nodes above, in a form, in an article) without those that
+    marks take out, and whether it has an article. Blocks of a form are listed, as only the tree
+    can tell which of them live."""
     page = _Page()
     page.feed(_CUT_TAG.sub("", html))
     page.close()
     page.flush()
-    return page, any(a for _, _, m, a in page.blocks if not m)
-
-
-def style_nodes(html: str) -> list[tuple[int, int, int, int, int | None]]:
-    """(node, presentation, content, parent, article) of each node that is not marked;
-    ``article`` is the outermost article or main element around it or itself, if any."""
-    page, _ = _read(html)
+    blocks = [(text, above, weak, article) for text, above, marked, weak, article in page.blocks if not marked]
+    has_article = any(article >= 0 and not weak for _, _, weak, article in blocks)
+    if not has_article and any(article == len(weak) for _, _, weak, article in blocks):
+        has_article = True
+        blocks = [(text, above, weak[max(article, 0) :], article) for text, above, weak, article in blocks]
+    elif not has_article and any(weak for _, _, weak, _ in blocks):
+        words: Counter = Counter()
+        for text, _, weak, _ in blocks:
+            n = len(text.split())
+            words.update({0: n} | {mark: n for mark, _ in weak})
+        blocks = [
+            (text, above, tuple(m for m in weak if words[m[0]] < PAGE_WIDE * words[0]), article)
+            for text, above, weak, article in blocks
+        ]
+    kept = [(text, above, bool(weak), article >= 0) for text, above, weak, article in blocks if all(form for _, form in weak)]
+    return page, kept, has_article
+
+
+def style_nodes(html: str) -> list[tuple[int, int, int, int, int | None, bool]]:
+    """(node, presentation, content, parent, article, form) of each node that is not marked by a name;
+    ``article`` is the outermost article or main element around it or itself, if any, and
+    ``form`` says that blocks right under it need a live node."""
+    page, blocks, _ = _read(html)
     seen: dict[str, str | None] = {}
-    for _, above, marked, _ in page.blocks:
-        if not marked:
-            article = None
-            for p in above:
-                if article is None and p.rpartition("/")[2].partition(".")[0] in ARTICLE:
-                    article = p
-                seen[p] = article
+    forms = set()
+    for _, above, form, _ in blocks:
+        if form:
+            forms.add(above[-1])
+        article = None
+        for p in above:
+            if article is None and p.rpartition("/")[2].partition(".")[0] in ARTICLE:
+                article = p
+            seen[p] = article
     return [
         (
             _hash(p), _hash(" ".join(page.children.get(p, ()))), _hash("\n".join(page.content.get(p, ()))),
-            _hash(page.parent.get(p, "")), None if article is None else _hash(article),
+            _hash(page.parent.get(p, "")), None if article is None else _hash(article), p in forms,
         )
         for p, article in seen.items()
     ]
 
 
-def text_of(html: str, dead: set[int], alone: bool = True) -> str:
-    """Blocks in page order, without what is marked or under a dead node. Of a page read
-    ``alone``, without a tree of its host, an article is taken for all of the main text."""
-    page, has_article = _read(html)
+def text_of(html: str, dead: set[int], live: set[int] = frozenset(), alone: bool = True) -> str:
+    """Blocks in page order, without what is marked or under a dead node; of a form, those right
+    under a ``live`` node. Of a page read ``alone``, without a tree of its host, an article is
+    taken for all of the main text."""
+    _, blocks, has_article = _read(html)
     only = alone and has_article
     return "\n".join(
         text
-        for text, above, marked, article in page.blocks
-        if not marked and (article or not only) and not (dead and any(_hash(p) in dead for p in above))
+        for text, above, form, article in blocks
+        if (article or not only)
+        and not (form and (not live or _hash(above[-1]) not in live))
+        and not (dead and any(_hash(p) in dead for p in above))
     )
 
 
-NODES = "host long, page long, node long, look long, content long, parent long, article long"
+NODES = "host long, page long, node long, look long, content long, parent long, article long, form boolean"
 TOPS = tuple(_hash(p) for p in ("/html", "/html/body"))
 
 
@@ -186,16 +226,16 @@ def main_text(pages: DataFrame, noise: float = NOISE, id_col: str = "page_id", u
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), html.alias("html"))
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 5
+        kinds = [pa.int64()] * 5 + [pa.bool_()]
         for batch in batches:
             for start, n in slices(batch, "html"):
                 part = batch.slice(start, n)
                 found = [style_nodes(h) for h in part.column("html").to_pylist()]
                 at = pa.array(np.repeat(np.arange(n), [len(f) for f in found]))
-                columns = list(zip(*(x for f in found for x in f))) or [[]] * 5
+                columns = list(zip(*(x for f in found for x in f))) or [[]] * 6
                 yield pa.RecordBatch.from_arrays(
                     [part.column("host").take(at), part.column("page").take(at), *map(pa.array, columns, kinds)],
-                    names=["host", "page", "node", "look", "content", "parent", "article"],
+                    names=["host", "page", "node", "look", "content", "parent", "article", "form"],
                 )
 
     # copies of a page are one page of the tree
@@ -203,9 +243,12 @@ def main_text(pages: DataFrame, noise: float = NOISE, id_col: str = "page_id", u
     by = ["host", "node", "parent"]
     look = _entropy(seen.groupBy(*by, "look").agg(F.count("*").alias("n")), by, "look")
     content = _entropy(seen.groupBy(*by, "content").agg(F.count("*").alias("n")), by, "content").drop("pages")
-    article = seen.groupBy(*by).agg(F.max("article").alias("article"))
+    article = seen.groupBy(*by).agg(F.max("article").alias("article"), F.max("form").alias("form"))
     quiet = (F.greatest("look", "content") < noise) & (F.col("pages") >= ENOUGH_PAGES) & ~F.col("node").isin(*TOPS)
-    judged = staged(look.join(content, by).join(article, by).select(*by, "article", quiet.alias("quiet")), "style-nodes")
+    varied = F.col("form") & (F.col("content") >= noise) & (F.col("pages") >= ENOUGH_PAGES)
+    judged = staged(
+        look.join(content, by).join(article, by).select(*by, "article", quiet.alias("quiet"), varied.alias("live")), "style-nodes"
+    )
     # an article in which nothing lives gives nothing to tell its parts from, and stays
     still = judged.where("article IS NOT NULL").groupBy("host", "article").agg(F.min("quiet").alias("still"))
     tree = staged(
@@ -227,19 +270,28 @@ def main_text(pages: DataFrame, noise: float = NOISE, id_col: str = "page_id", u
     # the join, which broadcasts a small table and splits a large host otherwise
     dead = tree.where("dead")
     tops = dead.join(dead.select("host", F.col("node").alias("parent")).distinct(), ["host", "parent"], "left_anti")
-    lists = staged(tops.groupBy("host").agg(F.collect_set("node").alias("dead")), "style-dead")
+    both = tops.select("host", "node", F.lit(True).alias("dead")).unionByName(
+        judged.where("live").select("host", "node", F.lit(False).alias("dead"))
+    )
+    lists = staged(
+        both.groupBy("host").agg(
+            F.collect_set(F.when(F.col("dead"), F.col("node"))).alias("dead"),
+            F.collect_set(F.when(~F.col("dead"), F.col("node"))).alias("live"),
+        ),
+        "style-dead",
+    )
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, n in slices(batch, "html"):
                 part = batch.slice(start, n)
-                gone = [frozenset(d or ()) for d in part.column("dead").to_pylist()]
-                texts = [text_of(h, d, alone=False) for h, d in zip(part.column("html").to_pylist(), gone)]
+                gone, live = ([frozenset(d or ()) for d in part.column(c).to_pylist()] for c in ("dead", "live"))
+                texts = [text_of(h, d, x, alone=False) for h, d, x in zip(part.column("html").to_pylist(), gone, live)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"]
                 )
 
-    met = rows.join(lists, "host", "left").select("id", "url", "html", "dead")
+    met = rows.join(lists, "host", "left").select("id", "url", "html", "dead", "live")
     schema = met.select("id", "url").schema.add("text", "string")
     return met.mapInArrow(extract, schema).select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars")
