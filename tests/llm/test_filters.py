@@ -51,6 +51,35 @@ def test_toxicity_odd(spark, odd, none):
     assert toxicity.train([], [], 0, 0).cut == 1
 
 
+def test_toxicity_of_long_clean_texts():
+    """Clean words hit by chance once in 500 or so: long texts stay clean, toxic ones of all
+    lengths are found."""
+    def text(i, n, every):
+        bad = ("stupid", "worthless", "disgusting")
+        made = [f"{'klmnprst'[(i * 7 + j * j) % 8]}o{'abcdefgh'[(i + j * 3) % 8]}ui{(i * 31 + j * 17) % 97}" for j in range(n)]
+        for j in range(every - 1 - i % 7, n, every):
+            made[j] = bad[j % 3]
+        return " ".join(made)
+
+    toxic = [text(i, 40 + 10 * (i % 30), 25) for i in range(90)]
+    clean = [text(1000 + i, 50 + 10 * (i % 40), 500) for i in range(200)]
+    clean += [text(3000 + i, 5000, 500) for i in range(8)]
+    model = toxicity.train(toxic, clean, len(toxic), len(clean))
+    distance = toxicity.Distance(model.toxic, model.ordinary)
+
+    def found(t):
+        ds = distance.all(t)
+        return model.of(sum(d >= model.cut for d in ds), len(ds)) >= queries.TOXIC_FROM
+
+    assert not any(found(text(5000 + i, 3000 + 400 * i, 500)) for i in range(10))
+    assert all(found(text(6000 + i, 200 + 400 * i, 25)) for i in range(10))
+
+
+def test_segments_count_texts():
+    words = toxicity._words(["achlich achliche achlichen", "other"])
+    assert toxicity._segments(["achlich achliche achlichen", "other"], words)[b" achli"] == 1
+
+
 def test_frame_lets_short_words_be_found():
     d = toxicity.Distance(b" fool  vile ", b" good  day ")
     assert d.of(b"fool") >= 3 and d.of(b"vile") >= 3 and d.of(b"good") < 0 and abs(d.of(b"qzxj")) <= 1

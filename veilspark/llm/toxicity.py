@@ -4,8 +4,9 @@ Two zstandard dictionaries are made, one of toxic and one of ordinary text: segm
 texts of the one class hold more often than texts of the other, the most frequent nearest
 the end. A window (one word between blanks, in a fixed frame that both dictionaries hold) is
 compressed with each; where the toxic dictionary saves ``cut`` bytes or more against the
-ordinary one, the window is a hit. The number of hits is turned into a probability on texts
-that the dictionaries did not see.
+ordinary one, the window is a hit. Hits are held against the number of windows: the log-likelihood ratio
+of the two classes' rates of hits is turned into a probability on texts of all lengths that
+the dictionaries did not see.
 
 The frame is there because zstandard neither searches the last bytes of an input nor
 compresses one that it cannot shorten as a whole.
@@ -16,16 +17,17 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import private, slices, text_column, with_columns
+from .tables import private, slices, staged, text_column, with_columns
 
 FRAME = b"\n|=~:{[(<0123456789>)]}:~=|\n+-_;"
 GAP = b"\x01\x02"  # between segments and frame, so that no word runs into the frame
@@ -34,14 +36,14 @@ SHORTEST, SHORT, LONGEST = 5, 8, 13  # bytes of a segment, blanks included
 SHARE, LIFT = 0.02, 8.0  # of toxic texts that hold a segment; times as many as ordinary ones
 TOXIC_BYTES, ORDINARY_BYTES = 1024, 8192
 FOLDS = 3
-MOST_HITS = 4  # as many or more hits count alike
+EDGES = (-16.0, -8.0, -4.0, -2.0, -1.0, 0.0, 1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 16.0)  # of the levels that are calibrated
 KEEP_WORDS = 200_000  # windows remembered by a worker
 
-# Bounds of the sample that is fitted on: texts of each class, bytes of a text.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1000, 2000, 16_384
+# Bounds of the sample that is fitted on: texts of each class, bytes of a text, of a class.
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES, SAMPLE_TOTAL = 1000, 2000, 262_144, 16_777_216
 
 
-def _counts(texts: Iterable[str]) -> Counter:
+def _words(texts: Iterable[str]) -> Counter:
     """In how many texts each word occurs."""
     out: Counter = Counter()
     for text in texts:
@@ -49,20 +51,21 @@ def _counts(texts: Iterable[str]) -> Counter:
     return out
 
 
-def _segments(words: Counter) -> Counter:
+def _segments(texts: Iterable[str], words: Counter) -> Counter:
     """In how many texts each beginning of a word occurs, up to words counted twice. Of words
-    in fewer than three texts the first letters are taken, which others may share."""
+    in fewer than three texts of the class the first letters are taken, which others may share."""
     out: Counter = Counter()
-    for word, n in words.items():
-        framed = b" " + word[: LONGEST + 1] + b" "
-        for size in range(SHORTEST, min(len(framed), LONGEST if n > 2 else SHORT) + 1):
-            out[framed[:size]] += n
+    for text in texts:
+        held: set[bytes] = set()
+        for word in set(text.encode().split()):
+            framed = b" " + word[: LONGEST + 1] + b" "
+            held.update(framed[:size] for size in range(SHORTEST, min(len(framed), LONGEST if words[word] > 2 else SHORT) + 1))
+        out.update(held)
     return out
 
 
-def dictionary(own: Counter, n_own: int, other: Counter, n_other: int, share: float, lift: float, size: int) -> bytes:
+def dictionary(held: Counter, n_own: int, others: Counter, n_other: int, share: float, lift: float, size: int) -> bytes:
     """Segments that texts of one class hold more often than those of the other."""
-    held, others = _segments(own), _segments(other)
     least = max(3, share * n_own)
     fit = {s: n for s, n in held.items() if n >= least and n / n_own >= lift * (others[s] + 0.5) / n_other}
     longer: dict[bytes, list[bytes]] = {}
@@ -115,7 +118,34 @@ class Model:
     toxic: bytes
     ordinary: bytes
     cut: int
-    score: tuple[float, ...]  # by number of hits, the last for MOST_HITS or more
+    score: tuple[float, ...]  # by level, as cut by EDGES
+    rates: tuple[float, float] = (0.5, 0.5)  # hits a window of toxic and of ordinary texts
+
+    def of(self, hits: int, windows: int) -> float:
+        return self.score[level(hits, windows, self.rates)]
+
+
+def level(hits: int, windows: int, rates: tuple[float, float]) -> int:
+    """The place among EDGES of the log-likelihood ratio (Poisson) of ``hits`` in ``windows``."""
+    toxic, ordinary = rates
+    return bisect_right(EDGES, hits * math.log(toxic / ordinary) - windows * (toxic - ordinary))
+
+
+def _rate(pairs: list[tuple[int, int]]) -> float:
+    """Mean over texts, so that no long text sets it; half a hit more keeps it off zero."""
+    held = [(k, n) for k, n in pairs if n]
+    return (sum(k / n for k, n in held) + 0.5 * len(held) / max(1, sum(n for _, n in held))) / max(1, len(held)) or 1e-9
+
+
+def _rising(yes: list[float], no: list[float], prior: float) -> tuple[float, ...]:
+    """Share of toxic texts by level, made to rise by pooling neighbours that do not."""
+    pools: list[list[float]] = []
+    for y, n in zip(yes, no):
+        pools.append([y + prior / len(yes), y + n + 1.0 / len(yes), 1])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    return tuple(y / n for y, n, size in pools for _ in range(int(size)))
 
 
 def apart(texts: Iterable[str]) -> list[str]:
@@ -155,9 +185,10 @@ def train(toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int)
     prior = n_toxic / (n_toxic + n_ordinary) if n_toxic + n_ordinary else 0.0
     toxic, ordinary = apart(toxic), apart(ordinary)
     if not toxic or not ordinary:
-        return Model(b"", b"", 1, (prior,) * (MOST_HITS + 1))
+        return Model(b"", b"", 1, (prior,) * (len(EDGES) + 1))
     folds = _fold(toxic), _fold(ordinary)
-    counts = [[_counts(f) for f in folds[0]], [_counts(f) for f in folds[1]], [len(f) for f in folds[0]], [len(f) for f in folds[1]]]
+    words = _words(toxic), _words(ordinary)
+    counts = [[_segments(f, w) for f in side] for side, w in zip(folds, words)] + [[len(f) for f in side] for side in folds]
     seen: tuple[list, list] = ([], [])
     for i in range(FOLDS):
         rest = [j for j in range(FOLDS) if j != i]
@@ -167,28 +198,28 @@ def train(toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int)
     weights = n_toxic / len(toxic), n_ordinary / len(ordinary)
     best = None
     for cut in range(1, 6):
-        hits = [Counter(min(MOST_HITS, sum(d >= cut for d in ds)) for ds in side) for side in seen]
-        scores, floor = [], 0.0
-        for k in range(MOST_HITS + 1):
-            yes, no = hits[0][k] * weights[0], hits[1][k] * weights[1]
-            floor = max(floor, (yes + prior) / (yes + no + 1.0))
-            scores.append(floor)
+        pairs = [[(sum(d >= cut for d in ds), len(ds)) for ds in side] for side in seen]
+        rates = _rate(pairs[0]), _rate(pairs[1])
+        if best and rates[0] <= rates[1]:
+            continue
+        at = [Counter(level(k, n, rates) for k, n in side) for side in pairs]
+        scores = _rising(*([at[side][x] * weights[side] for x in range(len(EDGES) + 1)] for side in (0, 1)), prior)
         gain = sum(
-            weights[side] * n * math.log(max(1e-9, p if side == 0 else 1 - p))
+            weights[side] * n * math.log(max(1e-9, scores[x] if side == 0 else 1 - scores[x]))
             for side in (0, 1)
-            for k, n in hits[side].items()
-            for p in [scores[k]]
+            for x, n in at[side].items()
         )
         if best is None or gain > best[0]:
-            best = gain, cut, tuple(scores)
+            best = gain, cut, scores, rates
     every = list(range(FOLDS))
-    return Model(*_trained(every, every, counts), best[1], best[2])
+    return Model(*_trained(every, every, counts), *best[1:])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled rows: at most SAMPLE_TOXIC and SAMPLE_ORDINARY ids, taken in the order
-    of a hash, of which texts of at most SAMPLE_BYTES bytes are read, one an id. The list of
-    ids is bounded by that, so it is broadcast and no text is shuffled but the sample's.
+    of a hash, of which texts of at most SAMPLE_BYTES bytes are read, one an id, up to
+    SAMPLE_TOTAL bytes a class. The list of ids is bounded by that, so it is broadcast and no
+    text is shuffled but the sample's.
     Class sizes are counted over all labelled rows. Null labels and ids are left out."""
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -200,11 +231,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for yes, n in ((True, SAMPLE_TOXIC), (False, SAMPLE_ORDINARY))
     ]
     texts = docs.select(F.col(id_col).alias("id"), text_column(text_col).alias("text"))
-    found = (
+    found = staged(
         texts.where(F.octet_length("text") <= SAMPLE_BYTES)
         .join(F.broadcast(ids[0].unionByName(ids[1])), "id")
-        .groupBy("id", "label").agg(F.min("text").alias("text"))
+        .groupBy("id", "label").agg(F.min("text").alias("text")),
+        "toxicity-sample",
     )
+    so_far = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    sizes_of = found.select("id", "label", F.octet_length("text").alias("n"))
+    few = sizes_of.withColumn("n", F.sum("n").over(so_far)).where(F.col("n") <= SAMPLE_TOTAL).select("id")
+    found = found.join(F.broadcast(few), "id")
     sample: dict[bool, list[str]] = {True: [], False: []}
     for r in found.select("label", "text").collect():
         sample[r["label"]].append(r["text"])
@@ -224,8 +260,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for start, n in slices(batch, text):
                 part = batch.slice(start, n)
-                hits = [sum(d >= model.cut for d in distance.all(t)) for t in part.column(text).to_pylist()]
-                made = {"hits": pa.array(hits, pa.int64()), "score": pa.array([model.score[min(h, MOST_HITS)] for h in hits], pa.float64())}
+                distances = [distance.all(t) for t in part.column(text).to_pylist()]
+                hits = [sum(d >= model.cut for d in ds) for ds in distances]
+                scores = [model.of(k, len(ds)) for k, ds in zip(hits, distances)]
+                made = {"hits": pa.array(hits, pa.int64()), "score": pa.array(scores, pa.float64())}
                 yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c) for c in schema.names], names=schema.names)
 
     return docs.withColumn(text, text_column(text_col)).mapInArrow(run, schema)
