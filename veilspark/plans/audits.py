@@ -39,6 +39,28 @@ def secret_audit_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leak_counts(secret_audit(clean, known_secrets(spark, folder), "scan_id"))
 
 
+def all_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every raw value of the forms, whatever its kind."""
+    return form_elements(spark, folder).where("value IS NOT NULL").select(F.col("value").alias("secret"))
+
+
+def secret_audit_all(spark: SparkSession, folder: str) -> DataFrame:
+    """How many raw payloads hold each raw form value."""
+    raw = payloads(form_scans(spark, folder))
+    return leak_counts(secret_audit(raw, all_secrets(spark, folder), "scan_id"))
+
+
+def secret_audit_planted(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over sanitised payloads, with all raw values of one form in seven put back."""
+    leaks = form_elements(spark, folder).where("scan_id % 7 = 3 AND value IS NOT NULL").groupBy("scan_id").agg(
+        F.concat_ws("|", F.collect_list("value")).alias("leak")
+    )
+    clean = payloads(sanitized(spark, folder)).join(leaks, "scan_id", "left").withColumn(
+        "payload", F.concat_ws("|", "payload", "leak")
+    )
+    return leak_counts(secret_audit(clean, all_secrets(spark, folder), "scan_id"))
+
+
 def placeholder_audit_rows(spark: SparkSession, folder: str) -> DataFrame:
     return placeholder_audit(sanitized(spark, folder), "scan_id", list(EXPECTED)).select(
         "scan_id", "placeholder", "in_log"
@@ -105,6 +127,18 @@ bodies AS (SELECT scan_id, string_agg(concat_ws('|', label, text, name, value),
 secrets AS (SELECT DISTINCT value AS s FROM forms WHERE ord IN (2, 6))
 SELECT sha256(s) AS secret_hash, count(*) AS payloads FROM secrets JOIN bodies ON contains(body, s) GROUP BY 1""",
         "secret_audit_clean": "SELECT '' AS secret_hash, 0 AS payloads FROM customer WHERE FALSE",
+        "secret_audit_all": f"""
+WITH forms AS MATERIALIZED ({forms}),
+bodies AS (SELECT scan_id, string_agg(concat_ws('|', label, text, name, value), '|') AS body FROM forms GROUP BY 1),
+secrets AS (SELECT DISTINCT value AS s FROM forms WHERE value IS NOT NULL)
+SELECT sha256(s) AS secret_hash, count(*) AS payloads FROM secrets JOIN bodies ON contains(body, s) GROUP BY 1""",
+        "secret_audit_planted": f"""
+{with_}, raw AS MATERIALIZED ({forms}),
+shown_parts AS (SELECT scan_id, concat_ws('|', label, {shown}, name) AS part FROM done
+  UNION ALL SELECT scan_id, value FROM raw WHERE scan_id % 7 = 3 AND value IS NOT NULL),
+bodies AS (SELECT scan_id, string_agg(part, '|') AS body FROM shown_parts GROUP BY 1),
+secrets AS (SELECT DISTINCT value AS s FROM raw WHERE value IS NOT NULL)
+SELECT sha256(s) AS secret_hash, count(*) AS payloads FROM secrets JOIN bodies ON contains(body, s) GROUP BY 1""",
         "placeholder_audit": f"""
 {with_} SELECT scan_id, placeholder, in_log FROM ({audit}) WHERE NOT in_log OR NOT in_text""",
         "structure_audit": """
@@ -128,6 +162,8 @@ FROM marked GROUP BY 1, 2, 3""",
 QUERIES = {
     "secret_audit": secret_audit_raw,
     "secret_audit_clean": secret_audit_clean,
+    "secret_audit_all": secret_audit_all,
+    "secret_audit_planted": secret_audit_planted,
     "placeholder_audit": placeholder_audit_rows,
     "structure_audit": structure_audit_rows,
     "quality_report": quality_report_rows,
