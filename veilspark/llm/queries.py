@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, jaccard, packing, quality, repeats, sitestyle, suffixes, toxicity, urls
+from veilspark.functions.text import let
+
+from . import bpe, exact, jaccard, manifest, packing, pieces, quality, repeats, runs, sitestyle, suffixes, toxicity, urls
 from .tables import read
 
 VOCABULARY = os.environ.get("VEILSPARK_VOCABULARY", public_tokenizers.path("byte_bpe_50k.json"))
+PIECES = os.environ.get("VEILSPARK_PIECES", public_tokenizers.path("piece_bpe_32k.model"))
 TOXIC_FROM = 0.3  # score from which a text counts as toxic
 
 
@@ -126,6 +129,60 @@ SELECT doc_id, min(i) - 1 AS start, max(i) + 50 - min(i) AS n_words, arg_min(oth
 FROM runs GROUP BY doc_id, run"""
 
 
+def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    coded = pieces.encode_texts(docs, PIECES).drop("text")
+    return pieces.decode_ids(coded, PIECES).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def planted_period(docs: DataFrame) -> DataFrame:
+    """The texts that the query is asked about: in one of ten, words from the a-th on repeat
+    with period p (the contract's h, g, a and p)."""
+    h = "crc32(CAST(CAST(doc_id AS STRING) AS BINARY))"
+    words = r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"
+    at = "if(i < a, i, a + (i - a) % p)"
+    made = f"array_join(transform(sequence(0, size(w) - 1), i -> w[CAST({at} AS INT)]), ' ')"
+    made = let("p", "1 + (size(w) - a) DIV (3 + g % 8)", made)
+    made = let("w", words, "if(size(w) = 0, text, " + let("a", "g % size(w)", made) + ")")
+    return docs.withColumn("text", F.expr(f"CASE WHEN {h} % 10 = 0 AND text IS NOT NULL THEN {let('g', h + ' DIV 10', made)} ELSE text END"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = planted_period(read(spark, folder, "documents").select("doc_id", "text"))
+    found = runs.periodic_runs(docs).drop("text")
+    best = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    listed = F.expr(r"array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length DIV -best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    own = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaves = docs.select(
+        F.col("lang").alias("grp"),
+        F.col("doc_id").cast("long").alias("id"),
+        manifest.leaf_hash(*own, F.col("text")).alias("leaf"),
+        F.when(tampered, manifest.leaf_hash(*own, lowered)).alias("altered"),
+    )
+    return manifest.prove(leaves).drop("grp").withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -137,6 +194,9 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_pieces": op11_pieces,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,

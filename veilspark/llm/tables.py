@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from veilspark.session import staged
 
@@ -34,7 +34,7 @@ def with_columns(df: DataFrame, **types: str) -> StructType:
     """The schema of ``df`` with columns added; a column of that name is replaced."""
     out = StructType([f for f in df.schema if f.name.lower() not in {n.lower() for n in types}])
     for name, kind in types.items():
-        out = out.add(name, kind)
+        out = out.add(name, DataType.fromDDL(kind))
     return out
 
 
