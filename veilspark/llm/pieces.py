@@ -32,7 +32,7 @@ MERGE_TYPE = 2  # fixed values of the model file: its type, and the kinds of a p
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 LETTER, MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]", ",.;:!?#)]}\"'"
 KEEP_LETTERS = 64  # longest stretch that is remembered
-KEEP_STRETCHES, KEEP_PARTS = 400_000, 100_000  # stretches, and parts of some, remembered by a worker before it starts afresh
+KEEP_STRETCHES, KEEP_PARTS = 600_000, 100_000  # stretches, and parts of some, remembered by a worker before it starts afresh
 
 
 class Pieces:
@@ -133,6 +133,15 @@ class Encoder:
         word = rf" *{LETTER}++(?=[{re.escape(pieces.ends)} {line}]|$)"
         self.stretch = re.compile(rf"{word}| *[^ {line}]+| +" + "|\n" * pieces.at_lines)
 
+    @classmethod
+    def of(cls, pieces: Pieces, check: bool) -> Encoder:
+        """The encoder that this worker keeps beside a broadcast vocabulary, so that its later
+        tasks know what earlier ones merged."""
+        kept = pieces.__dict__.setdefault("encoders", {})
+        if check not in kept:
+            kept[check] = cls(pieces, check)
+        return kept[check]
+
     def ids(self, stretch: str) -> bytes:
         """Ids of a stretch that no merge leaves: cut between letters that no piece has side by
         side, each part merged by itself."""
@@ -213,7 +222,7 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", check
     schema = with_columns(docs, ids="array<int>", n_tokens="long")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(pieces.value, check)
+        encoder = Encoder.of(pieces.value, check)
         for batch in batches:
             for start, n in slices(batch, text):
                 part = batch.slice(start, n)
