@@ -1,10 +1,12 @@
 """Toxicity, URL filters, page extraction, quality rules and the pipeline."""
 
 import html as entities
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from conftest_llm import FOLDER, WORD
 
@@ -40,49 +42,114 @@ def test_toxicity_learns_from_training_rows_only(spark):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 for r in learnt.collect())
 
 
-def test_toxicity_odd(spark, odd, none):
-    model = toxicity.train(["you vile fool"] * 3 + ["vile fool x", "a vile fool y", "fool vile z"], ["good day a", "good day b", "day good c", "fine"], 5, 50)
-    rows = toxicity.score(odd, model).collect()
-    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
-    assert {r["hits"] for r in rows if not (r["text"] or "").split()} == {0}
-    assert toxicity.score(none, model).count() == 0
-    alone = toxicity.train([], ["good"], 0, 1)
-    assert set(alone.score) == {0.0}
-    assert toxicity.train([], [], 0, 0).cut == 1
+SYLLABLES = "ka lo mi ren tu sel dor van pi esh gul nor tam bri oct fel zun har wex ily".split()
+
+
+def made_text(seed, n, bad=(), every=25):
+    """Invented words of two or three syllables; every so many words one of ``bad``."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choices(SYLLABLES, k=rng.choice((2, 3)))) for _ in range(n)]
+    if bad:
+        for j in range(rng.randrange(min(every, n)), n, every):
+            words[j] = rng.choice(bad)
+    return " ".join(words)
 
 
-def test_toxicity_of_long_clean_texts():
-    """Clean words hit by chance once in 500 or so: long texts stay clean, toxic ones of all
-    lengths are found."""
-    def text(i, n, every):
-        bad = ("stupid", "worthless", "disgusting")
-        made = [f"{'klmnprst'[(i * 7 + j * j) % 8]}o{'abcdefgh'[(i + j * 3) % 8]}ui{(i * 31 + j * 17) % 97}" for j in range(n)]
-        for j in range(every - 1 - i % 7, n, every):
-            made[j] = bad[j % 3]
-        return " ".join(made)
+BAD = ("quibbler", "jackwit", "scoundrel", "wretchling")
 
-    toxic = [text(i, 40 + 10 * (i % 30), 25) for i in range(90)]
-    clean = [text(1000 + i, 50 + 10 * (i % 40), 500) for i in range(200)]
-    clean += [text(3000 + i, 5000, 500) for i in range(8)]
-    model = toxicity.train(toxic, clean, len(toxic), len(clean))
-    distance = toxicity.Distance(model.toxic, model.ordinary)
 
-    def found(t):
-        ds = distance.all(t)
-        return model.of(sum(d >= model.cut for d in ds), len(ds)) >= queries.TOXIC_FROM
+@pytest.fixture(scope="module")
+def toxic_model():
+    toxic = [made_text(i, 60 + 10 * (i % 30), BAD) for i in range(80)]
+    clean = [made_text(1000 + i, 60 + 10 * (i % 40)) for i in range(200)] + [made_text(3000 + i, 4000) for i in range(6)]
+    return toxicity.train(toxic, clean, len(toxic), len(clean))
 
-    assert not any(found(text(5000 + i, 3000 + 400 * i, 500)) for i in range(10))
-    assert all(found(text(6000 + i, 200 + 400 * i, 25)) for i in range(10))
 
+def rated(model, text):
+    return model.of(toxicity.Distance(model.ordinary, model.toxic).all(toxicity.words_only(text)))
 
-def test_segments_count_texts():
-    words = toxicity._words(["achlich achliche achlichen", "other"])
-    assert toxicity._segments(["achlich achliche achlichen", "other"], words)[b" achli"] == 1
 
+def test_toxicity_of_texts_of_all_lengths(toxic_model):
+    """Long texts stay clean, toxic ones of all lengths are found."""
+    clean = [rated(toxic_model, made_text(5000 + i, 60 + 500 * i)) for i in range(20)]
+    toxic = [rated(toxic_model, made_text(6000 + i, 60 + 500 * i, BAD)) for i in range(20)]
+    assert sum(s >= queries.TOXIC_FROM for s in clean) <= 1 and sum(s >= queries.TOXIC_FROM for s in toxic) >= 19
+    assert auc([(s, 0) for s in clean] + [(s, 1) for s in toxic]) > 0.98
 
-def test_frame_lets_short_words_be_found():
-    d = toxicity.Distance(b" fool  vile ", b" good  day ")
-    assert d.of(b"fool") >= 3 and d.of(b"vile") >= 3 and d.of(b"good") < 0 and abs(d.of(b"qzxj")) <= 1
+
+def test_toxicity_of_words_that_never_occur_twice():
+    """No toxic word is seen twice in training, nor one of the held-out texts at all: they share
+    only running text, a stem inside words of their own."""
+    def bad(seed):
+        rng = random.Random(seed)
+        return ["".join(rng.choices(SYLLABLES, k=1)) + "wretchqu" + "".join(rng.choices(SYLLABLES, k=2)) + str(seed) for _ in range(8)]
+
+    seen = Counter()
+    toxic = []
+    for i in range(80):
+        words = list(dict.fromkeys(w.translate(str.maketrans("0123456789", "bcdfghjklm")) for w in bad(i)))
+        seen.update(words)
+        text = made_text(i, 150).split()
+        for j, w in enumerate(words):
+            text[j * 18 + 5] = w
+        toxic.append(" ".join(text))
+    assert max(seen.values()) == 1
+    model = toxicity.train(toxic, [made_text(1000 + i, 150) for i in range(200)], 80, 200)
+    rows = []
+    for i in range(40):
+        text = made_text(7000 + i, 150).split()
+        rows.append((rated(model, " ".join(text)), 0))
+        for j, w in enumerate(bad(900 + i)):
+            text[j * 18 + 5] = w.translate(str.maketrans("0123456789", "bcdfghjklm"))
+        rows.append((rated(model, " ".join(text)), 1))
+    assert auc(rows) > 0.95
+
+
+def test_toxicity_odd(spark, odd, none, toxic_model):
+    rows = toxicity.score(odd, toxic_model).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+    empty = [r for r in rows if not re.search(r"[^\W\d_]", r["text"] or "")]
+    assert {r["hits"] for r in empty} == {0} and {r["score"] for r in empty} == {toxic_model.of(np.zeros(0, np.int64))}
+    assert toxicity.score(none, toxic_model).count() == 0
+    clash = odd.select("doc_id", "text", odd["shard"].alias("score"), odd["n_words"].alias("hits"))
+    assert toxicity.score(clash, toxic_model, score_col="p", hits_col="h").columns == ["doc_id", "text", "score", "hits", "h", "p"]
+    for toxic, clean, want in (([], ["good"], 0.0), (["bad"], [], 1.0), ([], [], 0.0)):
+        model = toxicity.train(toxic, clean, len(toxic), len(clean))
+        assert {r["score"] for r in toxicity.score(odd, model).collect()} == {want}
+
+
+def test_toxicity_without_labels(spark, tmp_path):
+    """The registered query over tables in which nothing is labelled."""
+    spark.read.parquet(f"{FOLDER}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{FOLDER}/labels.parquet").where("false").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {(r["score"], r["predicted"]) for r in queries.op3_toxicity(spark, str(tmp_path)).collect()} == {(0.0, 0)}
+
+
+def test_windows_are_whole_words_and_cover_the_text():
+    body = toxicity.words_only("One, two2three " + "x" * 300 + " " + " ".join(SYLLABLES[i // 20] + SYLLABLES[i % 20] for i in range(400)))
+    held = toxicity.windows(body)
+    assert set(b" ".join(held).split()) == set(body.split()) and b"x" * 300 in b"".join(held)
+    assert all(w[:1] == w[-1:] == b" " for w in held) and max(len(w) for w in held if b"x" * 300 not in w) <= toxicity.WINDOW + 1
+    starts = [body.index(held[0])]
+    at = 0
+    for w in held:
+        found = body.find(w, max(0, at - toxicity.WINDOW))
+        assert found >= 0 and found <= at + 1
+        at = max(at, found + len(w) - 1)
+    assert at == len(body) - 1 and starts == [0]
+    assert toxicity.windows(toxicity.words_only("")) == toxicity.windows(toxicity.words_only("12 !")) == []
+
+
+def test_cover_takes_running_text():
+    code, weight = np.unique(toxicity._codes(b" scoundrel ")), None
+    weight = np.ones(len(code))
+    texts = [b" some words and a scoundrel of the town ", b" nothing here at all "]
+    assert toxicity.cover(texts, code, weight, 100) and all(s in texts[0] and s.count(b" ") > 1 for s in toxicity.cover(texts, code, weight, 100))
+
+
+def test_the_toxic_dictionary_saves_bytes():
+    d = toxicity.Distance(b" good day and other words ", b" you vile scoundrel there ")
+    assert d.all(b" the vile scoundrel went away ")[0] >= 5 and abs(d.all(b" qzxj kvwy upon a time ")[0]) <= 2
 
 
 def url_by_hand(url):
@@ -292,3 +359,14 @@ def test_pipeline(spark):
     for r in rows:
         ends[r["sequence_id"]] = max(ends[r["sequence_id"]], r["offset"] + r["length"])
     assert all(n <= 2048 for n in ends.values()) and sum(n < 2048 for n in ends.values()) <= 11
+
+
+def test_pipeline_stages_keep_columns_of_clashing_names(spark, odd):
+    """Columns named like what the operators add come out as they went in, nulls and repeated
+    rows and an empty table included."""
+    clash = odd.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars", *(f"'mine' AS {c}" for c in ("score", "hits", "n_words", "n_removed")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for docs in (clash, clash.where("false")):
+            out = stage(spark, docs, FOLDER)
+            assert out.columns == clash.columns, name
+            assert {tuple(r)[5:] for r in out.collect()} <= {("mine",) * 4}, name

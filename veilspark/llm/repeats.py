@@ -66,13 +66,14 @@ def covered(n: int, start: np.ndarray, window: int) -> np.ndarray:
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", layout: bool = False
+    docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", layout: bool = False,
+    words_col: str = "n_words", removed_col: str = "n_removed",
 ) -> DataFrame:
     """Remove each word covered by a window of ``window`` words whose word sequence also
     starts in a text with a smaller id.
 
     Returns all rows and columns; ``text_col`` holds the kept words joined by one space, and
-    the longs ``n_words`` and ``n_removed`` are added (they replace columns so named).
+    the longs ``words_col`` and ``removed_col`` are added (they replace columns so named).
     With ``layout`` a text that loses nothing is given back as it was, white space included.
     Windows are judged on the input. Null text: no words, empty result. A null id is after
     all others. Rows that repeat an id count as one text: they do not remove from each
@@ -82,7 +83,7 @@ def remove_repeats(
         raise ValueError(f"a window needs more than {PERIOD} words")
     docs = docs.withColumn(text_col, text_column(text_col))
     shard = private(docs, "shard")
-    out_schema = with_columns(docs, n_words="long", n_removed="long")
+    out_schema = with_columns(docs, **{words_col: "long", removed_col: "long"})
     rows, bits = shards(docs, text_col, id_col, shard)
 
     def send_anchors(table: pa.Table) -> pa.Table:
@@ -121,8 +122,8 @@ def remove_repeats(
                 text.append(value if layout else b" ".join(value.split()))
         made = {
             text_col: pa.array(text, pa.binary()).cast(pa.string()),
-            "n_words": pa.array(np.diff(words.first), pa.int64()),
-            "n_removed": pa.array(removed, pa.int64()),
+            words_col: pa.array(np.diff(words.first), pa.int64()),
+            removed_col: pa.array(removed, pa.int64()),
         }
         return pa.table([made[n] if n in made else table.column(n) for n in out_schema.names], names=out_schema.names)
 

@@ -1,27 +1,34 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made, one of toxic and one of ordinary text: segments that
-texts of the one class hold more often than texts of the other, the most frequent nearest
-the end. A window (one word between blanks, in a fixed frame that both dictionaries hold) is
-compressed with each; where the toxic dictionary saves ``cut`` bytes or more against the
-ordinary one, the window is a hit. Hits are held against the number of windows: the log-likelihood ratio
-of the two classes' rates of hits is turned into a probability on texts of all lengths that
-the dictionaries did not see.
-
-The frame is there because zstandard neither searches the last bytes of an input nor
-compresses one that it cannot shorten as a whole.
+Two zstandard dictionaries: the ordinary one is trained by the library (cover algorithm) on
+running text of the ordinary class; the toxic one is the same ground with running text of the
+toxic class on top, so that what the classes share costs the same with both and does not blur
+the difference. The toxic segments are chosen by a cover too, with weights: a string of
+STRING bytes weighs by how much more texts of the toxic class hold it than others (count
+times logarithm of the lift), the segment that adds most weight per length is taken, and its
+strings weigh nothing from then on.
+
+A text is lower-cased and reduced to words of letters, and cut into overlapping windows of
+several words. A window's distance is the bytes that the toxic dictionary saves on it against
+the ordinary one. A text is judged by all of its windows: mean and shares of their distances
+go into a logistic regression that is fitted on texts which the dictionaries did not see
+(left-out folds); how much toxic text a dictionary takes is chosen there as well.
+
+Windows end in a fixed frame that both dictionaries hold, since zstandard neither searches the
+last bytes of an input nor compresses one that it cannot shorten as a whole.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
-from bisect import bisect_right
-from collections import Counter
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -30,68 +37,153 @@ from pyspark.sql import functions as F
 from .tables import private, slices, staged, text_column, with_columns
 
 FRAME = b"\n|=~:{[(<0123456789>)]}:~=|\n+-_;"
-GAP = b"\x01\x02"  # between segments and frame, so that no word runs into the frame
-LEVEL = 6
-SHORTEST, SHORT, LONGEST = 5, 8, 13  # bytes of a segment, blanks included
-SHARE, LIFT = 0.02, 8.0  # of toxic texts that hold a segment; times as many as ordinary ones
-TOXIC_BYTES, ORDINARY_BYTES = 1024, 8192
-FOLDS = 3
-EDGES = (-16.0, -8.0, -4.0, -2.0, -1.0, 0.0, 1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 16.0)  # of the levels that are calibrated
-KEEP_WORDS = 200_000  # windows remembered by a worker
-
-# Bounds of the sample that is fitted on: texts of each class, bytes of a text, of a class.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES, SAMPLE_TOTAL = 1000, 2000, 262_144, 16_777_216
-
-
-def _words(texts: Iterable[str]) -> Counter:
-    """In how many texts each word occurs."""
-    out: Counter = Counter()
-    for text in texts:
-        out.update(set(text.encode().split()))
+GAP = b"\x01\x02"  # between the parts of a dictionary, so that no match runs across
+LETTERS = re.compile(r"[^\W\d_]+")
+WINDOW, STEP = 96, 48  # bytes of a window and between the starts of two, up to whole words
+
+STRING = 6  # bytes of the strings that are weighed
+OFTEN = 3  # times that a text counts for a string at most
+LIFT, WEIGHT = 4.0, 12.0  # least lift and weight of a string
+SEGMENT = 12  # least bytes of a segment, up to whole words
+GROUND = 40_960  # bytes of the ordinary dictionary
+TAKES = (1024, 2048)  # bytes of toxic segments, the best is chosen
+LEVEL = 3  # of compression
+FOLDS = 4
+LOW, HIGH = -2, 8  # a window's distance counts within these
+HIT = 5  # distance from which a window is reported
+RIDGE = (0.3, 0.3, 20.0, 20.0)  # of the features: shares of windows count once there are texts enough
+
+# Bounds of the sample that is fitted on: texts of each class, bytes of a text, of a class;
+# and of the texts among them that are left out in turn to choose and calibrate.
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES, SAMPLE_TOTAL = 1000, 2000, 262_144, 8_388_608
+TRIAL_TOXIC, TRIAL_ORDINARY = 400, 800
+
+
+def words_only(text: str) -> bytes:
+    """Lower-cased runs of letters with a blank around each; empty without any."""
+    words = LETTERS.findall(text.lower())
+    return f" {' '.join(words)} ".encode() if words else b""
+
+
+def windows(body: bytes) -> list[bytes]:
+    """Overlapping windows of whole words; a word longer than a window is one by itself."""
+    if not body:
+        return []
+    blanks = [m.start() for m in re.finditer(b" ", body)]
+    out, at, last = [], 0, len(blanks) - 1
+    while True:
+        stop = max(bisect_right(blanks, blanks[at] + WINDOW) - 1, at + 1)
+        out.append(body[blanks[at] : blanks[stop] + 1])
+        if stop == last:
+            return out
+        at = min(max(bisect_left(blanks, blanks[at] + STEP), at + 1), stop)
+
+
+# -- dictionaries ----------------------------------------------------------------------------
+
+
+def _codes(body: bytes) -> np.ndarray:
+    """The strings of STRING bytes at each place, as integers."""
+    raw = np.frombuffer(body, np.uint8).astype(np.int64)
+    n = len(raw) - STRING + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    out = np.zeros(n, np.int64)
+    for j in range(STRING):
+        out = (out << 8) | raw[j : j + n]
     return out
 
 
-def _segments(texts: Iterable[str], words: Counter) -> Counter:
-    """In how many texts each beginning of a word occurs, up to words counted twice. Of words
-    in fewer than three texts of the class the first letters are taken, which others may share."""
-    out: Counter = Counter()
-    for text in texts:
-        held: set[bytes] = set()
-        for word in set(text.encode().split()):
-            framed = b" " + word[: LONGEST + 1] + b" "
-            held.update(framed[:size] for size in range(SHORTEST, min(len(framed), LONGEST if words[word] > 2 else SHORT) + 1))
-        out.update(held)
+def _held(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of each text, once a text, and how often the text holds them (up to OFTEN)."""
+    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for t in texts:
+        c, n = np.unique(_codes(t), return_counts=True)
+        codes.append(c)
+        counts.append(np.minimum(n, OFTEN))
+    return np.concatenate(codes), np.concatenate(counts)
+
+
+def _weights(own: list[tuple], n_own: int, others: list[tuple], n_other: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings that texts of one class hold more than those of the other, and their weights."""
+    code, at = np.unique(np.concatenate([c for c, _ in own]), return_inverse=True)
+    often = np.bincount(at, np.concatenate([n for _, n in own]), len(code))
+    texts = np.bincount(at, minlength=len(code))
+    few = texts >= 2
+    code, often, texts = code[few], often[few], texts[few]
+    elsewhere = np.zeros(len(code))
+    for c, _ in others:
+        place = np.searchsorted(code, c)
+        hit = place < len(code)
+        hit[hit] = code[place[hit]] == c[hit]
+        elsewhere += np.bincount(place[hit], minlength=len(code))
+    lift = (texts / max(1, n_own)) / ((elsewhere + 0.5) / max(1, n_other))
+    weight = often * np.log(np.maximum(lift, 1e-9))
+    good = (lift >= LIFT) & (weight >= WEIGHT)
+    return code[good], weight[good]
+
+
+def cover(texts: Iterable[bytes], code: np.ndarray, weight: np.ndarray, size: int) -> list[bytes]:
+    """Segments of running text, most weight first, of ``size`` bytes together."""
+    left = dict(zip(code.tolist(), weight.tolist()))
+    offers: dict[bytes, None] = {}
+    for t in texts:
+        codes = _codes(t)
+        place = np.searchsorted(code, codes)
+        hit = place < len(code)
+        hit[hit] = code[place[hit]] == codes[hit]
+        for i in np.flatnonzero(hit).tolist():
+            start = max(t.rfind(b" ", 0, i + 1), 0)
+            stop = t.find(b" ", start + SEGMENT - 1)
+            offers[t[start : stop + 1 if 0 <= stop < start + 3 * SEGMENT else start + 3 * SEGMENT]] = None
+
+    def gain(segment: bytes) -> float:
+        return sum(left.get(c, 0.0) for c in set(_codes(segment).tolist())) / math.sqrt(len(segment))
+
+    agenda = [(-gain(s), s) for s in offers]
+    heapq.heapify(agenda)
+    out, total = [], 0
+    while agenda and total < size:
+        _, segment = heapq.heappop(agenda)
+        now = gain(segment)
+        if now <= 0:
+            continue
+        if agenda and now < -agenda[0][0] - 1e-9:  # others took some of its strings
+            heapq.heappush(agenda, (-now, segment))
+            continue
+        out.append(segment)
+        total += len(segment)
+        for c in _codes(segment).tolist():
+            left[c] = 0.0
     return out
 
 
-def dictionary(held: Counter, n_own: int, others: Counter, n_other: int, share: float, lift: float, size: int) -> bytes:
-    """Segments that texts of one class hold more often than those of the other."""
-    least = max(3, share * n_own)
-    fit = {s: n for s, n in held.items() if n >= least and n / n_own >= lift * (others[s] + 0.5) / n_other}
-    longer: dict[bytes, list[bytes]] = {}
-    for s in fit:
-        longer.setdefault(s[:-1], []).append(s)
-    taken: list[bytes] = []
-    total = 0
-    for s in sorted(fit, key=lambda s: (-fit[s], len(s), s)):
-        if any(t.startswith(s) or s.startswith(t) for t in taken):
-            continue
-        grown = s
-        while near := [t for t in longer.get(grown, ()) if fit[t] >= 0.8 * fit[s]]:
-            grown = max(near, key=lambda t: (fit[t], t))
-        if total + len(grown) > size:
+def ground(ordinary: list[bytes]) -> bytes:
+    """Content of a dictionary that the library trains on windows of ordinary text; all of the
+    text where that is too little to train on."""
+    samples = [t[i : i + WINDOW] for t in ordinary for i in range(0, len(t), WINDOW)]
+    try:
+        return zstandard.train_dictionary(GROUND + 1024, samples, k=32, d=8).as_bytes()[-GROUND:]
+    except zstandard.ZstdError:
+        return b"".join(ordinary)[-GROUND:]
+
+
+def filled(segments: list[bytes], size: int) -> bytes:
+    """The first segments that ``size`` bytes hold, best last: near matches are cheap."""
+    out, total = [], 0
+    for s in segments:
+        total += len(s)
+        if total > size:
             break
-        taken.append(grown)
-        total += len(grown)
-    return b"".join(reversed(taken))
+        out.append(s)
+    return b"".join(reversed(out))
 
 
 class Distance:
-    """Bytes that the toxic dictionary saves on a word against the ordinary one."""
+    """Bytes that the toxic dictionary saves on a window against the ordinary one."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.toxic, self.ordinary = self._compressor(toxic), self._compressor(ordinary)
-        self.known: dict[bytes, int] = {}
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.ordinary, self.toxic = self._compressor(ordinary), self._compressor(ordinary + GAP + toxic)
 
     @staticmethod
     def _compressor(content: bytes):
@@ -99,61 +191,59 @@ class Distance:
         made.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-    def of(self, word: bytes) -> int:
-        window = b" " + word + b" " + FRAME
-        saved = len(self.ordinary(window)) - len(self.toxic(window))
-        if len(word) <= 64:
-            if len(self.known) >= KEEP_WORDS:
-                self.known.clear()
-            self.known[word] = saved
-        return saved
+    def all(self, body: bytes) -> np.ndarray:
+        ordinary, toxic = self.ordinary, self.toxic
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in (w + FRAME for w in windows(body))], np.int64)
+
+
+# -- from distances to a score ---------------------------------------------------------------
 
-    def all(self, text: str) -> list[int]:
-        known = self.known.get
-        return [d if (d := known(w)) is not None else self.of(w) for w in text.encode().split()]
+def features(distances: np.ndarray) -> list[float]:
+    """Mean distance, the same against the noise of a mean, shares of windows far apart."""
+    n = len(distances)
+    if not n:
+        return [0.0] * 4
+    mean = float(np.clip(distances, LOW, HIGH).mean())
+    return [mean, mean * math.sqrt(n), float((distances >= 3).mean()), float((distances >= HIT).mean())]
 
 
 @dataclass(frozen=True)
 class Model:
-    toxic: bytes
     ordinary: bytes
-    cut: int
-    score: tuple[float, ...]  # by level, as cut by EDGES
-    rates: tuple[float, float] = (0.5, 0.5)  # hits a window of toxic and of ordinary texts
-
-    def of(self, hits: int, windows: int) -> float:
-        return self.score[level(hits, windows, self.rates)]
-
-
-def level(hits: int, windows: int, rates: tuple[float, float]) -> int:
-    """The place among EDGES of the log-likelihood ratio (Poisson) of ``hits`` in ``windows``."""
-    toxic, ordinary = rates
-    return bisect_right(EDGES, hits * math.log(toxic / ordinary) - windows * (toxic - ordinary))
-
-
-def _rate(pairs: list[tuple[int, int]]) -> float:
-    """Mean over texts, so that no long text sets it; half a hit more keeps it off zero."""
-    held = [(k, n) for k, n in pairs if n]
-    return (sum(k / n for k, n in held) + 0.5 * len(held) / max(1, sum(n for _, n in held))) / max(1, len(held)) or 1e-9
-
-
-def _rising(yes: list[float], no: list[float], prior: float) -> tuple[float, ...]:
-    """Share of toxic texts by level, made to rise by pooling neighbours that do not."""
-    pools: list[list[float]] = []
-    for y, n in zip(yes, no):
-        pools.append([y + prior / len(yes), y + n + 1.0 / len(yes), 1])
-        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            last = pools.pop()
-            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
-    return tuple(y / n for y, n, size in pools for _ in range(int(size)))
+    toxic: bytes
+    prior: float  # share of toxic texts
+    centre: tuple[float, ...] = ()
+    scale: tuple[float, ...] = ()
+    slope: tuple[float, ...] = ()  # none: every score is the prior
+    offset: float = 0.0
+
+    def of(self, distances: np.ndarray) -> float:
+        if not self.slope:
+            return self.prior
+        x = self.offset + sum(b * (v - c) / s for b, v, c, s in zip(self.slope, features(distances), self.centre, self.scale))
+        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, x))))
+
+
+def _regression(rows: np.ndarray, label: np.ndarray, weight: np.ndarray):
+    """Ridge logistic regression by Newton's method: centre, scale, coefficients, loss."""
+    centre, scale = rows.mean(0), rows.std(0) + 1e-6
+    z = np.column_stack([np.ones(len(rows)), (rows - centre) / scale])
+    ridge = np.array([1e-6, *RIDGE])
+    b = np.zeros(z.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+        b = b + np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (weight * (label - p)) - ridge * b)
+    p = np.clip(1 / (1 + np.exp(-np.clip(z @ b, -30, 30))), 1e-9, 1 - 1e-9)
+    loss = -float((weight * (label * np.log(p) + (1 - label) * np.log(1 - p))).sum())
+    return centre, scale, b, loss
 
 
 def apart(texts: Iterable[str]) -> list[str]:
-    """Texts without near copies of earlier ones, whose chance words would look typical of
+    """Texts without near copies of earlier ones, whose chance strings would look typical of
     their class: two of the four least hashes of word triples in common make a near copy."""
     seen: set[int] = set()
     out = []
-    for text in sorted(set(texts)):
+    for text in sorted(set(texts), key=lambda t: (zlib.crc32(t.encode()), t)):
         words = text.encode().split()
         triples = {zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))}
         least = heapq.nsmallest(4, triples)
@@ -163,56 +253,40 @@ def apart(texts: Iterable[str]) -> list[str]:
     return out
 
 
-def _fold(texts: list[str]) -> list[list[str]]:
-    return [texts[i::FOLDS] for i in range(FOLDS)]
-
-
-def _trained(toxic: list[list[str]], ordinary: list[list[str]], counts) -> tuple[bytes, bytes]:
-    own, other = sum((counts[0][i] for i in toxic), Counter()), sum((counts[1][i] for i in ordinary), Counter())
-    n_own, n_other = sum(counts[2][i] for i in toxic) or 1, sum(counts[3][i] for i in ordinary) or 1
-    return (
-        dictionary(own, n_own, other, n_other, SHARE, LIFT, TOXIC_BYTES),
-        dictionary(other, n_other, own, n_own, SHARE, 0.5, ORDINARY_BYTES),
-    )
-
-
 def train(toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int) -> Model:
-    """Dictionaries from all texts given; cut and scores from texts left out in turn.
-
-    ``n_toxic`` and ``n_ordinary`` are the class sizes that the texts were sampled from.
-    Without texts of both classes every score is the share of toxic texts (0 if none).
-    """
+    """Dictionaries from all texts given; size and regression from texts left out in
+    turn. ``n_toxic`` and ``n_ordinary`` are the class sizes that the texts were sampled from.
+    Without texts of both classes every score is the share of toxic texts (0 if none)."""
     prior = n_toxic / (n_toxic + n_ordinary) if n_toxic + n_ordinary else 0.0
-    toxic, ordinary = apart(toxic), apart(ordinary)
-    if not toxic or not ordinary:
-        return Model(b"", b"", 1, (prior,) * (len(EDGES) + 1))
-    folds = _fold(toxic), _fold(ordinary)
-    words = _words(toxic), _words(ordinary)
-    counts = [[_segments(f, w) for f in side] for side, w in zip(folds, words)] + [[len(f) for f in side] for side in folds]
-    seen: tuple[list, list] = ([], [])
-    for i in range(FOLDS):
-        rest = [j for j in range(FOLDS) if j != i]
-        distance = Distance(*_trained(rest, rest, counts))
-        for label in (0, 1):
-            seen[label].extend(distance.all(t) for t in folds[label][i])
-    weights = n_toxic / len(toxic), n_ordinary / len(ordinary)
+    bodies = [[b for b in map(words_only, apart(side)) if b] for side in (toxic, ordinary)]
+    if min(map(len, bodies)) < 2:
+        return Model(b"", b"", prior)
+    folds = [[side[i::FOLDS] for i in range(FOLDS)] for side in bodies]
+    held = [[_held(f) for f in side] for side in folds]
+    base = ground(bodies[1])
+
+    def segments(own: list[int]) -> list[bytes]:
+        sizes = [sum(len(side[i]) for i in own) for side in folds]
+        found = _weights([held[0][i] for i in own], sizes[0], [held[1][i] for i in own], sizes[1])
+        return cover((t for i in own for t in folds[0][i]), *found, TAKES[-1])
+
+    without = [segments([j for j in range(FOLDS) if j != i]) for i in range(FOLDS)]
+    trial = [[f[: bound // FOLDS] for f in side] for side, bound in zip(folds, (TRIAL_TOXIC, TRIAL_ORDINARY))]
+    label = np.array([1.0 - side for side in (0, 1) for i in range(FOLDS) for _ in trial[side][i]])
+    weight = np.where(label == 1, n_toxic / max(1, label.sum()), n_ordinary / max(1, (1 - label).sum()))
+    weight *= len(label) / weight.sum()
     best = None
-    for cut in range(1, 6):
-        pairs = [[(sum(d >= cut for d in ds), len(ds)) for ds in side] for side in seen]
-        rates = _rate(pairs[0]), _rate(pairs[1])
-        if best and rates[0] <= rates[1]:
-            continue
-        at = [Counter(level(k, n, rates) for k, n in side) for side in pairs]
-        scores = _rising(*([at[side][x] * weights[side] for x in range(len(EDGES) + 1)] for side in (0, 1)), prior)
-        gain = sum(
-            weights[side] * n * math.log(max(1e-9, scores[x] if side == 0 else 1 - scores[x]))
-            for side in (0, 1)
-            for x, n in at[side].items()
-        )
-        if best is None or gain > best[0]:
-            best = gain, cut, scores, rates
-    every = list(range(FOLDS))
-    return Model(*_trained(every, every, counts), *best[1:])
+    for take in TAKES:
+        by_fold = [Distance(base, filled(s, take)) for s in without]
+        rows = np.array([features(by_fold[i].all(t)) for side in (0, 1) for i in range(FOLDS) for t in trial[side][i]])
+        *fitted, loss = _regression(rows, label, weight)
+        if best is None or loss < best[0]:
+            best = loss, take, fitted
+    _, take, (centre, scale, b) = best
+    return Model(
+        base, filled(segments(list(range(FOLDS))), take), prior,
+        tuple(centre.tolist()), tuple(scale.tolist()), tuple(b[1:].tolist()), float(b[0]),
+    )
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -247,23 +321,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(sample[True], sample[False], sizes.get(True, 0), sizes.get(False, 0))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Add ``hits`` (windows that the toxic dictionary saves ``cut`` bytes on) and ``score``
-    (0 to 1) to every row; columns of these names are replaced. Null and empty texts have no
-    hits. Whole texts are read; repeated rows score alike; an empty table gives an empty one.
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", hits_col: str = "hits") -> DataFrame:
+    """Add ``hits`` (windows on which the toxic dictionary saves HIT bytes or more) and
+    ``score`` (0 to 1) to every row; columns of these names are replaced. Null and empty texts
+    and those without letters have no windows and no hits. Whole texts are read; repeated rows
+    score alike; an empty table gives an empty one.
     """
     text = private(docs, "text")
-    schema = with_columns(docs, hits="long", score="double")
+    schema = with_columns(docs, **{hits_col: "long", score_col: "double"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = Distance(model.toxic, model.ordinary)
+        distance = Distance(model.ordinary, model.toxic)
         for batch in batches:
             for start, n in slices(batch, text):
                 part = batch.slice(start, n)
-                distances = [distance.all(t) for t in part.column(text).to_pylist()]
-                hits = [sum(d >= model.cut for d in ds) for ds in distances]
-                scores = [model.of(k, len(ds)) for k, ds in zip(hits, distances)]
-                made = {"hits": pa.array(hits, pa.int64()), "score": pa.array(scores, pa.float64())}
+                distances = [distance.all(words_only(t)) if model.slope else np.zeros(0, np.int64) for t in part.column(text).to_pylist()]
+                hits = [int((d >= HIT).sum()) for d in distances]
+                made = {hits_col: pa.array(hits, pa.int64()), score_col: pa.array([model.of(d) for d in distances], pa.float64())}
                 yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c) for c in schema.names], names=schema.names)
 
     return docs.withColumn(text, text_column(text_col)).mapInArrow(run, schema)
