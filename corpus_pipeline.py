@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import exact, jaccard, packing, repeats, toxicity
 from veilspark.llm.queries import TOXIC_FROM, VOCABULARY, held_out
-from veilspark.llm.tables import read, staged
+from veilspark.llm.tables import private, read, staged
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that score as toxic go; the model learns from labels of ``docs``."""
     labels = read(spark, folder, "labels").where(~held_out(F.col("doc_id")))
-    scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    return scored.where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+    score, hits = private(docs, "score"), private(docs, "hits")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), score_col=score, hits_col=hits)
+    return scored.where(F.col(score) < TOXIC_FROM).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -30,8 +31,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def passages_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Passages of 13 words or more that an earlier document has are cut out."""
-    cut = repeats.remove_repeats(docs, layout=True).withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(*docs.columns)
+    cut = repeats.remove_repeats(docs, layout=True, words_col=private(docs, "words"), removed_col=private(docs, "removed"))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
