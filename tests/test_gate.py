@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from veilspark.operators import search
 from veilspark.operators.audits import secret_audit
 from veilspark.operators.gate import gate, split_gate
 from veilspark.sources.payloads import payload_scans, read_payloads, write_log, write_payloads
@@ -117,3 +118,47 @@ def test_secret_audit_small_and_large(spark):
     assert sorted(r.i for r in secret_audit(payloads, few, "i").collect()) == [1, 1]
     many = spark.range(800).selectExpr("concat('SECRET-', lpad(id, 6, '0')) AS secret").unionByName(few)
     assert sorted(r.i for r in secret_audit(payloads, many, "i").collect()) == [1, 1, 3]
+
+
+def _found(texts, strings):
+    return sorted((k, s) for k, t in texts for s in strings if s and t and s in t)
+
+
+def test_search_against_plain_containment(spark, monkeypatch):
+    """One automaton and many shards give what looking for each string gives; strings hold each
+    other, keys repeat, texts are null, empty and long."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    strings = list({word(rng.randint(1, 7)) for _ in range(150)} - {""})
+    texts = [(i % 40, word(rng.randint(0, 80))) for i in range(60)] + [(90, None), (91, ""), (92, word(20_000))]
+    df = spark.createDataFrame(texts, "k int, body string")
+    wanted = spark.createDataFrame([(s, s) for s in strings] + [("", "none"), (None, "none")], "s string, m string")
+    for size in (search.SHARD_BYTES, 60):
+        monkeypatch.setattr(search, "SHARD_BYTES", size)
+        rows = search.search(df.repartition(3), wanted, "k", "body", "s", "m").collect()
+        assert sorted((r.k, r.m) for r in rows) == _found(texts, strings)
+        assert search.search(df.where("false"), wanted, "k", "body", "s", "m").count() == 0
+        assert search.search(df, wanted.where("false"), "k", "body", "s", "m").count() == 0
+
+
+def test_a_hundred_thousand_secrets(spark):
+    """Short ones included; each payload holds a known few."""
+    secrets = spark.range(100_000).selectExpr("concat('key-', lpad(hex(id * 2654435761 % 1048576), 6, 'Q'), '-', id) AS secret")
+    short = spark.createDataFrame([("~",), ("#7",), ("zq",)], "secret string")
+    rows = spark.range(2000).selectExpr(
+        "id", "concat_ws(' ', repeat('lorem ipsum ', 40), concat('key-', lpad(hex(id * 50 * 2654435761 % 1048576), 6, 'Q'), '-', id * 50), "
+        "if(id % 100 = 0, '~ zq', '')) AS payload"
+    )
+    hits = secret_audit(rows, secrets.unionByName(short), "id").groupBy("id").count().collect()
+    assert len(hits) == 2000
+    for r in hits:
+        # key-...-0, -50, -500 begin longer ones only where the id goes on
+        number = str(r["id"] * 50)
+        heads = sum(1 for n in range(1, len(number) + 1) if _key(int(number[:n])) in _key(int(number)))
+        assert r["count"] == heads + (2 if r["id"] % 100 == 0 else 0)
+
+
+def _key(i):
+    return f"key-{(i * 2654435761) % 1048576:X}".replace("key-", "key-" + "Q" * (6 - len(f"{(i * 2654435761) % 1048576:X}"))) + f"-{i}"

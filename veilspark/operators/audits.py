@@ -5,61 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
 from .sanitize import FORM_TAGS
-
-GRAM = 12
-SIEVE = 1 << 16
-
+from .search import search
 
 def secret_audit(
     payloads: DataFrame, secrets: DataFrame, key: str, payload: str = "payload", secret: str = "secret"
 ) -> DataFrame:
-    """(key, secret_hash) for every secret that occurs anywhere in a payload.
+    """(key, secret_hash) for every secret that occurs anywhere in a payload, once a row.
 
-    Each secret is anchored at one substring of GRAM letters (all of it if it is shorter):
-    the one that the fewest secrets share. Payloads offer their substrings of those lengths;
-    a sieve of fixed size, one byte for each of SIEVE hash values, drops in the row what no
-    anchor can equal, and the rest meets its anchors by a join. Each meeting is verified on
-    the whole secret. Lists of any length take this one way; the secrets come from a table,
-    so no plan shows them.
+    Payloads are read once by an automaton of all secrets, or of each bounded shard of them;
+    secrets come from a table, so no plan shows them.
     """
-    wanted = secrets.select(F.col(secret).alias("_s")).where("_s <> ''").distinct()
-    spans = F.expr(
-        f"transform(sequence(1, greatest(length(_s) - {GRAM - 1}, 1)), i -> substring(_s, i, {GRAM}))"
-    )
-    own = wanted.select("_s", F.explode(F.array_distinct(spans)).alias("_gram"))
-    common = own.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    anchors = (
-        own.join(common, "_gram").groupBy("_s")
-        .agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
-    )
-    # bounded by SIEVE rows and GRAM lengths, whatever the number of secrets
-    cell = f"CAST(pmod(xxhash64(_gram), {SIEVE}) AS INT)"
-    used = anchors.select(F.expr(cell).alias("c")).distinct().agg(F.collect_list("c").alias("c")).select(
-        F.expr(f"""CAST(array_join(transform(map_values(map_zip_with(
-map_from_arrays(sequence(0, {SIEVE - 1}), sequence(0, {SIEVE - 1})),
-map_from_arrays(c, c), (k, a, b) -> if(b IS NULL, '0', '1'))), x -> x), '') AS BINARY)""").alias("sieve")
-    )
-    sizes = anchors.select(F.length("_gram").alias("n")).distinct().agg(F.collect_list("n").alias("n"))
-    # at each letter the GRAM letters from there, in one pass: a look-ahead moves on by one
-    ahead = f"regexp_extract_all({payload}, r'(?s)(?=(.{{1,{GRAM}}}))', 1)"
-    offered = "transform(sizes, n -> transform(filter(ahead, g -> length(g) >= n), g -> left(g, n)))"
-    test = cell.replace("_gram", "g")
-    grams = F.expr(
-        let("ahead", ahead, f"array_distinct(filter(flatten({offered}), "
-            f"g -> substring(sieve, {test} + 1, 1) = X'31'))")
-    )
-    met = (
-        payloads.select(key, payload, used.scalar().alias("sieve"), sizes.scalar().alias("sizes"))
-        .select(key, F.explode(grams).alias("_gram"))
-        .join(anchors, "_gram").select(key, "_s").distinct()
-    )
-    return (
-        met.join(payloads.select(key, payload), key)
-        .where(F.contains(F.col(payload), F.col("_s")))
-        .select(key, F.sha2("_s", 256).alias("secret_hash"))
+    wanted = secrets.select(F.col(secret).alias("secret")).distinct().select(
+        "secret", F.sha2("secret", 256).alias("secret_hash")
     )
+    return search(payloads, wanted, key, payload, "secret", "secret_hash")
 
 
 def leak_counts(hits: DataFrame) -> DataFrame:

@@ -23,33 +23,22 @@ EXPECTED = ("PERSON_1", "EMAIL_1", "PHONE_1", "PASSWORD_1", "ADDRESS_1", "PAN_1"
 
 
 def known_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    """Every customer's mail address and tax id."""
-    return form_elements(spark, folder).where("ord IN (2, 6)").select(F.col("value").alias("secret"))
+    """Every raw value of the forms, whatever its kind."""
+    return form_elements(spark, folder).where("value IS NOT NULL").select(F.col("value").alias("secret"))
 
 
 def secret_audit_raw(spark: SparkSession, folder: str) -> DataFrame:
-    """How many raw payloads hold each known secret."""
+    """How many raw payloads hold each raw form value."""
     raw = payloads(form_scans(spark, folder))
     return leak_counts(secret_audit(raw, known_secrets(spark, folder), "scan_id"))
 
 
 def secret_audit_clean(spark: SparkSession, folder: str) -> DataFrame:
-    """The same over sanitised payloads: no row may come out."""
+    """The same over sanitised payloads: what comes out is in texts that are no personal data."""
     clean = payloads(sanitized(spark, folder))
     return leak_counts(secret_audit(clean, known_secrets(spark, folder), "scan_id"))
 
 
-def all_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    """Every raw value of the forms, whatever its kind."""
-    return form_elements(spark, folder).where("value IS NOT NULL").select(F.col("value").alias("secret"))
-
-
-def secret_audit_all(spark: SparkSession, folder: str) -> DataFrame:
-    """How many raw payloads hold each raw form value."""
-    raw = payloads(form_scans(spark, folder))
-    return leak_counts(secret_audit(raw, all_secrets(spark, folder), "scan_id"))
-
-
 def secret_audit_planted(spark: SparkSession, folder: str) -> DataFrame:
     """The same over sanitised payloads, with all raw values of one form in seven put back."""
     leaks = form_elements(spark, folder).where("scan_id % 7 = 3 AND value IS NOT NULL").groupBy("scan_id").agg(
@@ -58,7 +47,7 @@ def secret_audit_planted(spark: SparkSession, folder: str) -> DataFrame:
     clean = payloads(sanitized(spark, folder)).join(leaks, "scan_id", "left").withColumn(
         "payload", F.concat_ws("|", "payload", "leak")
     )
-    return leak_counts(secret_audit(clean, all_secrets(spark, folder), "scan_id"))
+    return leak_counts(secret_audit(clean, known_secrets(spark, folder), "scan_id"))
 
 
 def placeholder_audit_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,25 +109,24 @@ def _sql() -> dict[str, str]:
         f"bool_or(regexp_matches({shown}, '\\b{p}([^0-9]|$)')) AS in_text FROM done GROUP BY scan_id"
         for p, test in first_any.items()
     )
-    return {
-        "secret_audit": f"""
-WITH forms AS MATERIALIZED ({forms}),
-bodies AS (SELECT scan_id, string_agg(concat_ws('|', label, text, name, value), '|') AS body FROM forms GROUP BY 1),
-secrets AS (SELECT DISTINCT value AS s FROM forms WHERE ord IN (2, 6))
-SELECT sha256(s) AS secret_hash, count(*) AS payloads FROM secrets JOIN bodies ON contains(body, s) GROUP BY 1""",
-        "secret_audit_clean": "SELECT '' AS secret_hash, 0 AS payloads FROM customer WHERE FALSE",
-        "secret_audit_all": f"""
-WITH forms AS MATERIALIZED ({forms}),
-bodies AS (SELECT scan_id, string_agg(concat_ws('|', label, text, name, value), '|') AS body FROM forms GROUP BY 1),
-secrets AS (SELECT DISTINCT value AS s FROM forms WHERE value IS NOT NULL)
-SELECT sha256(s) AS secret_hash, count(*) AS payloads FROM secrets JOIN bodies ON contains(body, s) GROUP BY 1""",
-        "secret_audit_planted": f"""
+    secrets = "secrets AS (SELECT DISTINCT value AS s FROM raw WHERE value IS NOT NULL)"
+    counted = "SELECT sha256(s) AS secret_hash, count(*) AS payloads FROM secrets JOIN bodies ON contains(body, s) GROUP BY 1"
+    raw_audit = f"""
+WITH raw AS MATERIALIZED ({forms}),
+bodies AS (SELECT scan_id, string_agg(concat_ws('|', label, text, name, value), '|') AS body FROM raw GROUP BY 1),
+{secrets} {counted}"""
+    shown_audit = f"""
 {with_}, raw AS MATERIALIZED ({forms}),
-shown_parts AS (SELECT scan_id, concat_ws('|', label, {shown}, name) AS part FROM done
-  UNION ALL SELECT scan_id, value FROM raw WHERE scan_id % 7 = 3 AND value IS NOT NULL),
+shown_parts AS (SELECT scan_id, concat_ws('|', label, {shown}, name) AS part FROM done {{planted}}),
 bodies AS (SELECT scan_id, string_agg(part, '|') AS body FROM shown_parts GROUP BY 1),
-secrets AS (SELECT DISTINCT value AS s FROM raw WHERE value IS NOT NULL)
-SELECT sha256(s) AS secret_hash, count(*) AS payloads FROM secrets JOIN bodies ON contains(body, s) GROUP BY 1""",
+{secrets} {counted}"""
+    return {
+        "secret_audit": raw_audit,
+        "secret_audit_all": raw_audit,
+        "secret_audit_clean": shown_audit.replace("{planted}", ""),
+        "secret_audit_planted": shown_audit.replace(
+            "{planted}", "UNION ALL SELECT scan_id, value FROM raw WHERE scan_id % 7 = 3 AND value IS NOT NULL"
+        ),
         "placeholder_audit": f"""
 {with_} SELECT scan_id, placeholder, in_log FROM ({audit}) WHERE NOT in_log OR NOT in_text""",
         "structure_audit": """
@@ -162,7 +150,7 @@ FROM marked GROUP BY 1, 2, 3""",
 QUERIES = {
     "secret_audit": secret_audit_raw,
     "secret_audit_clean": secret_audit_clean,
-    "secret_audit_all": secret_audit_all,
+    "secret_audit_all": secret_audit_raw,
     "secret_audit_planted": secret_audit_planted,
     "placeholder_audit": placeholder_audit_rows,
     "structure_audit": structure_audit_rows,

@@ -57,30 +57,16 @@ def page_selectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 WANTED = """
-SELECT o_orderkey, o_orderkey % 50 AS page_id,
-  'el_' || lpad(CAST(o_orderkey % 61 AS STRING), 3, '0') AS id FROM {orders}"""
-
-
-def element_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    """Ids asked for by an action log, resolved to selectors where the page has them."""
-    orders = table(spark, folder, "orders").select("o_orderkey")
-    wanted = spark.sql(WANTED, orders=orders)
-    keys = element_keys(pages(spark, folder), "page_id")
-    return lookup_elements(wanted, keys, "page_id").select(
-        "o_orderkey", "page_id", "id", "tag", "selector"
-    )
-
-
-WANTED_ALL = """
 SELECT o_orderkey, o_orderkey % (SELECT count(*) FROM {pages}) AS page_id,
   'el_' || lpad(CAST(o_orderkey % 61 AS STRING), 3, '0') AS id FROM {orders}"""
 
 
-def element_lookup_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with ids asked for on all pages of the table, as many as there are."""
+def element_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids asked for by an action log, on all pages of the table, resolved to selectors where
+    the page has them."""
     orders = table(spark, folder, "orders").select("o_orderkey")
     read = pages(spark, folder)
-    wanted = spark.sql(WANTED_ALL, orders=orders, pages=read.select("page_id"))
+    wanted = spark.sql(WANTED, orders=orders, pages=read.select("page_id"))
     return lookup_elements(wanted, element_keys(read, "page_id"), "page_id").select(
         "o_orderkey", "page_id", "id", "tag", "selector"
     )
@@ -234,10 +220,10 @@ WITH {elements} SELECT tag, type, count(*) AS elements, count(DISTINCT page_id)
 FROM elements GROUP BY ALL""",
         "page_selectors": f"WITH {elements}, {keys} SELECT * FROM keys",
         "element_lookup": f"""
-WITH {elements}, {keys}, wanted AS ({WANTED.format(orders='orders')})
+WITH {elements}, {keys}, wanted AS ({WANTED.format(orders='orders', pages='pages')})
 SELECT o_orderkey, page_id, id, tag, selector FROM wanted LEFT JOIN keys USING (page_id, id)""",
         "element_lookup_all": f"""
-WITH {elements}, {keys}, wanted AS ({WANTED_ALL.format(orders='orders', pages='pages')})
+WITH {elements}, {keys}, wanted AS ({WANTED.format(orders='orders', pages='pages')})
 SELECT o_orderkey, page_id, id, tag, selector FROM wanted LEFT JOIN keys USING (page_id, id)""",
         "page_action_audit": f"""WITH {elements},
 actions AS (SELECT page_id, k, k % 3 = 2 AS types, format('el_{{:03d}}', (page_id * 7 + k * 5) % 40 + 1) AS target
@@ -265,7 +251,7 @@ QUERIES = {
     "page_type_counts": page_type_counts,
     "page_selectors": page_selectors,
     "element_lookup": element_lookup,
-    "element_lookup_all": element_lookup_all,
+    "element_lookup_all": element_lookup,
     "element_map_sizes": element_map_sizes,
     "page_action_audit": page_action_audit,
     "sanitize_pages": sanitize_pages,
