@@ -71,8 +71,8 @@ def test_no_text_is_cut_unasked(spark):
 def test_broken_markup():
     title, nodes = parse_page("<title>t<p>x</title><p>a<p>b<!-- <p> --><script>'<p>'</script></b><li>c<li>d")
     assert title == "t<p>x"
-    assert [n[2] for n in nodes if n[2] in ("p", "li")] == ["p", "p", "li", "li"]
-    assert [n[5] for n in nodes if n[2] == "li"] == ["c", "d"]
+    assert [n["tag"] for n in nodes if n["tag"] in ("p", "li")] == ["p", "p", "li", "li"]
+    assert [n["text"] for n in nodes if n["tag"] == "li"] == ["c", "d"]
     assert parse_page(None) == ("", []) and parse_page("plain") == ("", [])
 
 
@@ -103,3 +103,76 @@ def test_a_response_that_is_no_object(spark):
     states = spark.createDataFrame([], "scan_id int, id string, tag string, role string, input_type string, disabled boolean, visible boolean")
     row = validate_actions(actions, states).first()
     assert not row.valid and "not an object" in row.reason
+
+
+def hidden(css, body):
+    """Ids of the nodes that do not show."""
+    return {n["attrs"]["id"] for n in parse_page(f"<style>{css}</style>{body}")[1] if n["hidden"] and "id" in n["attrs"]}
+
+
+def test_cascade_by_hand():
+    body = "<div id=a class='x y'><p id=b>1</p><p id=c class=v>2</p></div><div id=d><span id=e data-k=ab-c>3</span></div>"
+    for css, want in {
+        ".x { display: none }": {"a", "b", "c"},  # a subtree goes with its root
+        "#a { visibility: hidden } .v { visibility: visible }": {"a", "b"},  # inherited, and taken back below
+        "#d { opacity: 0.0 }": {"d", "e"},
+        "#d { opacity: .5 }": set(),
+        "div > p { display: none } p { display: block }": {"b", "c"},  # specificity before order
+        "p { display: none } p { display: block }": set(),  # then order
+        "p { display: none !important } #b { display: block }": {"b", "c"},  # importance before both
+        "div p.v, #nope { display: none }": {"c"},
+        "div:not(.x) span { display: none }": {"e"},
+        "[data-k|=ab] { display: none }": {"e"}, "[data-k^='ab-'] { display: none }": {"e"}, "[data-k$=b] { display: none }": set(),
+        ".x.y > .v { display: none }": {"c"}, ".y > div > .v { display: none }": set(),
+        "p:hover { display: none } p + p { display: none } p::before { display: none }": set(),
+        "@media print { p { display: none } } @media screen { #e { display: none } }": {"e"},
+        "/* p { display: none } */ #b { color: red; display : NONE }": {"b"},
+        "p { display: none": {"b", "c"},  # an open rule ends with the sheet
+        "} p { display: none } {": set(),
+    }.items():
+        assert hidden(css, body) == want, css
+
+
+def test_inline_and_markup_in_the_cascade():
+    assert hidden("p { display: block !important }", "<p id=a style='display:none'>x") == set()
+    assert hidden("p { display: block }", "<p id=a style='display: none'>x<p id=b hidden>y") == {"a"}
+    assert hidden("", "<p id=a hidden>x<p id=b aria-hidden=true><i id=c>y</i></p><input id=d type=HIDDEN>") == {"a", "b", "c", "d"}
+    assert hidden("#late { display: none }", "<p id=late>x<style>#more { display: none }</style><p id=more>y") == {"late", "more"}
+
+
+def test_class_hides_a_field(spark):
+    html = "<style>.gone { display: none }</style><form><input name=a><div class=gone><input name=b><p>secret</p></div><p>shown</p></form>"
+    rows = element_rows(extract_pages(scan(spark, html)), ["page_id"]).orderBy("ord").collect()
+    assert [(r.tag, r.name, r.text) for r in rows] == [("input", "a", None), ("p", None, "shown")]
+
+
+def test_states_of_a_later_snapshot(spark):
+    first = "<body><button>Go</button><a href=/x>x</a><p>two words</p><fieldset><input placeholder=q></fieldset></body>"
+    then = "<style>a { display: none }</style><body><button disabled>Go</button><a href=/x>x</a><fieldset disabled><input placeholder=q></fieldset></body>"
+    df = spark.createDataFrame([(1, first, then)], "page_id int, html string, later string")
+    states = {r.id: (r.tag, r.disabled, r.visible) for r in element_states(df, "page_id", later="later").collect()}
+    assert states == {"el_001": ("button", True, True), "el_002": ("a", False, False), "el_003": ("input", True, True)}  # the paragraph is gone
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    for html in ("<div>" * 100_000, "<p><button>" + "<div>" * 100_000, "</x>" * 100_000,
+                 "<style>.a .b div { display: none } .a > div { opacity: 1 }</style><div class=a>" + "<div>" * 100_000):
+        start = time.process_time()
+        _, nodes = parse_page(html)
+        assert time.process_time() - start < 8  # seconds; far more if a tag costs its depth
+    assert nodes[-1]["depth"] == 100_000 and nodes[1]["last"] == len(nodes) - 1
+
+
+def test_intervals_hold_what_is_below():
+    _, nodes = parse_page("<ul><li><b>x</b><li>y</ul><label>m <input id=i></label><label for=j>n</label><input id=j>")
+    above = {n["ord"]: n["parent"] for n in nodes}
+    for n in nodes:
+        line, at = set(), n["parent"]
+        while at >= 0:
+            line.add(at)
+            at = above[at]
+        assert line == {m["ord"] for m in nodes if m["ord"] < n["ord"] <= m["last"]} and len(line) == n["depth"]
+    by = {n["attrs"].get("id"): n for n in nodes}
+    assert nodes[by["i"]["label_in"]]["tag"] == "label" and by["j"]["label_in"] == -1 and nodes[by["j"]["label_for"]]["text"] == "n"

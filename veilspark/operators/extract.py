@@ -46,17 +46,6 @@ WHEN {n}.tag IN {TEXT_TAGS} THEN 3
 WHEN {n}.tag IN {VISUAL_TAGS} THEN 4 END"""
 
 
-def hides(n: str) -> str:
-    """The node hides itself and all below it, as far as markup alone can tell."""
-    style = f"lower(replace(coalesce({n}.attrs['style'], ''), ' ', ''))"
-    return (
-        f"(rlike({style}, '(?:^|;)(?:display:none|visibility:hidden|opacity:0(?:[.]0*)?(?:;|$))') "
-        f"OR map_contains_key({n}.attrs, 'hidden') "
-        f"OR coalesce({n}.attrs['aria-hidden'], '') = 'true' "
-        f"OR ({n}.tag = 'input' AND lower(coalesce({n}.attrs['type'], '')) = 'hidden'))"
-    )
-
-
 def visible_text(n: str, max_text: int | None = None) -> str:
     """First non-empty of: label for the id, enclosing label, aria-label, title,
     placeholder, a button's value, the text itself, cut to ``max_text`` if given."""
@@ -69,12 +58,9 @@ def visible_text(n: str, max_text: int | None = None) -> str:
     def label_text(node: str) -> str:
         return f"nullif({strip(collapse(f'{node}.text'))}, '')"
 
-    by_id = f"get(filter(labels, l -> l.attrs['for'] = {n}.attrs['id']), 0)"
-    around = f"filter(labels, l -> array_contains({n}.path, l.ord))"
-    nearest = f"element_at({around}, -1)"
     return f"""coalesce(
-CASE WHEN coalesce({n}.attrs['id'], '') <> '' AND size(labels) > 0 THEN {label_text(by_id)} END,
-CASE WHEN size(labels) > 0 AND size({around}) > 0 THEN {label_text(nearest)} END,
+CASE WHEN {n}.label_for >= 0 THEN {label_text(f'nodes[{n}.label_for]')} END,
+CASE WHEN {n}.label_in >= 0 THEN {label_text(f'nodes[{n}.label_in]')} END,
 {attr('aria-label')}, {attr('title')}, {attr('placeholder')},
 CASE WHEN {n}.tag = 'input' AND lower(coalesce({n}.attrs['type'], '')) IN ('submit', 'button', 'reset')
   THEN {attr('value')} END,
@@ -109,7 +95,7 @@ ELSE {n}.tag END"""
 
 def control_value(n: str) -> str:
     """The value a form control starts with."""
-    options = f"filter(nodes, o -> o.tag = 'option' AND array_contains(o.path, {n}.ord))"
+    options = f"filter(slice(nodes, {n}.ord + 2, {n}.last - {n}.ord), o -> o.tag = 'option')"
     chosen = "coalesce(get(filter(opts, o -> map_contains_key(o.attrs, 'selected')), 0), get(opts, 0))"
     of_option = f"coalesce({chosen}.attrs['value'], {strip(collapse(f'{chosen}.text'))})"
     return f"""CASE {n}.tag
@@ -148,14 +134,11 @@ def page_candidates(
     at most if that is given; ``left_out``: how many that cut off."""
     parsed = evaluate_once(
         parse_pages(pages, markup),
-        labels="filter(nodes, n -> n.tag = 'label')",
         is_form="exists(nodes, n -> n.tag = 'form')",
-        hiding=f"transform(filter(nodes, n -> {hides('n')}), n -> n.ord)",
     )
-    visible = "NOT (array_contains(hiding, n.ord) OR arrays_overlap(hiding, n.path))"
     order = (
-        f"array_sort(transform(filter(nodes, n -> {band('n')} IS NOT NULL AND "
-        f"(size(hiding) = 0 OR {visible})), n -> named_struct('band', {band('n')}, 'ord', n.ord)))"
+        f"array_sort(transform(filter(nodes, n -> NOT n.hidden AND {band('n')} IS NOT NULL), "
+        f"n -> named_struct('band', {band('n')}, 'ord', n.ord)))"
     )
     one = let(
         "n", "nodes[k.ord]",
@@ -206,25 +189,42 @@ def visual_candidates(pages: DataFrame, key: str, markup: str = "html") -> DataF
     )
 
 
-def element_states(pages: DataFrame, key: str, markup: str = "html") -> DataFrame:
+def element_states(pages: DataFrame, key: str, markup: str = "html", later: str | None = None) -> DataFrame:
     """What an action log is checked against: (key, id, tag, role, input_type, disabled,
     visible) of each element, from the markup alone.
 
-    A control is disabled by itself, by ``aria-disabled`` or by a disabled fieldset around
-    it. Elements that the markup hides have no id, so an action on one has an unknown target.
+    Ids are those of the page as ``markup`` shows it. With ``later``, a column with the page as
+    it is when actions run, states are those of the node at the same place there: one that is
+    gone has no row, one that is hidden by now is not visible. Without it elements that the
+    markup hides have no id, so all that have one are visible.
+    A control is disabled by itself, by ``aria-disabled`` or by a disabled fieldset around it.
     """
     off = "(n.tag IN ('button', 'input', 'select', 'textarea', 'option') AND map_contains_key(n.attrs, 'disabled'))"
-    around = "exists(n.path, p -> nodes[p].tag = 'fieldset' AND map_contains_key(nodes[p].attrs, 'disabled'))"
-    one = let(
-        "n", "d.n",
-        "named_struct('id', format_string('el_%03d', i + 1), 'tag', n.tag, "
-        "'role', lower(n.attrs['role']), 'input_type', if(n.tag = 'input', "
-        "lower(coalesce(nullif(n.attrs['type'], ''), 'text')), CAST(NULL AS STRING)), "
-        f"'disabled', coalesce({off} OR lower(n.attrs['aria-disabled']) = 'true' "
-        f"OR (n.tag IN {FORM_TAGS + ('button',)} AND {around}), false), 'visible', true)",
+
+    def state(n: str) -> str:
+        return let(
+            "n", n,
+            "named_struct('tag', n.tag, 'role', lower(n.attrs['role']), 'input_type', if(n.tag = 'input', "
+            "lower(coalesce(nullif(n.attrs['type'], ''), 'text')), CAST(NULL AS STRING)), "
+            f"'disabled', coalesce({off} OR lower(n.attrs['aria-disabled']) = 'true' "
+            f"OR (n.tag IN {FORM_TAGS + ('button',)} AND n.off), false), 'visible', NOT n.hidden)",
+        )
+
+    given = "format_string('el_%03d', i + 1)"
+    if later is None:
+        found = evaluate_once(
+            page_candidates(pages, markup), states=f"transform(kept, (d, i) -> struct({given} AS id, {state('d.n')} AS s))"
+        )
+        return found.select(key, F.explode("states").alias("x")).select(key, "x.id", "x.s.*")
+    named = evaluate_once(
+        page_candidates(pages.select(key, markup), markup), ids=f"transform(kept, (d, i) -> struct({given} AS id, d.n.place AS place))"
+    )
+    now = evaluate_once(
+        parse_pages(pages.select(key, later), later), states=f"transform(nodes, m -> struct(m.place AS place, {state('m')} AS s))"
     )
-    found = evaluate_once(page_candidates(pages, markup), states=f"transform(kept, (d, i) -> {one})")
-    return found.select(key, F.explode("states").alias("s")).select(key, "s.*")
+    ids = named.select(key, F.explode("ids").alias("x")).select(key, "x.*")
+    states = now.select(key, F.explode("states").alias("x")).select(key, "x.*")
+    return ids.join(states, [key, "place"]).select(key, "id", "s.*")
 
 
 def element_rows(scans: DataFrame, keys: list[str]) -> DataFrame:
@@ -294,7 +294,8 @@ def element_keys(pages: DataFrame, key: str, markup: str = "html") -> DataFrame:
     step = "concat(a.tag, if(a.nth > 1, concat(':nth-of-type(', a.nth, ')'), ''))"
     # the path starts after the last ancestor with an id of its own, else below html
     path = let(
-        "line", "concat(nodes[x.ord].path, array(x.ord))",
+        "line", "reverse(aggregate(sequence(1, nodes[x.ord].depth + 1), array(x.ord), "
+        "(a, i) -> if(nodes[a[i - 1]].parent < 0, a, concat(a, array(nodes[a[i - 1]].parent)))))",
         let(
             "anchor",
             "coalesce(array_max(transform(line, (p, j) -> if(map_contains_key(unique_ids, p), j, -1))), -1)",

@@ -8,18 +8,30 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .styles import Cascade, Sheet
+
+# Nodes are numbered in document order; those below a node are ``ord + 1 .. last``, so an
+# ancestor test is a comparison of numbers. -1 stands for none in parent, label_in (the
+# nearest label around the node) and label_for (the first label for its id). ``place`` is the
+# same for nodes of two snapshots that lie at the same path of tags and counts.
 NODE = (
-    "struct<ord:int,path:array<int>,tag:string,nth:int,attrs:map<string,string>,text:string>"
+    "struct<ord:int,parent:int,last:int,depth:int,tag:string,nth:int,attrs:map<string,string>,"
+    "text:string,hidden:boolean,off:boolean,label_in:int,label_for:int,place:bigint>"
 )
 NODE_ARROW = pa.struct([
-    ("ord", pa.int32()), ("path", pa.list_(pa.int32())), ("tag", pa.string()),
-    ("nth", pa.int32()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
+    ("ord", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()),
+    ("tag", pa.string()), ("nth", pa.int32()), ("attrs", pa.map_(pa.string(), pa.string())),
+    ("text", pa.string()), ("hidden", pa.bool_()), ("off", pa.bool_()),
+    ("label_in", pa.int32()), ("label_for", pa.int32()), ("place", pa.int64()),
 ])
+FIELDS = [f.name for f in NODE_ARROW]
 
 # Fixed values of the HTML standard: void elements, raw-text elements, elements that end
 # an open paragraph, and elements whose end tag is implied by a sibling.
@@ -46,6 +58,7 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?/][^>]*>",
     re.S,
 )
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW_TEXT}
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
@@ -58,31 +71,56 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-def parse_page(markup: str | None) -> tuple[str, list[tuple]]:
-    """(title, nodes); a node is (ord, path, tag, nth, attrs, text) in document order."""
+_MASK = (1 << 64) - 1
+_STYLE = re.compile(r"<!--.*?(?:-->|\Z)|<style\b[^>]*>(.*?)(?:</style\s*>|\Z)", re.S | re.I)
+
+
+def _place(above: int, tag: str, nth: int) -> int:
+    """A 64-bit hash of the path that ends in this tag."""
+    step = (zlib.crc32(tag.encode()) << 32 | nth & 0xFFFFFFFF) ^ (above & _MASK)
+    step = (step ^ step >> 29) * 0xBF58476D1CE4E5B9 & _MASK
+    step = (step ^ step >> 32) * 0x94D049BB133111EB & _MASK
+    return step - (1 << 64) if step >> 63 else step
+
+
+def parse_page(markup: str | None) -> tuple[str, list[dict]]:
+    """(title, nodes in document order, with the fields of NODE).
+
+    One pass; the work of a tag does not depend on how deep it lies. ``hidden`` is what the
+    page's own styles, ``hidden`` and ``aria-hidden`` say of the node and those around it;
+    ``off``: a disabled fieldset is around it.
+    """
     markup = markup or ""
+    sheet = Sheet([m[1] for m in _STYLE.finditer(markup) if m[1]] if "<style" in markup.lower() else [])
+    cascade = Cascade(sheet)
     title, nodes, pieces = "", [], []
-    stack: list[list] = []  # [ord, tag, first piece, counts of child tags, hides its text]
+    stack: list[tuple] = []  # node number, tag, first piece, counts of child tags, hides its text
+    open_at: dict[str, list[int]] = defaultdict(list)  # places in the stack by tag
     top_counts: dict[str, int] = {}
+    labels: dict[str, int] = {}
     hidden = 0
 
     def close(depth: int) -> None:
         nonlocal hidden
         while len(stack) > depth:
             number, tag, first, _, hides = stack.pop()
+            open_at[tag].pop()
+            cascade.close()
             hidden -= hides
-            if nodes[number][5] is not None:
-                nodes[number][5] = "".join(pieces[first:])
+            node = nodes[number]
+            node["last"] = len(nodes) - 1
+            if node["text"] is not None:
+                node["text"] = "".join(pieces[first:])
             if tag in BOUNDARY_TAGS:
                 pieces.append("\n")
 
+    def nearest(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
+
     def close_open(tags: tuple[str, ...], scopes: frozenset[str]) -> None:
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][1] in tags:
-                close(depth)
-                return
-            if stack[depth][1] in scopes:
-                return
+        depth = nearest(tags)
+        if depth >= 0 and depth >= nearest(scopes):
+            close(depth)
 
     def add_text(chunk: str) -> None:
         if chunk and not hidden:
@@ -100,10 +138,8 @@ def parse_page(markup: str | None) -> tuple[str, list[tuple]]:
             continue
         tag = found[2].lower()
         if found[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][1] == tag:
-                    close(depth)
-                    break
+            if open_at.get(tag):
+                close(open_at[tag][-1])
             continue
         if tag in ENDS_PARAGRAPH:
             close_open(("p",), frozenset({"button", "table", "body"}))
@@ -116,25 +152,39 @@ def parse_page(markup: str | None) -> tuple[str, list[tuple]]:
             pieces.append("\n")
         wanted = tag in WITH_TEXT or "role" in attrs
         number = len(nodes)
-        nodes.append(
-            [number, [s[0] for s in stack], tag, counts[tag], attrs, "" if wanted else None]
-        )
+        above = nodes[stack[-1][0]] if stack else None
+        unseen, untold = cascade.open(tag, attrs)
+        nodes.append({
+            "ord": number, "parent": above["ord"] if above else -1, "last": number, "depth": len(stack), "tag": tag,
+            "nth": counts[tag], "attrs": attrs, "text": "" if wanted else None, "hidden": unseen,
+            "off": above is not None and (above["off"] or (above["tag"] == "fieldset" and "disabled" in above["attrs"])),
+            "label_in": -1 if above is None else above["ord"] if above["tag"] == "label" else above["label_in"],
+            "label_for": -1, "place": _place(above["place"] if above else 0, tag, counts[tag]),
+        })
+        if tag == "label" and "for" in attrs:
+            labels.setdefault(attrs["for"], number)
         if tag in RAW_TEXT:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(markup, at)
+            end = _END[tag].search(markup, at)
             body = markup[at: end.start() if end else len(markup)]
             at = end.end() if end else len(markup)
             if tag == "title" and not title:
                 title = entities.unescape(body).strip()
             elif tag == "textarea":
-                nodes[number][5] = entities.unescape(body)
+                nodes[number]["text"] = entities.unescape(body)
+            cascade.close()
             continue
         if tag in VOID:
+            cascade.close()
             continue
-        hides = "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "")
-        hidden += hides
-        stack.append([number, tag, len(pieces), {}, hides])
+        hidden += untold
+        open_at[tag].append(len(stack))
+        stack.append((number, tag, len(pieces), {}, untold))
     close(0)
-    return title, [tuple(n) for n in nodes]
+    if labels:
+        for node in nodes:
+            if node["attrs"].get("id"):
+                node["label_for"] = labels.get(node["attrs"]["id"], -1)
+    return title, nodes
 
 
 def parse_pages(df: DataFrame, markup: str = "html") -> DataFrame:
@@ -143,7 +193,6 @@ def parse_pages(df: DataFrame, markup: str = "html") -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep])
     schema += f", title string, nodes array<{NODE}>"
     names = [f.name for f in keep]
-    fields = ("ord", "path", "tag", "nth", "attrs", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,10 +200,9 @@ def parse_pages(df: DataFrame, markup: str = "html") -> DataFrame:
             for value in batch.column(batch.schema.get_field_index(markup)):
                 title, found = parse_page(value.as_py())
                 titles.append(title)
-                nodes.append([
-                    dict(zip(fields, (*n[:4], list(n[4].items()), n[5]), strict=True))
-                    for n in found
-                ])
+                for n in found:
+                    n["attrs"] = list(n["attrs"].items())
+                nodes.append(found)
             kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(titles, pa.string()), pa.array(nodes, pa.list_(NODE_ARROW))],
