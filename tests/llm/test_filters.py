@@ -370,3 +370,26 @@ def test_pipeline_stages_keep_columns_of_clashing_names(spark, odd):
             out = stage(spark, docs, FOLDER)
             assert out.columns == clash.columns, name
             assert {tuple(r)[5:] for r in out.collect()} <= {("mine",) * 4}, name
+
+
+def test_extraction_of_deep_pages_is_linear():
+    import time
+
+    for page in ("<div>" * 100_000 + "x", "<div class='ad x'>" * 50_000 + "x" + "</div>" * 50_000, "<form><div>" * 50_000 + "t", "</x>" * 100_000, "<div>x" * 50_000):
+        start = time.process_time()
+        nodes = sitestyle.style_nodes(page)
+        text = sitestyle.text_of(page, {1})
+        assert time.process_time() - start < 25  # seconds; hundreds if a tag costs its depth
+    assert len(nodes) == 50_000 and text.count("x") == 50_000
+
+
+def test_importance_fades_in_with_pages(spark):
+    """A notice that looks alike on all pages goes from five pages on, and one that varies a
+    little stays on few pages and goes on many."""
+    def pages(n, notice):
+        return [(i, f"http://h{n}.org/{i}", f"<body><div class=x>{notice(i)}</div><div class=y>own words of page {i} {i * 7}</div></body>") for i in range(n)]
+
+    for n, notice, gone in ((3, lambda i: "same", False), (5, lambda i: "same", True), (8, lambda i: f"v{i % 2}", False), (300, lambda i: "v" if i else "w", True)):
+        df = spark.createDataFrame(pages(n, notice), "page_id long, url string, html string")
+        texts = [r["text"] for r in sitestyle.main_text(df).collect()]
+        assert all(("\n" not in t) == gone for t in texts), n

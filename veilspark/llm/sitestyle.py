@@ -48,7 +48,9 @@ ARTICLE = frozenset(("article", "main"))
 CLOSED_BY = {"p": frozenset("p".split()), "li": frozenset("li p".split()), "dd": frozenset("dd dt p".split()), "dt": frozenset("dd dt p".split()), "td": frozenset("td th p".split()), "th": frozenset("td th p".split()), "tr": frozenset("tr td th p".split()), "option": frozenset(("option",))}
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot".split())
 NOISE = 0.05
-ENOUGH_PAGES = 5  # different pages of a host from which its entropies are believed
+# Entropies of few pages say little. A node's importance is taken together with that of FADE
+# pages on which it is alive, and a form's life fades in with the pages that show it.
+FADE, FORM_FADE = 0.25, 3
 
 
 _CUT_TAG = re.compile(r"<[/!?A-Za-z][^<>]*\Z")  # a tag that the page ends in is no text
@@ -58,28 +60,41 @@ def _hash(text: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(text)).view(np.int64))
 
 
+def _node(above: int, style: str) -> int:
+    """A style node by the one above it, so that no path is ever spelt out."""
+    return _hash(f"{above}/{style}")
+
+
 class _Page(HTMLParser):
-    """Blocks of text with the style nodes above them, and what each node looks like."""
+    """Blocks of text with the style node they stand in, and what each node looks like. Nodes
+    and weak marks know the one above them; the work of a tag does not depend on its depth."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        # tag, path, strongly marked, weak marks above and on it, how many of them are above
-        # the article around it (-1 outside of one)
-        self.stack: list[tuple[str, str, bool, tuple[tuple[int, bool], ...], int]] = []
-        self.marks = 0
-        self.children: dict[str, list[str]] = {}
-        self.content: dict[str, list[str]] = {}
-        self.parent: dict[str, str] = {}
-        self.blocks: list[tuple[str, list[str], bool, tuple[tuple[int, bool], ...], int]] = []
+        # tag, node, strongly marked, weak mark, the weak mark above the article around it
+        # (None outside of one)
+        self.stack: list[tuple[str, int, bool, int, int | None]] = []
+        self.open: Counter = Counter()
+        self.marks: list[tuple[int, bool]] = [(0, False)]  # the mark above, is it a form's only?
+        self.children: dict[int, list[str]] = {}
+        self.content: dict[int, list[str]] = {}
+        self.parent: dict[int, int] = {}
+        self.article: dict[int, int | None] = {0: None}  # the outermost article or main above or at a node
+        self.blocks: list[tuple[str, int, bool, int, int | None]] = []
         self.text: list[str] = []
 
     def flush(self):
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            _, path, marked, weak, article = self.stack[-1] if self.stack else ("", "", False, (), -1)
-            self.content.setdefault(path, []).append(text)
-            self.blocks.append((text, [level[1] for level in self.stack], marked, weak, article))
+            _, node, marked, mark, article = self.stack[-1] if self.stack else ("", 0, False, 0, None)
+            self.content.setdefault(node, []).append(text)
+            self.blocks.append((text, node, marked, mark, article))
+
+    def pop(self, size: int):
+        for tag, *_ in self.stack[size:]:
+            self.open[tag] -= 1
+        del self.stack[size:]
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -88,33 +103,35 @@ class _Page(HTMLParser):
             return
         self.flush()
         if tag in CLOSED_BY:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] in CLOSED_BY[tag]:
-                    del self.stack[i:]
-                elif self.stack[i][0] in HOLDERS or self.stack[i][0] not in INLINE:
-                    break
+            size = len(self.stack)
+            while size and self.stack[size - 1][0] in CLOSED_BY[tag]:
+                size -= 1
+            self.pop(size)
         elif self.stack and self.stack[-1][0] == "p" and tag not in EMPTY:
-            self.stack.pop()
+            self.pop(len(self.stack) - 1)
         named = dict(attrs)
-        _, above, marked, weak, article = self.stack[-1] if self.stack else ("", "", False, (), -1)
+        _, above, marked, mark, article = self.stack[-1] if self.stack else ("", 0, False, 0, None)
         names = (named.get("class") or "").lower().split()
         style = tag + "".join("." + n for n in sorted(names))
-        path = f"{above}/{style}"
+        node = _node(above, style)
         self.children.setdefault(above, []).append(style)
-        self.parent[path] = above
+        self.parent[node] = above
+        outermost = self.article[above]
+        self.article[node] = outermost if outermost is not None else node if tag in ARTICLE else None
         if tag in EMPTY:
             return
         role = (named.get("role") or "").lower()
-        marked = marked or tag in NO_TEXT or (tag == "header" and article < 0) or role in NO_TEXT_ROLES
-        if tag in ARTICLE and article < 0 and not marked:
-            article = len(weak)
+        marked = marked or tag in NO_TEXT or (tag == "header" and article is None) or role in NO_TEXT_ROLES
+        if tag in ARTICLE and article is None and not marked:
+            article = mark
         if tag not in OWN_IDS:
             names.append((named.get("id") or "").strip().lower())
         form = tag == "form" or role == "form"
         if form or (tag not in ("html", "body", "main") and not NO_TEXT_NAMES.isdisjoint(names)):
-            self.marks += 1
-            weak += ((self.marks, form and NO_TEXT_NAMES.isdisjoint(names)),)
-        self.stack.append((tag, path, marked, weak, article))
+            self.marks.append((mark, form and NO_TEXT_NAMES.isdisjoint(names)))
+            mark = len(self.marks) - 1
+        self.open[tag] += 1
+        self.stack.append((tag, node, marked, mark, article))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -122,41 +139,50 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in INLINE or tag in EMPTY:
+        if tag in INLINE or tag in EMPTY or not self.open[tag]:
             return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.flush()
-                del self.stack[i:]
-                return
+        size = len(self.stack) - 1
+        while self.stack[size][0] != tag:
+            size -= 1
+        self.flush()
+        self.pop(size)
 
     def handle_data(self, data):
         self.text.append(data)
 
 
-def _read(html: str) -> tuple[_Page, list[tuple[str, list[str], bool, bool]], bool]:
-    """The page, its blocks as (text, nodes above, in a form, in an article) without those that
-    marks take out, and whether it has an article. Blocks of a form are listed, as only the tree
-    can tell which of them live."""
+def _read(html: str) -> tuple[_Page, list[tuple[str, int, bool, bool]], bool]:
+    """The page, its blocks as (text, node, in a form, in an article) without those that marks
+    take out, and whether it has an article. Blocks of a form are listed, as only the tree can
+    tell which of them live."""
     page = _Page()
     page.feed(_CUT_TAG.sub("", html))
     page.close()
     page.flush()
-    blocks = [(text, above, weak, article) for text, above, marked, weak, article in page.blocks if not marked]
-    has_article = any(article >= 0 and not weak for _, _, weak, article in blocks)
-    if not has_article and any(article == len(weak) for _, _, weak, article in blocks):
-        has_article = True
-        blocks = [(text, above, weak[max(article, 0) :], article) for text, above, weak, article in blocks]
-    elif not has_article and any(weak for _, _, weak, _ in blocks):
-        words: Counter = Counter()
-        for text, _, weak, _ in blocks:
-            n = len(text.split())
-            words.update({0: n} | {mark: n for mark, _ in weak})
-        blocks = [
-            (text, above, tuple(m for m in weak if words[m[0]] < PAGE_WIDE * words[0]), article)
-            for text, above, weak, article in blocks
-        ]
-    kept = [(text, above, bool(weak), article >= 0) for text, above, weak, article in blocks if all(form for _, form in weak)]
+    blocks = [(text, node, mark, article) for text, node, marked, mark, article in page.blocks if not marked]
+    has_article = any(article is not None and not mark for _, _, mark, article in blocks)
+    counts = [True] * len(page.marks)
+    inside = False  # marks count below the article only
+    if not has_article and any(article == mark for _, _, mark, article in blocks if article is not None):
+        has_article = inside = True
+    elif not has_article and any(mark for _, _, mark, _ in blocks):
+        words = [0] * len(page.marks)
+        for text, _, mark, _ in blocks:
+            words[mark] += len(text.split())
+        for mark in range(len(words) - 1, 0, -1):  # a mark's number is above that of the one above it
+            words[page.marks[mark][0]] += words[mark]
+        counts = [n < PAGE_WIDE * words[0] for n in words]
+    # how many marks that count, and of those how many are no form's, lie from the top to each
+    total, named = [0] * len(counts), [0] * len(counts)
+    for mark in range(1, len(counts)):
+        above, form = page.marks[mark]
+        total[mark] = total[above] + counts[mark]
+        named[mark] = named[above] + (counts[mark] and not form)
+    kept = []
+    for text, node, mark, article in blocks:
+        base = article if inside and article is not None else 0
+        if named[mark] == named[base]:
+            kept.append((text, node, total[mark] > total[base], article is not None))
     return page, kept, has_article
 
 
@@ -165,22 +191,20 @@ def style_nodes(html: str) -> list[tuple[int, int, int, int, int | None, bool]]:
     ``article`` is the outermost article or main element around it or itself, if any, and
     ``form`` says that blocks right under it need a live node."""
     page, blocks, _ = _read(html)
-    seen: dict[str, str | None] = {}
+    seen: set[int] = set()
     forms = set()
-    for _, above, form, _ in blocks:
+    for _, node, form, _ in blocks:
         if form:
-            forms.add(above[-1])
-        article = None
-        for p in above:
-            if article is None and p.rpartition("/")[2].partition(".")[0] in ARTICLE:
-                article = p
-            seen[p] = article
+            forms.add(node)
+        while node and node not in seen:
+            seen.add(node)
+            node = page.parent[node]
     return [
         (
-            _hash(p), _hash(" ".join(page.children.get(p, ()))), _hash("\n".join(page.content.get(p, ()))),
-            _hash(page.parent.get(p, "")), None if article is None else _hash(article), p in forms,
+            n, _hash(" ".join(page.children.get(n, ()))), _hash("\n".join(page.content.get(n, ()))),
+            page.parent[n], page.article[n], n in forms,
         )
-        for p, article in seen.items()
+        for n in seen
     ]
 
 
@@ -188,19 +212,28 @@ def text_of(html: str, dead: set[int], live: set[int] = frozenset(), alone: bool
     """Blocks in page order, without what is marked or under a dead node; of a form, those right
     under a ``live`` node. Of a page read ``alone``, without a tree of its host, an article is
     taken for all of the main text."""
-    _, blocks, has_article = _read(html)
+    page, blocks, has_article = _read(html)
     only = alone and has_article
+    gone = {0: False}  # is the node or one above it dead?
+
+    def under_dead(node: int) -> bool:
+        line = []
+        while node not in gone:
+            line.append(node)
+            node = page.parent[node]
+        for n in reversed(line):
+            gone[n] = gone[page.parent[n]] or n in dead
+        return gone[line[0]] if line else gone[node]
+
     return "\n".join(
         text
-        for text, above, form, article in blocks
-        if (article or not only)
-        and not (form and (not live or _hash(above[-1]) not in live))
-        and not (dead and any(_hash(p) in dead for p in above))
+        for text, node, form, article in blocks
+        if (article or not only) and not (form and node not in live) and not (dead and under_dead(node))
     )
 
 
 NODES = "host long, page long, node long, look long, content long, parent long, article long, form boolean"
-TOPS = tuple(_hash(p) for p in ("/html", "/html/body"))
+TOPS = (_node(0, "html"), _node(_node(0, "html"), "body"))
 
 
 def _entropy(counts: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -216,8 +249,8 @@ def main_text(pages: DataFrame, noise: float = NOISE, id_col: str = "page_id", u
 
     Blocks are joined in page order by one newline; white space within a block is one space.
     Null and empty markup, and pages without text, give the empty text. Null URLs and URLs
-    without a host share the empty host. Copies of a page count once for the tree, and hosts
-    with fewer than ENOUGH_PAGES different pages keep all that is not marked. Repeated ids
+    without a host share the empty host. Copies of a page count once for the tree; the fewer
+    different pages a host has, the less of what is not marked goes. Repeated ids
     are extracted each for itself. An empty table gives no rows; other columns are not
     carried.
     """
@@ -244,8 +277,9 @@ def main_text(pages: DataFrame, noise: float = NOISE, id_col: str = "page_id", u
     look = _entropy(seen.groupBy(*by, "look").agg(F.count("*").alias("n")), by, "look")
     content = _entropy(seen.groupBy(*by, "content").agg(F.count("*").alias("n")), by, "content").drop("pages")
     article = seen.groupBy(*by).agg(F.max("article").alias("article"), F.max("form").alias("form"))
-    quiet = (F.greatest("look", "content") < noise) & (F.col("pages") >= ENOUGH_PAGES) & ~F.col("node").isin(*TOPS)
-    varied = F.col("form") & (F.col("content") >= noise) & (F.col("pages") >= ENOUGH_PAGES)
+    importance = (F.greatest("look", "content") * F.col("pages") + FADE) / (F.col("pages") + FADE)
+    quiet = (importance < noise) & ~F.col("node").isin(*TOPS)
+    varied = F.col("form") & (F.col("content") * (F.col("pages") - 1) / (F.col("pages") + FORM_FADE) >= noise)
     judged = staged(
         look.join(content, by).join(article, by).select(*by, "article", quiet.alias("quiet"), varied.alias("live")), "style-nodes"
     )
