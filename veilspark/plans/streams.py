@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.detect import redact
 from ..operators.numbering import evaluate_once
 from ..streaming.common import run_folder, run_to_table, stream_table
-from ..streaming.redact import dedupe_log, start_gated_sinks
-from ..streaming.stateful import session_loop, token_registry
+from ..streaming.redact import start_gated_sinks
+from ..streaming.stateful import first_entries, session_loop, token_registry
 from . import actions, documents
 from . import oracle as o
 from .actions import LOOP_RECORDS
@@ -60,9 +60,15 @@ SELECT user_id AS scan_id, 'el_' || lpad(CAST(event_id % 9 AS STRING), 3, '0') A
 
 
 def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
+    """The first log entry of each key; entries of the last ten minutes still wait."""
     log = spark.sql(DEDUPE, events=stream_table(spark, folder, "events"))
-    first = dedupe_log(log, delay="36500 days")
-    return run_to_table(first, "dedupe").select("scan_id", "target", "category")
+    return run_to_table(first_entries(log), "dedupe").select(
+        "scan_id", "target", "category", F.unix_micros("ts").alias("first_us")
+    )
+
+
+# What the watermark has passed when the input is used up, in milliseconds.
+PASSED = "(SELECT epoch_ms(max(ts)) - 600000 FROM events)"
 
 
 def _sql() -> dict[str, str]:
@@ -81,11 +87,14 @@ def _sql() -> dict[str, str]:
 SELECT doc_id, CASE WHEN bad.doc_id IS NULL THEN texts[1] END AS text,
   CASE WHEN bad.doc_id IS NULL THEN 'passed' ELSE 'quarantine' END AS sink
 FROM {last} LEFT JOIN bad USING (doc_id)""",
-        "stream_sessions": actions.ORACLE["session_steps"],
+        "stream_sessions": f"""
+SELECT s.* FROM ({actions.ORACLE["session_steps"]}) s JOIN events ON event_id = record_id WHERE epoch_ms(ts) <= {PASSED}""",
         "stream_registry": f"""
 WITH spliced AS ({spliced}),
 grouped AS (SELECT conv_id, list(text ORDER BY turn) AS texts FROM spliced GROUP BY conv_id), {ctes} {per_prefix}""",
-        "stream_dedupe": f"SELECT DISTINCT scan_id, target, category FROM ({DEDUPE.format(events='events')})",
+        "stream_dedupe": f"""
+SELECT scan_id, target, category, epoch_us(min(ts)) AS first_us FROM ({DEDUPE.format(events='events')})
+GROUP BY ALL HAVING epoch_ms(min(ts)) <= {PASSED}""",
     }
 
 

@@ -43,12 +43,3 @@ def start_gated_sinks(
         .trigger(**(trigger or UNTIL_USED_UP))
         .start()
     )
-
-
-def dedupe_log(log: DataFrame, event_time: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """The first entry per (scan, target, category); a key is forgotten once the
-    watermark has passed it, so state stays bounded."""
-    timed = log.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(
-        ["scan_id", "target", "category"]
-    )

@@ -1,7 +1,8 @@
-"""Keyed state: the session loop and the placeholder registry.
+"""Keyed state: the session loop, first log entries and the placeholder registry.
 
-Both processors hold a few values per key in state and pass their input by in Arrow
-batches; neither keeps the rows of a key.
+The processors hold a few values per key in state and pass their input by in Arrow batches;
+none keeps the rows of a key. The session loop and the first entries wait for the watermark,
+so that what they give does not depend on the order in which rows arrive within the delay.
 """
 
 from __future__ import annotations
@@ -24,54 +25,168 @@ _STAGES = {"blocked": "privacy_firewall", "error": "planner", "completed": "loop
 
 
 class SessionLoop(StatefulProcessor):
-    """Step count and end flag of one session. Of each batch only the earliest eleven
-    records can matter, so only those are held."""
+    """Step count and end flag of one session, and its earliest records that the watermark has
+    not passed yet. Each record uses a step or ends the session, so eleven are enough to hold.
+    They are decided in event order when the watermark has passed them. A session of which
+    nothing is left to decide and nothing came for ``forget_ms`` leaves no state."""
+
+    def __init__(self, forget_ms: int) -> None:
+        self.forget_ms = forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState(
             "loop", T.StructType([
                 T.StructField("step", T.IntegerType()), T.StructField("ended", T.BooleanType()),
+                T.StructField("latest", T.LongType()), T.StructField("timer", T.LongType()),
+            ]),
+        )
+        self.waiting = handle.getListState(
+            "waiting", T.StructType([
+                T.StructField("at_us", T.LongType()), T.StructField("record_id", self.record),
+                T.StructField("kind", T.StringType()),
             ]),
         )
-        self.handle = handle
+
+    record = T.LongType()
+
+    def _wait(self, step: int, ended: bool, latest: int, timer: int, rows: list[tuple]) -> None:
+        """Keep what is left, and wake when the watermark has passed the next record, or else
+        when the session has been quiet."""
+        wake = rows[0][0] // 1000 if rows else latest + self.forget_ms
+        if wake != timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(wake)
+        if rows:
+            self.waiting.put(rows)
+        else:
+            self.waiting.clear()
+        self.state.update((step, ended, latest, wake))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):  # noqa: N802, N803
-        step, ended = self.state.get() if self.state.exists() else (0, False)
-        earliest: list[tuple] = []
+        step, ended, latest, timer = self.state.get() if self.state.exists() else (0, False, 0, -1)
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         for batch in rows:
+            latest = max(latest, int(batch["at_us"].max()) // 1000)
             if not ended:
-                fields = zip(batch["ts"], batch["record_id"], batch["kind"], strict=True)
-                earliest = heapq.nsmallest(MAX_STEPS + 1, [*earliest, *fields])
+                fields = zip(batch["at_us"].tolist(), batch["record_id"].tolist(), batch["kind"], strict=True)
+                held = heapq.nsmallest(MAX_STEPS + 1, [*held, *fields])
+        self._wait(step, ended, latest, timer, held)
+        yield pd.DataFrame([], columns=list(STEPS))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        step, ended, latest, timer = self.state.get()
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         out = []
-        for _, record, kind in earliest:
-            if ended:
-                break
+        while held and held[0][0] // 1000 <= passed:
+            _, record, kind = held.pop(0)
             step += kind in ("step", "rejected", "failed")
             status = "success" if kind == "step" else kind
             if kind == "step" and step >= MAX_STEPS:
                 status = "max_steps_reached"
             ended = status != "success"
             out.append((key[0], record, step, _STAGES.get(kind, "action_execution"), status))
-        self.state.update((step, ended))
+            if ended:
+                held = []
+        if not held and passed >= latest + self.forget_ms:
+            self.state.clear()
+            self.waiting.clear()
+        else:
+            # a timer that fired is gone
+            self._wait(step, ended, latest, -1 if fired == timer else timer, held)
         yield pd.DataFrame(out, columns=list(STEPS))
 
     def close(self) -> None:
         pass
 
 
-def session_loop(records: DataFrame) -> DataFrame:
-    """Streaming form of ``session_steps``: the records that were reached. Records of one
-    session must not be split across batches out of order."""
+def session_loop(records: DataFrame, delay: str = "10 minutes", forget_minutes: int = 31 * 24 * 60) -> DataFrame:
+    """Streaming form of ``session_steps``: the records that were reached, decided in the order
+    of ``ts`` and ``record_id`` once the watermark, ``delay`` behind the latest record, has
+    passed them. Records behind the watermark are left out (``common.late_rows``). A session is
+    forgotten when it has been quiet for ``forget_minutes``; records that come later begin anew.
+    """
     keyed_state(records.sparkSession)
-    slim = records.select("session_id", "record_id", "ts", F.expr(stage_status()).alias("kind"))
+    timed = records.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    slim = timed.select(
+        "session_id", "ts", F.col("record_id").cast("long").alias("record_id"),
+        F.unix_micros("ts").alias("at_us"), F.expr(stage_status()).alias("kind"),
+    )
     return slim.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=SessionLoop(),
+        statefulProcessor=SessionLoop(forget_minutes * 60_000),
         outputStructType=T.StructType([
             slim.schema["session_id"], slim.schema["record_id"], T.StructField("step", T.IntegerType()),
             T.StructField("stage", T.StringType()), T.StructField("status", T.StringType()),
         ]),
-        outputMode="Append", timeMode="None",
+        outputMode="Append", timeMode="EventTime",
+    )
+
+
+class FirstEntry(StatefulProcessor):
+    """The least event time of one key; given out when the watermark has passed it, so that no
+    earlier one can come. After that only the fact is kept, until the key has been quiet for
+    ``forget_ms``."""
+
+    def __init__(self, forget_ms: int) -> None:
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState(
+            "first", T.StructType([
+                T.StructField("first_us", T.LongType()), T.StructField("given", T.BooleanType()),
+                T.StructField("latest", T.LongType()), T.StructField("timer", T.LongType()),
+            ]),
+        )
+
+    def _wait(self, first: int, given: bool, latest: int, timer: int) -> None:
+        wake = latest + self.forget_ms if given else first // 1000
+        if wake != timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(wake)
+        self.state.update((first, given, latest, wake))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):  # noqa: N802, N803
+        first, given, latest, timer = self.state.get() if self.state.exists() else (None, False, 0, -1)
+        for batch in rows:
+            least = int(batch["at_us"].min())
+            first = least if first is None or (least < first and not given) else first
+            latest = max(latest, int(batch["at_us"].max()) // 1000)
+        self._wait(first, given, latest, timer)
+        yield pd.DataFrame([], columns=["scan_id", "target", "category", "first_us"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        first, given, latest, timer = self.state.get()
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        out = [] if given else [(*key, first)]
+        if timerValues.getCurrentWatermarkInMs() >= latest + self.forget_ms:
+            self.state.clear()
+        else:
+            self._wait(first, True, latest, -1 if fired == timer else timer)
+        yield pd.DataFrame(out, columns=["scan_id", "target", "category", "first_us"])
+
+    def close(self) -> None:
+        pass
+
+
+def first_entries(log: DataFrame, event_time: str = "ts", delay: str = "10 minutes", forget_minutes: int = 31 * 24 * 60) -> DataFrame:
+    """(scan_id, target, category, ``event_time``): the earliest entry of each key by event time,
+    whatever the order of arrival within ``delay``. A key is forgotten when it has been quiet
+    for ``forget_minutes``."""
+    keyed_state(log.sparkSession)
+    keys = ["scan_id", "target", "category"]
+    timed = log.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay)
+    slim = timed.select(*keys, event_time, F.unix_micros(event_time).alias("at_us"))
+    found = slim.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=FirstEntry(forget_minutes * 60_000),
+        outputStructType=T.StructType([*(slim.schema[k] for k in keys), T.StructField("first_us", T.LongType())]),
+        outputMode="Append", timeMode="EventTime",
     )
+    return found.select(*keys, F.timestamp_micros("first_us").alias(event_time))
 
 
 REGISTRY = ("scan_id", "prefix", "token", "n")
