@@ -109,3 +109,31 @@ def test_session_ends(spark):
 def test_only_the_head_of_a_session_is_shuffled(spark):
     plan_text = session_steps(records(spark, (1, "CLICK", "r", False, True, True)))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan_text
+
+
+def test_stages_and_stop_reasons(spark):
+    from veilspark.operators.sessions import session_stages, session_steps
+
+    plain = dict(action="CLICK", target="el_001", reason="r", blocked=False, network_error=None, valid=True, rejection=None, success=True)
+    ends = {
+        1: dict(blocked=True), 2: dict(network_error="timeout"), 3: dict(action="DONE"), 4: dict(action="DONE", reason=""),
+        5: dict(action="WAIT", reason="no actionable target found"), 6: dict(valid=False, rejection="disabled target"),
+        7: dict(success=False), 8: {},
+    }
+    rows = []
+    for session, end in ends.items():
+        for i in range(3):
+            rows.append({"session_id": session, "record_id": i, "ts": i, **plain, **(end if i == 1 else {})})
+    rows += [{"session_id": 9, "record_id": i, "ts": i, **plain} for i in range(12)]
+    df = spark.createDataFrame(rows, "session_id int, record_id int, ts int, action string, target string, reason string, blocked boolean, network_error string, valid boolean, rejection string, success boolean")
+    got = {}
+    for r in session_stages(session_steps(df)).orderBy("session_id", "seq").collect():
+        got.setdefault(r.session_id, []).append((r.seq, r.stage, r.status, r.step, r.stop_reason))
+    for session, stages in got.items():
+        assert stages[:2] == [(0, "tab_query", "success", 0, None), (1, "initial_perception", "success", 0, None)]
+        assert [s[0] for s in stages] == list(range(len(stages))) and all(s[4] is None for s in stages[:-1])
+    assert {k: v[-1][2:] for k, v in got.items()} == {
+        1: ("blocked", 1, "payload blocked by the gate"), 2: ("error", 1, "network error: timeout"), 3: ("completed", 1, "r"),
+        4: ("completed", 1, "goal reached"), 5: ("idle", 1, "no actionable target"), 6: ("rejected", 2, "action rejected: disabled target"),
+        7: ("failed", 2, "execution failed"), 8: ("success", 3, None), 9: ("max_steps_reached", 10, "max steps reached"),
+    }

@@ -103,6 +103,40 @@ def session_outcomes(steps: DataFrame, session: str = "session_id") -> DataFrame
     )
 
 
+def stop_reason(status: str = "status") -> str:
+    """Why a session ended with this record; null where it goes on."""
+    return f"""CASE {status}
+WHEN 'blocked' THEN 'payload blocked by the gate'
+WHEN 'error' THEN concat('network error: ', network_error)
+WHEN 'completed' THEN coalesce(nullif(reason, ''), 'goal reached')
+WHEN 'idle' THEN 'no actionable target'
+WHEN 'rejected' THEN concat('action rejected: ', coalesce(rejection, 'unknown'))
+WHEN 'failed' THEN 'execution failed'
+WHEN 'max_steps_reached' THEN 'max steps reached' END"""
+
+
+def session_stages(steps: DataFrame, session: str = "session_id") -> DataFrame:
+    """Every stage of a session in order: (session, seq, stage, status, step, stop_reason). The
+    tab is found and the page is read first of all (step 0), then come the records that were
+    reached. ``stop_reason`` stands in the row that ends the session.
+
+    ``steps`` has at most ten or eleven rows per session by construction.
+    """
+    row = F.struct(
+        "ts", "record_id", "stage", "status", F.col("step").cast("int").alias("step"),
+        F.expr(stop_reason()).alias("stop_reason"),
+    )
+    opening = [
+        f"named_struct('stage', '{s}', 'status', 'success', 'step', 0, 'stop_reason', CAST(NULL AS STRING))"
+        for s in ("tab_query", "initial_perception")
+    ]
+    listed = steps.groupBy(session).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    slim = "transform(rows, r -> struct(r.stage, r.status, r.step, r.stop_reason))"
+    return listed.select(
+        session, F.posexplode(F.expr(f"concat(array({', '.join(opening)}), {slim})")).alias("seq", "s")
+    ).select(session, "seq", "s.*")
+
+
 def session_history(steps: DataFrame, session: str = "session_id") -> DataFrame:
     """Successful steps in order, as one list per session (ten entries at most)."""
     done = steps.where(F.col("status").isin("success", "max_steps_reached"))

@@ -14,6 +14,7 @@ from ..operators.sessions import (
     running_history,
     session_history,
     session_outcomes,
+    session_stages,
     session_steps,
 )
 from ..sources.tables import spread, table
@@ -172,6 +173,10 @@ def session_outcome(spark: SparkSession, folder: str) -> DataFrame:
     return session_outcomes(steps(spark, folder))
 
 
+def session_stage_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return session_stages(steps(spark, folder))
+
+
 def session_history_rows(spark: SparkSession, folder: str) -> DataFrame:
     h = session_history(steps(spark, folder))
     shown = F.transform("history", lambda e: F.concat_ws(":", e["step"], e["action"], e["target"]))
@@ -336,6 +341,14 @@ SELECT event_id, event_id % 5 IN (0, 1, 3) AS is_object,
   CASE event_id % 5 WHEN 0 THEN 'go' WHEN 3 THEN 'r' END AS reason FROM events""",
         "next_action": _next_sql(),
         "session_steps": f"{s} SELECT session_id, record_id, CAST(step AS INT) AS step, stage, status FROM steps",
+        "session_stages": f"""
+{s} SELECT session_id, CAST(1 + row_number() OVER (PARTITION BY session_id ORDER BY ts, record_id) AS INT) AS seq, stage, status,
+  CAST(step AS INT) AS step, CASE status WHEN 'blocked' THEN 'payload blocked by the gate'
+    WHEN 'error' THEN 'network error: ' || network_error WHEN 'completed' THEN reason WHEN 'idle' THEN 'no actionable target'
+    WHEN 'rejected' THEN 'action rejected: ' || rejection WHEN 'failed' THEN 'execution failed'
+    WHEN 'max_steps_reached' THEN 'max steps reached' END AS stop_reason FROM steps
+UNION ALL SELECT DISTINCT session_id, o.seq, o.stage, 'success', 0, NULL
+  FROM steps, (VALUES (0, 'tab_query'), (1, 'initial_perception')) AS o(seq, stage)""",
         "session_outcome": f"{s} SELECT * FROM outcomes",
         "session_history": f"""
 {s} SELECT session_id, string_agg(concat_ws(':', CAST(step AS INT), action, target), ',' ORDER BY step) AS history
@@ -366,6 +379,7 @@ QUERIES = {
     "planner_responses": planner_responses,
     "next_action": next_actions,
     "session_steps": session_step_rows,
+    "session_stages": session_stage_rows,
     "session_outcome": session_outcome,
     "session_history": session_history_rows,
     "step_audit": step_audit,
