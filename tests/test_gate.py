@@ -162,3 +162,22 @@ def test_a_hundred_thousand_secrets(spark):
 
 def _key(i):
     return f"key-{(i * 2654435761) % 1048576:X}".replace("key-", "key-" + "Q" * (6 - len(f"{(i * 2654435761) % 1048576:X}"))) + f"-{i}"
+
+
+def test_places_lead_into_the_stored_payload(spark):
+    """Escapes of every kind before, in and after a leak; the letter at its index is its first."""
+    from pyspark.sql import functions as F
+
+    from veilspark.operators.gate import gate
+
+    mail = "jane@example.com"
+    before = ["", "plain ", r"a\n\t\"b\\ ", r"é中 ", r"😀 ", r"\\n \\\" ", r" \/\b ", "é😀 ", r"\\\\\\ " * 50]
+    rows = []
+    for i, head in enumerate(before):
+        for leak, first in ((mail, "jane"), (mail.replace("@", r"@"), "jane"), (mail.replace("j", r"j", 1), r"j")):
+            rows.append((i, '{"elements":[{"text":"' + head + leak + r' \n end"}]}', first))
+    df = spark.createDataFrame(rows, "i int, payload string, first string")
+    found = gate(df).select("payload", "first", F.explode("violations").alias("v")).select("payload", "first", "v.index").collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r["payload"][r["index"] :].startswith(r["first"]), (r["payload"][:60], r["index"])

@@ -101,6 +101,27 @@ def decoded(payload: str) -> str:
     return f"replace({text}, chr(0), r'\\')"
 
 
+# An escape of JSON text that ``decoded`` turns into one letter.
+_ESCAPE = (
+    r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[nrtbf\"/\\]"
+)
+
+
+def stored_places(payload: str, violations: str) -> str:
+    """``violations`` with their places counted in ``payload`` as it is stored. Places found in
+    its decoded form lie behind by what each escape before them is longer than its letter."""
+    escapes = f"regexp_extract_all({payload}, r'{_ESCAPE}', 0)"
+    gaps = f"split({payload}, r'{_ESCAPE}', -1)"
+    steps = f"zip_with({gaps}, {escapes}, (g, e) -> struct(length(g) AS gap, length(e) AS size))"
+    walked = (
+        "aggregate(steps, named_struct('at', 0, 'more', 0), (s, x) -> named_struct("
+        "'at', s.at + x.gap + 1, 'more', s.more + if(x.size IS NOT NULL AND s.at + x.gap < v.index, x.size - 1, 0)), "
+        "s -> v.index + s.more)"
+    )
+    moved = "transform(found, v -> " + _violation("v.category", "v.elementId", f"if(v.index IS NULL, NULL, {walked})", "v.detail") + ")"
+    return let("found", violations, f"if(size(found) = 0 OR NOT contains({payload}, r'\\'), found, {let('steps', steps, moved)})")
+
+
 def text_violations(text: str, rules: Sequence[PiiRule] = GATE_RULES) -> str:
     """One violation per accepted match of each rule: category and place, never the value."""
     per_rule = [
@@ -122,7 +143,8 @@ def gate(
     rules: Sequence[PiiRule] = GATE_RULES,
     compat: bool = False,
 ) -> DataFrame:
-    """Add ``blocked``, ``success``, ``reason``, ``violationsCount`` and ``violations``.
+    """Add ``blocked``, ``success``, ``reason``, ``violationsCount`` and ``violations``; a
+    violation's ``index`` is its place in the payload as it is stored, from 0.
 
     ``mode='serialized'`` scans the JSON text as it stands; the default undoes escapes
     first. An empty payload is blocked unless ``compat`` is set.
@@ -132,10 +154,10 @@ def gate(
     scanned = decoded(payload) if mode == "decoded" else payload
     none = f"CAST(array() AS array<{VIOLATION}>)"
     empty = f"coalesce(length({payload}) = 0, true)"
-    found = (
-        f"if({empty}, {none}, concat({structural_violations(payload)}, "
-        f"{let('body', scanned, text_violations('body', rules))}))"
-    )
+    in_text = let("body", scanned, text_violations("body", rules))
+    if mode == "decoded":
+        in_text = stored_places(payload, in_text)
+    found = f"if({empty}, {none}, concat({structural_violations(payload)}, {in_text}))"
     out = evaluate_once(df, violations=found)
     hit = F.size("violations") > 0
     blocked = hit if compat else (hit | F.expr(empty))

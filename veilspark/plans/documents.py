@@ -124,13 +124,24 @@ def gate_documents(spark: SparkSession, folder: str) -> DataFrame:
     return gate(payloads).select("doc_id", "blocked", "reason", "violationsCount")
 
 
-def gate_escaped_payloads(spark: SparkSession, folder: str) -> DataFrame:
+def escaped_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """The same payloads from a producer that escapes digits, ``@`` and blanks."""
     plain = F.to_json(F.struct(F.array(F.struct("text")).alias("elements")))
     escaped = F.regexp_replace(plain, "([0-9])", r"\\u003$1")
     escaped = F.replace(F.replace(escaped, F.lit("@"), F.lit("\\u0040")), F.lit(" "), F.lit("\\u0020"))
-    payloads = documents(spark, folder).select("doc_id", escaped.alias("payload"))
-    return gate(payloads).select("doc_id", "blocked", "reason", "violationsCount")
+    return documents(spark, folder).select("doc_id", escaped.alias("payload"))
+
+
+def gate_escaped_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    return gate(escaped_payloads(spark, folder)).select("doc_id", "blocked", "reason", "violationsCount")
+
+
+def gate_leak_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Where leaks lie in those payloads as they are stored, and the six letters there."""
+    found = gate(escaped_payloads(spark, folder)).select("doc_id", "payload", F.explode("violations").alias("v"))
+    return found.select(
+        "doc_id", "v.category", "v.index", F.expr("substr(payload, v.index + 1, 6)").alias("there")
+    )
 
 
 def gate_redacted_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -175,6 +186,10 @@ def _sql() -> dict[str, str]:
     spliced = SPLICED.format(conversations="conversations", customer="customer")
     conv_ctes, conv_last = o.fold_sql("grouped", ["conv_id", "turns"])
     per_doc = f"SELECT doc_id, count(*) AS n FROM ({positions}) GROUP BY doc_id"
+    stored = "{x}"
+    for plain, escape in (("\\", "\\\\"), ('"', '\\"'), ("' || chr(10) || '", "\\n"), ("' || chr(9) || '", "\\t"), ("' || chr(13) || '", "\\r")):
+        stored = f"replace({stored}, '{plain}', '{escape}')"
+    stored = f"replace(replace(regexp_replace({stored}, '([0-9])', '\\\\u003\\1', 'g'), '@', '\\u0040'), ' ', '\\u0020')"
     # what is left after redaction, counted on the folded text
     left_over = positions_sql("t", f"(SELECT doc_id, texts[1] AS t FROM {last})", "doc_id")
     return {
@@ -197,6 +212,10 @@ SELECT doc_id, n IS NOT NULL AS blocked,
   CASE WHEN n IS NOT NULL THEN 'privacy_violation' END AS reason,
   CAST(coalesce(n, 0) AS INT) AS "violationsCount"
 FROM documents LEFT JOIN ({per_doc}) USING (doc_id)""",
+        "gate_leak_places": f"""
+WITH found AS ({positions}), stored AS (SELECT doc_id, {stored.format(x='text')} AS stored, text FROM documents)
+SELECT doc_id, category, CAST(22 + length({stored.format(x='text[:start]')}) AS INT) AS index,
+  substr(stored, length({stored.format(x='text[:start]')}) + 1, 6) AS there FROM found JOIN stored USING (doc_id)""",
         "gate_redacted_documents": f"""
 {with_}, bad AS (SELECT DISTINCT doc_id FROM ({left_over}))
 SELECT CASE WHEN bad.doc_id IS NULL THEN 'passed' ELSE 'quarantine' END AS sink,
@@ -215,6 +234,7 @@ QUERIES = {
     "redact_conversations": redact_conversations,
     "gate_documents": gate_documents,
     "gate_escaped_payloads": gate_escaped_payloads,
+    "gate_leak_places": gate_leak_places,
     "gate_redacted_documents": gate_redacted_documents,
     "document_violations": document_violations,
     **{f"{c}_matches": _rule_query(c) for c in o.PATTERNS},
