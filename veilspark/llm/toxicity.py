@@ -46,6 +46,7 @@ OFTEN = 3  # times that a text counts for a string at most
 LIFT, WEIGHT = 4.0, 12.0  # least lift and weight of a string
 SEGMENT = 12  # least bytes of a segment, up to whole words
 GROUND = 40_960  # bytes of the ordinary dictionary
+GROUND_TEXT = 3 << 20  # bytes of the texts that it is trained on
 TAKES = (1024, 2048)  # bytes of toxic segments, the best is chosen
 LEVEL = 3  # of compression
 FOLDS = 4
@@ -94,32 +95,37 @@ def _codes(body: bytes) -> np.ndarray:
     return out
 
 
-def _held(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Strings of each text, once a text, and how often the text holds them (up to OFTEN)."""
-    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _shared(texts: list[bytes]) -> np.ndarray:
+    """Strings that two texts or more hold, in order."""
+    once, twice = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for i in range(0, len(texts), 64):  # a few texts at a time keep little in memory
+        own, n = np.unique(np.concatenate([np.unique(_codes(t)) for t in texts[i : i + 64]]), return_counts=True)
+        again = own[(n > 1) | np.isin(own, once, assume_unique=True)]
+        twice = np.union1d(twice, again)
+        once = np.union1d(once, own)
+    return twice
+
+
+def _held(texts: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many texts hold each string of ``code``, and how often, OFTEN times a text at most."""
+    held, often = np.zeros(len(code)), np.zeros(len(code))
     for t in texts:
-        c, n = np.unique(_codes(t), return_counts=True)
-        codes.append(c)
-        counts.append(np.minimum(n, OFTEN))
-    return np.concatenate(codes), np.concatenate(counts)
-
-
-def _weights(own: list[tuple], n_own: int, others: list[tuple], n_other: int) -> tuple[np.ndarray, np.ndarray]:
-    """Strings that texts of one class hold more than those of the other, and their weights."""
-    code, at = np.unique(np.concatenate([c for c, _ in own]), return_inverse=True)
-    often = np.bincount(at, np.concatenate([n for _, n in own]), len(code))
-    texts = np.bincount(at, minlength=len(code))
-    few = texts >= 2
-    code, often, texts = code[few], often[few], texts[few]
-    elsewhere = np.zeros(len(code))
-    for c, _ in others:
-        place = np.searchsorted(code, c)
+        own, n = np.unique(_codes(t), return_counts=True)
+        place = np.searchsorted(code, own)
         hit = place < len(code)
-        hit[hit] = code[place[hit]] == c[hit]
-        elsewhere += np.bincount(place[hit], minlength=len(code))
-    lift = (texts / max(1, n_own)) / ((elsewhere + 0.5) / max(1, n_other))
+        hit[hit] = code[place[hit]] == own[hit]
+        held[place[hit]] += 1
+        often[place[hit]] += np.minimum(n[hit], OFTEN)
+    return held, often
+
+
+def _weights(code: np.ndarray, own: list[tuple], n_own: int, others: list[tuple], n_other: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``code`` the strings that texts of one class hold more than those of the other, and
+    their weights; ``own`` and ``others`` are counts of ``_held``."""
+    texts, often = sum(t for t, _ in own), sum(o for _, o in own)
+    lift = (texts / max(1, n_own)) / ((sum(t for t, _ in others) + 0.5) / max(1, n_other))
     weight = often * np.log(np.maximum(lift, 1e-9))
-    good = (lift >= LIFT) & (weight >= WEIGHT)
+    good = (texts >= 2) & (lift >= LIFT) & (weight >= WEIGHT)
     return code[good], weight[good]
 
 
@@ -159,9 +165,14 @@ def cover(texts: Iterable[bytes], code: np.ndarray, weight: np.ndarray, size: in
 
 
 def ground(ordinary: list[bytes]) -> bytes:
-    """Content of a dictionary that the library trains on windows of ordinary text; all of the
-    text where that is too little to train on."""
-    samples = [t[i : i + WINDOW] for t in ordinary for i in range(0, len(t), WINDOW)]
+    """Content of a dictionary that the library trains on windows of ordinary text, GROUND_TEXT
+    bytes or little more; all of the text where that is too little to train on."""
+    samples, total = [], 0
+    for t in ordinary:
+        samples += [t[i : i + WINDOW] for i in range(0, len(t), WINDOW)]
+        total += len(t)
+        if total > GROUND_TEXT:
+            break
     try:
         return zstandard.train_dictionary(GROUND + 1024, samples, k=32, d=8).as_bytes()[-GROUND:]
     except zstandard.ZstdError:
@@ -262,12 +273,13 @@ def train(toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int)
     if min(map(len, bodies)) < 2:
         return Model(b"", b"", prior)
     folds = [[side[i::FOLDS] for i in range(FOLDS)] for side in bodies]
-    held = [[_held(f) for f in side] for side in folds]
+    code = _shared(bodies[0])
+    held = [[_held(f, code) for f in side] for side in folds]
     base = ground(bodies[1])
 
     def segments(own: list[int]) -> list[bytes]:
         sizes = [sum(len(side[i]) for i in own) for side in folds]
-        found = _weights([held[0][i] for i in own], sizes[0], [held[1][i] for i in own], sizes[1])
+        found = _weights(code, [held[0][i] for i in own], sizes[0], [held[1][i] for i in own], sizes[1])
         return cover((t for i in own for t in folds[0][i]), *found, TAKES[-1])
 
     without = [segments([j for j in range(FOLDS) if j != i]) for i in range(FOLDS)]
