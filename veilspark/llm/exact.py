@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .tables import private, staged
 
 HEAD = 64  # characters under the second hash
+BLOCK = 4096  # rows that repeat id and text and are written by one task
 
 
 def normalised(text: Column) -> Column:
@@ -22,6 +23,26 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def _open_heads(light: DataFrame, length: str, head: str) -> DataFrame:
+    """(length, head) that more rows than one have. Rows are counted by both before any
+    shuffle, so a length that many rows share is a few rows of counts and no hot key; a length
+    that one row has can have no such head."""
+    return light.groupBy(length, head).count().where("count > 1").select(length, head)
+
+
+def _unfolded(rows: DataFrame) -> DataFrame:
+    """A row for each of the ``n`` copies, with ``copy`` from 0. Many copies are dealt out in
+    blocks first, so that no task writes them all."""
+    few = rows.where(F.col("n") <= BLOCK).select("*", F.explode(F.expr("sequence(0L, n - 1)")).alias("copy"))
+    blocks = (
+        rows.where(F.col("n") > BLOCK).select("*", F.explode(F.expr(f"sequence(0L, (n - 1) DIV {BLOCK})")).alias("block"))
+        .repartition("digest", "id", "block")
+    )
+    last = f"least(n, (block + 1) * {BLOCK}) - 1"
+    many = blocks.select(*rows.columns, F.explode(F.expr(f"sequence(block * {BLOCK}, {last})")).alias("copy"))
+    return few.unionByName(many)
+
+
 def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, ``keep_id``, ``group_size`` (long),
     ``kept`` and, if ``digests``, ``text_sha256`` of the normalised text.
@@ -39,12 +60,7 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     full = F.sha2("norm", 256).alias("digest")
     light = staged(rows.select("id", *head, *[full] * digests), "exact-keys")
 
-    lengths = light.groupBy("len").count().where("count > 1").select("len")
-    heads = (
-        light.join(lengths, "len", "left_semi").groupBy("len", "head").count().where("count > 1")
-        .select("len", "head")
-    )
-    heads = staged(heads, "exact-heads")
+    heads = staged(_open_heads(light, "len", "head"), "exact-heads")
     source = light if digests else rows.select("id", *head, "norm")
     open_ = source.join(heads, ["len", "head"], "left_semi")
     open_ = open_.select("id", "len", "head", "digest" if digests else full)
@@ -53,14 +69,10 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = ["len", "head", "digest"]
     each = open_.groupBy("id", *marks).agg(F.count("*").alias("n"))
     groups = each.groupBy(*marks).agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
-    decided = (
-        each.join(groups, marks)
-        .select("id", "keep_id", "group_size", "digest", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-        .select(
-            "id", "keep_id", "group_size",
-            (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-            "digest",
-        )
+    decided = _unfolded(each.join(groups, marks).select("id", "keep_id", "group_size", "digest", "n")).select(
+        "id", "keep_id", "group_size",
+        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 0)).alias("kept"),
+        "digest",
     )
     single = light.join(heads, ["len", "head"], "left_anti").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
@@ -82,9 +94,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     norm = normalised(F.col(text_col))
     keyed = docs.withColumns({length: F.octet_length(norm), head: F.xxhash64(F.substring(norm, 1, HEAD))})
     light = staged(keyed.select(length, head), "exact-keys")
-    lengths = light.groupBy(length).count().where("count > 1").select(length)
-    heads = light.join(lengths, length, "left_semi").groupBy(length, head).count().where("count > 1").select(length, head)
-    heads = staged(heads, "exact-heads")
+    heads = staged(_open_heads(light, length, head), "exact-heads")
     single = keyed.join(heads, [length, head], "left_anti").select(*docs.columns)
     open_ = keyed.join(heads, [length, head], "left_semi").select(
         *docs.columns, F.sha2(norm, 256).alias(digest), F.col(id_col).cast("long").alias(num)
