@@ -5,7 +5,8 @@ import pytest
 from veilspark.operators import search
 from veilspark.operators.audits import secret_audit
 from veilspark.operators.gate import gate, split_gate
-from veilspark.sources.payloads import payload_scans, read_payloads, write_log, write_payloads
+from veilspark.session import staged
+from veilspark.sources.payloads import payload_scans, read_payloads, write_log, write_payloads, write_telemetry
 
 
 def verdicts(spark, *payloads, **kw):
@@ -94,6 +95,27 @@ def test_sinks(spark, tmp_path):
     assert "selector" not in spark.read.parquet(f"{tmp_path}/log").columns
 
 
+def test_the_gate_runs_once_and_stages_no_blocked_payload(spark, tmp_path, monkeypatch):
+    from veilspark.sources import payloads
+
+    kept = []
+    monkeypatch.setattr(payloads, "staged", lambda df, name: kept.append(staged(df, name)) or kept[0])
+    rows = [(1, json.dumps(page(text="fine"))), (2, json.dumps(page(text="a@b.co")))]
+    write_payloads(gate(spark.createDataFrame(rows, "scan_id int, payload string")), f"{tmp_path}/out", f"{tmp_path}/held")
+    assert {r.scan_id: r.payload is None for r in kept[0].collect()} == {1: False, 2: True} and len(kept) == 1
+
+
+def test_telemetry_is_appended(spark, tmp_path):
+    from veilspark.operators.sessions import latest_telemetry
+
+    row = dict(session_id=1, record_id=1, ts=1, step=1, action="CLICK", target="el_001", status="success", rejection=None)
+    steps = spark.createDataFrame([row], "session_id int, record_id int, ts int, step int, action string, target string, status string, rejection string")
+    for _ in range(2):
+        write_telemetry(latest_telemetry(steps), f"{tmp_path}/progress")
+    got = spark.read.parquet(f"{tmp_path}/progress").collect()
+    assert [(r.session_id, r.step, r.status, r.timestamp is not None) for r in got] == [(1, 1, "success", True)] * 2
+
+
 def test_presence_of_value(spark):
     text = '{"url":"u","elements":[{"id":"a","value":null},{"id":"b"}]}'
     df = payload_scans(spark.createDataFrame([(text,)], "payload string"))

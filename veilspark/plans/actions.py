@@ -99,9 +99,8 @@ SELECT event_id, CASE event_id % 5
 
 def planner_responses(spark: SparkSession, folder: str) -> DataFrame:
     events = spread(table(spark, folder, "events").select("event_id"))
-    sql = RESPONSES.replace("{events}", "events_in")
-    events.createOrReplaceTempView("events_in")
-    return planned_actions(spark.sql(sql)).drop("response")
+    sql = RESPONSES.replace("{", "{{").replace("}", "}}").replace("{{events}}", "{events}")
+    return planned_actions(spark.sql(sql, events=events)).drop("response")
 
 
 GOALS = """CASE {k} % 9 WHEN 0 THEN 'Submit Verified Profile' WHEN 1 THEN ' VERIFY my KYC '

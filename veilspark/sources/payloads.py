@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sanitize import ELEMENT
+from ..session import staged
 
 _REDACTION = "struct<id:string,category:string,confidence:double,source:string,placeholder:string>"
 
@@ -77,10 +78,14 @@ def outgoing_payloads(scans: DataFrame, keys: list[str], action: str = "PLAN_ACT
 
 def write_payloads(gated: DataFrame, path: str, quarantine: str) -> None:
     """The only way out: payloads that passed go to ``path`` as JSON lines; the verdicts
-    of the others, without their payload, go to ``quarantine``."""
+    of the others, without their payload, go to ``quarantine``.
+
+    The gate is evaluated once: both are written from a table of its verdicts, which holds
+    no payload that it blocked."""
     from ..operators.gate import split_gate
 
-    passed, held = split_gate(gated)
+    clean = F.when(~F.col("blocked"), F.col("payload"))
+    passed, held = split_gate(staged(gated.withColumn("payload", clean), "gated"))
     passed.select("payload").write.mode("overwrite").text(path)
     held.write.mode("overwrite").json(quarantine)
 
