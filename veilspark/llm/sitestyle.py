@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -57,9 +58,11 @@ _CUT_TAG = re.compile(r"<[/!?A-Za-z][^<>]*\Z")  # a tag that the page ends in is
 
 
 def _hash(text: str) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(text)).view(np.int64))
+    value = xxhash.xxh64_intdigest(text)
+    return value - (1 << 64) if value >> 63 else value
 
 
+@lru_cache(maxsize=65_536)
 def _node(above: int, style: str) -> int:
     """A style node by the one above it, so that no path is ever spelt out."""
     return _hash(f"{above}/{style}")
