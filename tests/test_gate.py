@@ -203,3 +203,15 @@ def test_places_lead_into_the_stored_payload(spark):
     assert len(found) == len(rows)
     for r in found:
         assert r["payload"][r["index"] :].startswith(r["first"]), (r["payload"][:60], r["index"])
+
+
+def test_many_secrets_neither_repeat_payloads_nor_meet_them_as_lists(spark, monkeypatch):
+    """Strings beyond one automaton: payloads stay where they are, whatever the number of strings."""
+    monkeypatch.setattr(search, "SHARD_BYTES", 60)
+    wanted = spark.range(3000).selectExpr("concat('secret ', id) AS s", "CAST(id AS STRING) AS m")
+    texts = spark.range(50).selectExpr("id AS k", "concat('é secret ', id * 60, '.') AS body")
+    found = search.search(texts, wanted, "k", "body", "s", "m")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Generate" not in plan
+    got = {(r["k"], r["m"]) for r in found.collect()}
+    assert got == {(k, str(k * 60)[:n]) for k in range(50) for n in range(1, 6)}
