@@ -17,7 +17,7 @@ from ..operators.sessions import (
     session_stages,
     session_steps,
 )
-from ..sources.tables import spread, table
+from ..sources.tables import dealt, spread, table
 from .derived import form_elements_sql, form_scans
 
 ACTION_LOG = """
@@ -52,7 +52,7 @@ def action_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def element_states(spark: SparkSession, folder: str) -> DataFrame:
-    customer = spread(table(spark, folder, "customer").select("c_custkey"))
+    customer = dealt(table(spark, folder, "customer").select("c_custkey"))
     return spark.sql(states_sql("spark", "{customer}"), customer=customer)
 
 

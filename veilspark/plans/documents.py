@@ -9,7 +9,7 @@ from ..functions.detect import candidates, match_positions, matches
 from ..functions.rules import GATE_CATEGORIES, RULES
 from ..operators.gate import gate, split_gate, violation_rows
 from ..operators.redact import redact_rows, redact_scans
-from ..sources.tables import conversations, documents, spread, table
+from ..sources.tables import conversations, documents, dealt, spread, table
 from . import oracle as o
 
 BY_CATEGORY = {r.category: r for r in RULES}
@@ -111,7 +111,7 @@ def spliced_turns(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(
         SPLICED,
         conversations=spread(conversations(spark, folder)),
-        customer=spread(table(spark, folder, "customer").select("c_custkey")),
+        customer=dealt(table(spark, folder, "customer").select("c_custkey")),
     )
 
 

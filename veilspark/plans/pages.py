@@ -16,7 +16,7 @@ from ..operators.extract import (
 from ..operators.actions import validate_actions
 from ..operators.gate import gate
 from ..operators.sanitize import sanitize_scans
-from ..sources.tables import pages, spread, table
+from ..sources.tables import pages, dealt, table
 from . import oracle as o
 from .elements import payloads
 
@@ -136,7 +136,7 @@ FROM {customer}"""
 
 
 def form_page_elements(spark: SparkSession, folder: str) -> DataFrame:
-    customer = spread(table(spark, folder, "customer").select("c_custkey", "c_mktsegment"))
+    customer = dealt(table(spark, folder, "customer").select("c_custkey", "c_mktsegment"))
     scans = extract_pages(spark.sql(FORM_PAGE, customer=customer))
     return element_rows(scans, ["page_id"]).select(
         "page_id", "ord", "id", "tag", "type", "label", "text", "name", "category", "value",

@@ -16,7 +16,7 @@ from ..operators.vision import (
     merge_vision,
     ocr_line_rows,
 )
-from ..sources.tables import spread, table
+from ..sources.tables import dealt, table
 from .pages import FORM_PAGE
 
 TRIGGER_INPUT = """
@@ -83,7 +83,7 @@ FROM (SELECT c_custkey AS k, 9 + c_custkey % 2 AS first_el, {fan} AS pic,
 
 
 def ocr_results(spark: SparkSession, folder: str) -> DataFrame:
-    customer = spread(table(spark, folder, "customer").select("c_custkey"))
+    customer = dealt(table(spark, folder, "customer").select("c_custkey"))
     customer.createOrReplaceTempView("veil_customer")
     return spark.sql(_ocr_sql("explode(sequence(1, 3))").replace("{customer}", "veil_customer"))
 
@@ -127,7 +127,7 @@ def blackout_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merged(spark: SparkSession, folder: str) -> DataFrame:
-    customer = spread(table(spark, folder, "customer").select("c_custkey", "c_mktsegment"))
+    customer = dealt(table(spark, folder, "customer").select("c_custkey", "c_mktsegment"))
     pages = spark.sql(FORM_PAGE, customer=customer)
     scans = sanitize_scans(extract_pages(pages), keep_registry=True)
     results = detect_visual(flatten_ocr(ocr_results(spark, folder)))
