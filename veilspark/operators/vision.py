@@ -130,16 +130,19 @@ def merge_vision(
     that were to be recognised. ``results``: (scan, element_id, success, instructions).
     An element without a successful result is marked ``visualScanFailed``; one with
     findings becomes sensitive. Vision numbers go on where the page's numbers end.
+
+    Both joins are sort-merge joins: all sides grow with the scans, and what is made from a
+    short table looks small enough to the planner to be sent to every task.
     """
     outcome = candidates.select(scan, "element_id").join(
-        results.select(scan, "element_id", "success", "instructions"), [scan, "element_id"], "left"
+        results.select(scan, "element_id", "success", "instructions").hint("merge"), [scan, "element_id"], "left"
     )
     ok = F.coalesce("success", F.lit(False))
     by_scan = outcome.groupBy(scan).agg(
         F.sort_array(F.collect_list(F.struct("element_id", ok.alias("ok"), "instructions"))).alias("_seen")
     )
     prefixes = known_prefixes()
-    joined = scans.join(by_scan, scan, "left")
+    joined = scans.join(by_scan.hint("merge"), scan, "left")
     entry = (
         "named_struct('element_id', s.element_id, 'category', v.category, 'confidence', v.confidence, "
         "'prefix', v.prefix, 'token', v.token, 'raw_hash', v.raw_hash, 'boundingBox', v.boundingBox)"
