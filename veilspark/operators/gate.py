@@ -89,7 +89,8 @@ def decoded(payload: str) -> str:
     text = f"regexp_replace({text}, r'\\\\([\"/])', '$1')"
     unit = r"\\u(?:[0-9a-cA-CefEF][0-9a-fA-F]{3}|[dD][0-7][0-9a-fA-F]{2})"
     pair = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
-    run = f"(?:{pair}|{unit})+"
+    # possessive: Java walks it in a loop, where a greedy one takes stack for every escape
+    run = f"(?:{pair}|{unit})++"
     letters = f"decode(unhex(replace(u, r'\\u', '')), 'UTF-16BE')"
     joined = let(
         "t", text,
