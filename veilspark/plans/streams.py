@@ -38,7 +38,10 @@ def stream_registry(spark: SparkSession, folder: str) -> DataFrame:
     turns = spark.sql(
         SPLICED,
         conversations=stream_table(spark, folder, "conversations"),
-        customer=stream_table(spark, folder, "customer"),
+        # short rows that become turns: dealt out first, a micro-batch of them is one split or two
+        customer=stream_table(spark, folder, "customer").select("c_custkey").repartition(
+            int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ),
     )
     events = evaluate_once(turns, _fold=redact("text")).select(
         F.col("conv_id").alias("scan_id"), F.col("turn").alias("position"),

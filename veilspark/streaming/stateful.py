@@ -8,6 +8,7 @@ so that what they give does not depend on the order in which rows arrive within
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -125,10 +126,13 @@ def session_loop(records: DataFrame, delay: str = "10 minutes", forget_minutes:
     )
 
 
-class FirstEntry(StatefulProcessor):
-    """The least event time of one key; given out when the watermark has passed it, so that no
-    earlier one can come. After that only the fact is kept, until the key has been quiet for
-    ``forget_ms``."""
+class FirstEntries(StatefulProcessor):
+    """The least event time of each (target, category) of one scan; given out when the watermark
+    has passed it, so that no earlier one can come. After that only the fact is kept, until the
+    key has been quiet for ``forget_ms``.
+
+    A scan's keys lie in one value, as JSON, with one timer: a scan has as many as its elements
+    have categories, and asking the state store for each alone costs a few calls a key."""
 
     def __init__(self, forget_ms: int) -> None:
         self.forget_ms = forget_ms
@@ -136,37 +140,48 @@ class FirstEntry(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState(
-            "first", T.StructType([
-                T.StructField("first_us", T.LongType()), T.StructField("given", T.BooleanType()),
-                T.StructField("latest", T.LongType()), T.StructField("timer", T.LongType()),
-            ]),
+            "entries", T.StructType([T.StructField("entries", T.StringType()), T.StructField("timer", T.LongType())])
         )
 
-    def _wait(self, first: int, given: bool, latest: int, timer: int) -> None:
-        wake = latest + self.forget_ms if given else first // 1000
+    def _load(self) -> tuple[dict[tuple, tuple], int]:
+        held = self.state.get()
+        if held is None:
+            return {}, -1
+        return {(target, category): tuple(entry) for target, category, *entry in json.loads(held[0])}, held[1]
+
+    def _wait(self, entries: dict[tuple, tuple], timer: int) -> None:
+        wake = min(latest + self.forget_ms if given else first // 1000 for first, given, latest in entries.values())
         if wake != timer:
             if timer >= 0:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(wake)
-        self.state.update((first, given, latest, wake))
+        self.state.update((json.dumps([(*key, *entry) for key, entry in entries.items()]), wake))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):  # noqa: N802, N803
-        first, given, latest, timer = self.state.get() if self.state.exists() else (None, False, 0, -1)
+        entries, timer = self._load()
         for batch in rows:
-            least = int(batch["at_us"].min())
-            first = least if first is None or (least < first and not given) else first
-            latest = max(latest, int(batch["at_us"].max()) // 1000)
-        self._wait(first, given, latest, timer)
+            for target, category, at in zip(batch["target"], batch["category"], batch["at_us"].tolist(), strict=True):
+                at = int(at)
+                first, given, latest = entries.get((target, category), (at, False, 0))
+                entries[target, category] = (first if given else min(first, at), given, max(latest, at // 1000))
+        self._wait(entries, timer)
         yield pd.DataFrame([], columns=["scan_id", "target", "category", "first_us"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        first, given, latest, timer = self.state.get()
-        fired = expiredTimerInfo.getExpiryTimeInMs()
-        out = [] if given else [(*key, first)]
-        if timerValues.getCurrentWatermarkInMs() >= latest + self.forget_ms:
-            self.state.clear()
+        entries, timer = self._load()
+        passed = timerValues.getCurrentWatermarkInMs()
+        out, left = [], {}
+        for name, (first, given, latest) in entries.items():
+            if not given and first // 1000 <= passed:
+                out.append((*key, *name, first))
+                given = True
+            if not (given and latest + self.forget_ms <= passed):
+                left[name] = (first, given, latest)
+        if left:
+            # a timer that fired is gone
+            self._wait(left, -1 if expiredTimerInfo.getExpiryTimeInMs() == timer else timer)
         else:
-            self._wait(first, True, latest, -1 if fired == timer else timer)
+            self.state.clear()
         yield pd.DataFrame(out, columns=["scan_id", "target", "category", "first_us"])
 
     def close(self) -> None:
@@ -181,8 +196,8 @@ def first_entries(log: DataFrame, event_time: str = "ts", delay: str = "10 minut
     keys = ["scan_id", "target", "category"]
     timed = log.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay)
     slim = timed.select(*keys, event_time, F.unix_micros(event_time).alias("at_us"))
-    found = slim.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=FirstEntry(forget_minutes * 60_000),
+    found = slim.where(F.col("at_us").isNotNull()).groupBy("scan_id").transformWithStateInPandas(
+        statefulProcessor=FirstEntries(forget_minutes * 60_000),
         outputStructType=T.StructType([*(slim.schema[k] for k in keys), T.StructField("first_us", T.LongType())]),
         outputMode="Append", timeMode="EventTime",
     )
