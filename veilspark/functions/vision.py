@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .text import NOT_AFTER_WORD, NOT_BEFORE_WORD, WS, let, literal
+from .text import NOT_AFTER_WORD, NOT_BEFORE_WORD, SPACE, let, literal
 
 # Keywords, decorative tokens.
 IMAGE_KEYWORDS = (
@@ -14,7 +14,7 @@ IMAGE_KEYWORDS = (
 )
 DECORATIVE_TOKENS = ("logo", "icon", "banner", "avatar", "placeholder", "badge", "decoration")
 
-_ANY_SEPARATOR = f"[{WS}_-]+"
+_ANY_SEPARATOR = f"[{SPACE}_-]+"
 KEYWORD_PATTERN = (
     f"(?i){NOT_AFTER_WORD}(?:"
     + "|".join(_ANY_SEPARATOR.join(re.split("[ _]", k)) for k in IMAGE_KEYWORDS)
