@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import FOLDER
 
@@ -39,6 +40,39 @@ def test_encoder_on_odd_strings(library):
         assert np.frombuffer(fast.encode(t), "<u4").tolist() == want, repr(t)
 
 
+@pytest.mark.parametrize("block", [1, 40, bpe.BLOCK_BYTES])
+def test_columns_of_odd_strings(library, monkeypatch, block):
+    """Texts side by side, cut at blanks and into blocks, keep the library's ids."""
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", block)
+    vocabulary = bpe.Vocabulary(queries.VOCABULARY)
+    random.seed(5)
+    letters = list("ab '\n\t  .19sé² _-\x1cт\x85\u3000\xa0“日\U0001f600")
+    texts = [None, "", " ", "  ", "a", " a", "a ", None, "<|endoftext|>", "x <|endoftext|> y x", "don't I'll 's", " 日 “a” ", "x" * 3000, "\n b", "", ""]
+    texts += ["".join(random.choice(letters) for _ in range(random.randint(0, 40))) for _ in range(800)]
+    texts += ["".join(random.choice(["<|endoftext|>", "a", " ", "\n"]) for _ in range(9)) for _ in range(20)]
+    random.shuffle(texts)
+    want = [ids_of(library, t) for t in texts]
+    for plain in (None, packing._word_encoder(vocabulary)):
+        encoder = bpe.Encoder(vocabulary, plain)
+        for column in (pa.array(texts), pa.array(["x y", *texts, "z"], pa.large_string()).slice(1, len(texts))):
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(column)] == want
+        assert encoder.encode_all(pa.array([], pa.string())) == []
+        assert encoder.encode_all(pa.array([None, ""], pa.string())) == [b"", b""]
+
+
+def test_a_column_is_encoded_by_distinct_pieces(library):
+    """More distinct words than a worker remembers: each is still encoded once, in one call."""
+    random.seed(7)
+    words = ["".join(random.choice("abehinort") for _ in range(9)) for _ in range(500)]
+    texts = ["the " + " ".join(random.sample(words, len(words))) for _ in range(20)]
+    vocabulary, calls = bpe.Vocabulary(queries.VOCABULARY), []
+    plain = packing._word_encoder(vocabulary)
+    encoder = bpe.Encoder(vocabulary, lambda text: calls.append(text) or plain(text), keep=100)
+    got = encoder.encode_all(pa.array(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(library, t) for t in texts]
+    assert len(calls) == 2 and sum(map(len, calls)) == len("the") + 10 * len(set(words))
+
+
 def test_merges_agree():
     rank = bpe.Vocabulary(queries.VOCABULARY).rank
     random.seed(4)

@@ -38,12 +38,12 @@ def with_columns(df: DataFrame, **types: str) -> StructType:
     return out
 
 
-def slices(batch, column: str) -> Iterator[tuple[int, int]]:
-    """(start, length) of runs of rows whose texts have about SLICE_BYTES together."""
+def slices(batch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of rows whose texts have about ``most`` bytes together."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
     for i, size in enumerate(sizes):
-        if total and total + size > SLICE_BYTES:
+        if total and total + size > most:
             yield start, i - start
             start, total = i, 0
         total += size
