@@ -10,6 +10,7 @@ from veilspark.functions.detect import matches
 from veilspark.functions.rules import RULES
 from veilspark.operators.gate import gate
 from veilspark.plans.derived import form_elements, form_scans
+from veilspark.plans.elements import log_count_rows
 from veilspark.plans.vision import merged, ocr_results
 from veilspark.sources import html
 from veilspark.streaming.stateful import FirstEntries
@@ -35,6 +36,13 @@ def test_forms_are_grouped_where_they_are_made(spark, customers):
     assert plan.count("Exchange") == 1
 
 
+def test_scans_of_a_log_are_counted_where_they_are_made(spark, customers):
+    counts = log_count_rows(spark, customers)
+    assert "scans" in counts.columns
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2  # customers are dealt out, sums per task are added up
+
+
 def test_recognised_results_are_not_sent_to_every_task(spark, customers):
     plan = merged(spark, customers)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspark.operators.numbering import rank_by_chunks
 from veilspark.operators.redact import redact_rows, redact_scans
-from veilspark.operators.sanitize import ELEMENT, sanitize_scans
+from veilspark.operators.sanitize import ELEMENT, log_counts, redaction_log, sanitize_scans
 
 
 @pytest.fixture(scope="module")
@@ -141,3 +141,32 @@ def test_missing_elements_count_as_empty(spark):
     df = spark.createDataFrame([(1, None)], f"scan_id int, elements array<{ELEMENT}>")
     row = sanitize_scans(df).first()
     assert row.elements == [] and row.redactions == [] and row.totalElements == 0
+
+
+def test_log_counts_give_entries_and_distinct_scans(spark):
+    """A scan counts once a category however many entries it has; scans without a key are one."""
+    texts = [(1, ["a@x.com", "b@x.com", "9876543210"]), (2, ["a@x.com"]), (3, ["plain"]), (None, ["c@x.com", "d@x.com"])]
+    df = spark.createDataFrame(
+        [(scan, [element(id=f"el_{i}", tag="p", text=t) for i, t in enumerate(ts)]) for scan, ts in texts],
+        f"scan_id int, elements array<{ELEMENT}>",
+    )
+    counts = log_counts(redaction_log(sanitize_scans(df), ["scan_id"])).collect()
+    assert {(r.category, r.confidence, r.source): (r.entries, r.scans) for r in counts} == {
+        ("email", 1.0, "dom"): (5, 3), ("phone", 1.0, "dom"): (1, 1),
+    }
+
+
+def test_log_counts_tell_scans_by_their_whole_key(spark):
+    log = spark.createDataFrame(
+        [("p", 1, "email", 1.0, "dom"), ("p", 1, "email", 1.0, "dom"), ("p", 2, "email", 1.0, "dom"),
+         ("q", 1, "email", 1.0, "dom"), ("p", 1, "email", 1.0, "vision"), ("q", None, None, 0.7, "dom")],
+        "page string, frame int, category string, confidence double, source string",
+    )
+    assert {tuple(r) for r in log_counts(log, ["page", "frame"]).collect()} == {
+        ("email", 1.0, "dom", 4, 3), ("email", 1.0, "vision", 1, 1), (None, 0.7, "dom", 1, 1),
+    }
+
+
+def test_log_counts_of_an_empty_log(spark):
+    log = spark.createDataFrame([], "scan_id int, category string, confidence double, source string")
+    assert log_counts(log).columns[-2:] == ["entries", "scans"] and log_counts(log).count() == 0
